@@ -45,6 +45,16 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder once and read it back.
+
+    Later passes then read only the columns they need, whatever executors are lost.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
     """A local relation for metadata with one row per column, bin or check."""
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
