@@ -34,6 +34,7 @@ from gritstone.operators.normalize import normalize, types_of
 from gritstone.operators.order_stats import quantiles
 from gritstone.operators.rows import duplicate_count
 from gritstone.runtime import materialize, small_frame
+from gritstone.sources.reader import export
 
 # Decision rates of the cleaning runs.
 NUMERIC_RATE = 0.85
@@ -312,7 +313,7 @@ class CleanResult:
         """Write the cleaned table as Parquet and CSV, with manifest and validation."""
         root = path.rstrip("/")
         self.df.write.parquet(f"{root}/cleaned.parquet")
-        normalize(self.df).write.csv(f"{root}/cleaned.csv", header=True, escape='"')
+        export(normalize(self.df), f"{root}/cleaned.csv", "csv")
         self.manifest.write.json(f"{root}/cleaning_manifest")
         self.validation.write.json(f"{root}/validation_report")
 
