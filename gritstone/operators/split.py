@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from gritstone.functions.values import is_text, number_literal, quote, stable_hash, text_literal
+from gritstone.functions.values import as_text, number_literal, quote, stable_hash, text_literal
 from gritstone.operators.frequency import frequency_table, ranked_values
 from gritstone.operators.normalize import types_of
 from gritstone.operators.order_stats import order_statistics
@@ -64,7 +64,7 @@ def train_test_split(
     strata = _strata(df, target) if target else {}
     if len(strata) >= 2 and min(strata.values()) >= 2:
         cell = quote(target)
-        label = cell if is_text(types_of(df)[target]) else f"cast({cell} as string)"
+        label = as_text(cell, types_of(df)[target])
         groups = {v: f"if({label} = {text_literal(v)}, {place}, null)" for v in strata}
         wanted = {v: [_share(n, size) - 1] for v, n in strata.items()}
         found = order_statistics(df, groups, wanted, strata)
