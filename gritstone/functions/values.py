@@ -32,6 +32,10 @@ EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INFINITY_PATTERN = r"^[+-]?(inf|infinity)$"
 
+# Display formats of numbers too large or small for plain text conversion.
+PLAIN_FORMAT = "0.0####################"
+EXPONENT_FORMAT = "0.################E00"
+
 # Date spellings that count as parseable.
 CLOCK = r"([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?"
 ISO_DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T]" + CLOCK + r")?$"
@@ -103,8 +107,11 @@ def blank_to_null(cell: str, markers: tuple[str, ...] = BLANK_MARKERS) -> str:
     return f"case when {strip(cell)} not in ({listed}) then {strip(cell)} end"
 
 
-def numeric(cell: str, dtype: T.DataType) -> str:
-    """Double value of a cell, null where it does not read as a number."""
+def numeric(cell: str, dtype: T.DataType, stripped: bool = False) -> str:
+    """Double value of a cell, null where it does not read as a number.
+
+    ``stripped`` marks text that a projection below has trimmed already.
+    """
     if is_real(dtype):
         return f"nanvl(cast({cell} as double), null)"
     if is_number(dtype):
@@ -113,7 +120,7 @@ def numeric(cell: str, dtype: T.DataType) -> str:
         return f"cast(cast({cell} as int) as double)"
     if not is_text(dtype):
         return "cast(null as double)"
-    text = strip(cell)
+    text = cell if stripped else strip(cell)
     return (
         f"case when {matches(text, NUMBER_PATTERN)} then try_cast({text} as double)"
         f" when {matches(f'lower({text})', INFINITY_PATTERN)}"
@@ -126,30 +133,23 @@ def coerce_numeric(name: str, dtype: T.DataType) -> Column:
     return F.expr(numeric(quote(name), dtype))
 
 
-def _real_text(cell: str) -> str:
+def _real_text(cell: str, dtype: T.DataType) -> str:
     text = f"cast({cell} as string)"
-    size = f"abs(cast({cell} as double))"
-    exponent = f"substring_index({text}, 'E', -1)"
-
-    def plain(scale: int) -> str:
-        return f"regexp_replace(cast(cast({text} as decimal(38,{scale})) as string), '(?<=[.][0-9]{{1,30}})0+$', '')"
-
+    # A 32-bit value is widened through its text, which keeps its own digits.
+    wide = cell if isinstance(dtype, T.DoubleType) else f"cast({text} as double)"
+    size = f"abs({wide})"
     return (
-        f"case when {cell} is null then null"
-        f" when {size} >= 1e-3 and {size} < 1e7 or {size} = 0 then {text}"
-        f" when {size} >= 1e7 and {size} < 1e16 then {plain(18)}"
-        f" when {size} >= 1e-4 and {size} < 1e-3 then {plain(21)}"
-        f" when {size} = double('inf') then if({cell} > 0, 'inf', '-inf')"
-        f" else concat(replace(substring_index({text}, 'E', 1) || '|', '.0|', '|'), 'e',"
-        f" if({exponent} like '-%', '-', '+'), right('0' || ltrim('-', {exponent}),"
-        f" greatest(2, length(ltrim('-', {exponent}))))) end"
+        f"case when {size} >= 1e-3D and {size} < 1e7D or {size} = 0 then {text}"
+        f" when {size} >= 1e-4D and {size} < 1e16D then format_number({wide}, '{PLAIN_FORMAT}')"
+        f" when {size} = double('inf') then replace({text}, 'Infinity', 'inf')"
+        f" else regexp_replace(lower(format_number({wide}, '{EXPONENT_FORMAT}')), 'e([0-9])', 'e+$1') end"
     )
 
 
 def as_text(cell: str, dtype: T.DataType) -> str:
     """Display text of a cell, independent of the engine's number formatting."""
     if is_real(dtype):
-        return f"replace({_real_text(cell)}, '|', '')"
+        return _real_text(cell, dtype)
     if isinstance(dtype, T.BooleanType):
         return f"case when {cell} then 'True' when not {cell} then 'False' end"
     if isinstance(dtype, T.BinaryType):
@@ -161,17 +161,17 @@ def as_text(cell: str, dtype: T.DataType) -> str:
     return f"cast({cell} as string)"
 
 
-def is_email(cell: str) -> str:
-    return matches(strip(cell), EMAIL_PATTERN)
+def is_email(cell: str, stripped: bool = False) -> str:
+    return matches(cell if stripped else strip(cell), EMAIL_PATTERN)
 
 
 def _ymd(year: str, month: str, day: str) -> str:
     return f"try_cast(concat_ws('-', lpad({year}, 4, '0'), lpad({month}, 2, '0'), lpad({day}, 2, '0')) as date)"
 
 
-def parse_date(cell: str) -> str:
+def parse_date(cell: str, stripped: bool = False) -> str:
     """Calendar date of a text cell in any accepted spelling, else null."""
-    value = strip(cell)
+    value = cell if stripped else strip(cell)
     words = f"split(translate({value}, '.,', ''), ' ')"
     names = ", ".join(text_literal(m) for m in MONTHS)
 

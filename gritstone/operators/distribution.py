@@ -36,9 +36,10 @@ def bin_index(cell: str, low: float, high: float, bins: int) -> str:
     step = lit((high - low) / bins)
     start = lit(low)
     guess = f"least(cast(floor(({cell} - {start}) / {step}) as int), {bins - 1})"
+    # least() skips nulls, so a missing cell has to be kept out of the last bin.
     return (
-        f"{guess} - if({cell} < {start} + {guess} * {step}, 1, 0)"
-        f" + if({cell} >= {start} + ({guess} + 1) * {step} and {guess} < {bins - 1}, 1, 0)"
+        f"if({cell} is null, null, {guess} - if({cell} < {start} + {guess} * {step}, 1, 0)"
+        f" + if({cell} >= {start} + ({guess} + 1) * {step} and {guess} < {bins - 1}, 1, 0))"
     )
 
 

@@ -10,10 +10,7 @@ from pyspark.sql import types as T
 from gritstone.functions.values import as_text, is_number, quote, text_literal
 from gritstone.operators.normalize import normalize
 from gritstone.operators.per_column import per_column
-from gritstone.runtime import chunks, small_frame
-
-# Columns of one type that are counted in the same pass.
-COLUMNS_PER_PASS = 50
+from gritstone.runtime import small_frame
 
 # Ascending native order of one column's values within a frequency table.
 NATIVE_ORDER = "real, whole, value"
@@ -52,21 +49,20 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None) -> DataFram
         kind = dtype.simpleString()
         whole = "cell" if isinstance(dtype, T.LongType) else "null"
         real = "cell" if is_number(dtype) and not isinstance(dtype, T.LongType) else "null"
-        for chunk in chunks(df, members, COLUMNS_PER_PASS):
-            wide = df.selectExpr(*[f"cast({quote(n)} as {kind}) as `{position[n]}`" for n in chunk])
-            cells = wide.unpivot([], wide.columns, "key", "cell")
-            counted = cells.where("cell is not null").groupBy("key", "cell").count()
-            label = " ".join(f"when '{position[n]}' then {text_literal(n)}" for n in chunk)
-            parts.append(
-                counted.selectExpr(
-                    "cast(key as int) as position",
-                    f"case key {label} end as column",
-                    f"{as_text('cell', dtype)} as value",
-                    f"cast({whole} as bigint) as whole",
-                    f"cast({real} as double) as real",
-                    "count as n",
-                )
+        wide = df.selectExpr(*[f"cast({quote(n)} as {kind}) as `{position[n]}`" for n in members])
+        cells = wide.unpivot([], wide.columns, "key", "cell")
+        counted = cells.where("cell is not null").groupBy("key", "cell").count()
+        label = " ".join(f"when '{position[n]}' then {text_literal(n)}" for n in members)
+        parts.append(
+            counted.selectExpr(
+                "cast(key as int) as position",
+                f"case key {label} end as column",
+                f"{as_text('cell', dtype)} as value",
+                f"cast({whole} as bigint) as whole",
+                f"cast({real} as double) as real",
+                "count as n",
             )
+        )
     return reduce(DataFrame.unionByName, parts)
 
 

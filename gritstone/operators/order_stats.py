@@ -22,7 +22,7 @@ from gritstone.runtime import chunks
 DIRECT_CELLS = 1_000_000
 # Largest number of values left inside one bracket before they are ranked.
 BRACKET_VALUES = 1_000_000
-SKETCH_ACCURACY = 10_000
+SKETCH_ACCURACY = 2_000
 BRACKET_MARGIN = 3.0 / SKETCH_ACCURACY
 COLUMNS_PER_PASS = 8
 MAX_ROUNDS = 64

@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gritstone.functions.values import as_text, is_email, is_text, numeric, quote, text_literal
+from gritstone.functions.values import is_email, is_real, is_text, quote, text_literal
 from gritstone.operators import distribution, frequency, rows, stats
 from gritstone.operators.correlation import correlation
 from gritstone.operators.normalize import normalize, numeric_columns, text_columns, types_of
@@ -104,8 +106,8 @@ def _type_evidence(flat: DataFrame) -> dict[str, dict]:
         "filled": lambda n: f"count({quote(n)})",
         **stats.match_fields(flat),
     }
-    evidence = {r.column: r.asDict() for r in per_column(flat, names, fields).collect()}
-    return evidence
+    base = stats.readings(flat, names)
+    return {r.column: r.asDict() for r in per_column(base, names, fields).collect()}
 
 
 def infer_kinds(df: DataFrame) -> dict[str, str]:
@@ -247,29 +249,26 @@ def list_problems(summary: dict, columns: list[dict], limit: int = 30) -> list[s
 def _value_facts(flat: DataFrame) -> dict[str, dict]:
     """Distinct count, mode, top and rare values per column from one frequency table.
 
-    The four results are read in one job, so the frequency shuffle runs once.
+    All results are read in one job, so the frequency shuffle runs once.
     """
     freq = frequency.frequency_table(flat)
 
-    def part(df: DataFrame, kind: str, rank: str, value: str, n: str) -> DataFrame:
-        return df.selectExpr(
-            "column", f"'{kind}' as kind", f"cast({rank} as int) as rank", f"{value} as value", f"{n} as n"
-        )
+    ranked = freq.selectExpr("column", f"struct(-n as rank, {frequency.NATIVE_ORDER}) as entry")
+    wide = ranked.groupBy("column").agg(F.count("*").alias("distinct"), F.min("entry").alias("best"))
+
+    def part(df: DataFrame, kind: str, rank: str, n: str) -> DataFrame:
+        return df.selectExpr("column", f"'{kind}' as kind", f"cast({rank} as int) as rank", "value", f"{n} as n")
 
-    counted = freq.groupBy("position", "column").count()
     merged = (
-        part(counted, "distinct", "0", "cast(null as string)", "count")
-        .unionByName(part(frequency.modes(flat, freq=freq), "mode", "1", "mode", "mode_count"))
-        .unionByName(part(frequency.top_values(flat, freq=freq), "top", "rank", "value", "n"))
-        .unionByName(part(frequency.rare_values(flat, freq=freq), "rare", "rank", "value", "1L"))
+        part(wide.selectExpr("column", "best.value as value", "distinct"), "whole", "0", "distinct")
+        .unionByName(part(frequency.top_values(flat, freq=freq), "top", "rank", "n"))
+        .unionByName(part(frequency.rare_values(flat, freq=freq), "rare", "rank", "1L"))
     )
     facts = {n: {"distinct": 0, "mode": None, "top": [], "rare": []} for n in flat.columns}
     for r in sorted(merged.collect(), key=lambda r: (r.column, r.kind, r["rank"])):
         entry = facts[r.column]
-        if r.kind == "distinct":
-            entry["distinct"] = r.n
-        elif r.kind == "mode":
-            entry["mode"] = r.value
+        if r.kind == "whole":
+            entry["distinct"], entry["mode"] = r.n, r.value
         elif r.kind == "top":
             entry["top"].append({"value": r.value, "count": r.n})
         else:
@@ -281,29 +280,25 @@ def _first_pass(flat: DataFrame) -> dict[str, dict]:
     """Everything one aggregation can tell about each column."""
     types = types_of(flat)
     measured = set(stats.measurable(flat))
-    names = {n: f"number_of_{i}" for i, n in enumerate(flat.columns) if n in measured}
-    base = flat.selectExpr("*", *[f"{numeric(quote(n), types[n])} as {a}" for n, a in names.items()])
-
-    def native(pick: str):
-        return lambda n: as_text(f"{pick}({quote(n)})", types[n])
+    base = stats.readings(flat, [n for n in flat.columns if n in measured])
 
-    def number(pick: str):
-        return lambda n: f"{pick}({names[n]})" if n in names else "cast(null as double)"
+    def bound(pick: str):
+        return lambda n: f"cast({pick}({quote(n)}) as string)"
 
-    def moment(build):
-        return lambda n: build(names[n]) if n in names else "cast(null as double)"
+    def number(build):
+        return lambda n: build(stats.number_of(flat, n)) if n in measured else "cast(null as double)"
 
+    moments = {k: b for k, b in stats.MOMENTS.items() if k != "numeric_count"}
     fields = {
         "row_count": lambda n: "count(*)",
         "null_count": lambda n: f"count_if({quote(n)} is null)",
-        "share": lambda n: stats.null_percentage(f"count_if({quote(n)} is null)", "count(*)"),
-        "low_text": native("min"),
-        "high_text": native("max"),
-        "low": number("min"),
-        "high": number("max"),
+        "n": lambda n: f"count({stats.number_of(flat, n)})" if n in measured else "count(null)",
+        "low_text": bound("min"),
+        "high_text": bound("max"),
+        "low": number(lambda v: f"min({v})"),
+        "high": number(lambda v: f"max({v})"),
         **stats.match_fields(flat),
-        **{f: moment(b) for f, b in stats.MOMENTS.items() if f != "numeric_count"},
-        "n": lambda n: f"count({names[n]})" if n in names else "count(null)",
+        **{k: number(b) for k, b in moments.items()},
     }
     found = per_column(base, flat.columns, fields, flat.columns, width=3).collect()
     return {r.column: r for r in found}
@@ -343,8 +338,8 @@ def profile(df: DataFrame) -> Profile:
         r = first[n]
         has_numbers = n in counts
         bounds = (r.low_text, r.high_text)
-        if has_numbers and is_text(types[n]):
-            bounds = (_shown(r.low), _shown(r.high))
+        if has_numbers and (is_text(types[n]) or is_real(types[n])):
+            bounds = (_shown(r.low, types[n]), _shown(r.high, types[n]))
         q = quartiles.get(n, [None, None, None])
         columns.append(
             {
@@ -353,7 +348,7 @@ def profile(df: DataFrame) -> Profile:
                 "original_type": original[n],
                 "inferred_type": kinds[n],
                 "null_count": r.null_count,
-                "null_percentage": r.share,
+                "null_percentage": round(r.null_count * 100.0 / r.row_count, 2) if r.row_count else 0.0,
                 "unique_count": facts[n]["distinct"],
                 "minimum": bounds[0],
                 "maximum": bounds[1],
@@ -379,8 +374,11 @@ def profile(df: DataFrame) -> Profile:
     return Profile(flat, dataset_summary(flat), columns, list(first.values()))
 
 
-def _shown(value: float | None) -> str | None:
-    return None if value is None else repr(value)
+def _shown(value: float | None, dtype: T.DataType) -> str | None:
+    """Display text of a number, with the digits its own width needs."""
+    if value is None:
+        return None
+    return str(np.float32(value)) if isinstance(dtype, T.FloatType) else repr(value)
 
 
 def detected_problems(df: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from gritstone.functions.values import (
     numeric,
     parse_date,
     quote,
+    strip,
     text_literal,
 )
 from gritstone.operators.normalize import normalize, types_of
@@ -38,10 +39,34 @@ def measurable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_number(f.dataType) or is_text(f.dataType)]
 
 
-def numeric_view(flat: DataFrame, names: list[str]) -> DataFrame:
-    """The numeric reading of some columns, evaluated once per cell."""
+def readings(flat: DataFrame, names: list[str]) -> DataFrame:
+    """The table with stripped texts and numeric readings, each evaluated once per cell.
+
+    Adds ``text_<position>`` for text columns and ``number_<position>`` for every
+    named column; see :func:`text_of` and :func:`number_of`.
+    """
     types = types_of(flat)
-    return flat.selectExpr(*[f"{numeric(quote(n), types[n])} as {quote(n)}" for n in names])
+    texts = [n for n in names if is_text(types[n])]
+    base = flat.selectExpr("*", *[f"{strip(quote(n))} as {text_of(flat, n)}" for n in texts])
+    numbers = []
+    for n in names:
+        cell = text_of(flat, n) if n in texts else quote(n)
+        numbers.append(f"{numeric(cell, types[n], stripped=True)} as {number_of(flat, n)}")
+    return base.selectExpr("*", *numbers)
+
+
+def text_of(flat: DataFrame, name: str) -> str:
+    return f"text_{flat.columns.index(name)}"
+
+
+def number_of(flat: DataFrame, name: str) -> str:
+    return f"number_{flat.columns.index(name)}"
+
+
+def numeric_view(flat: DataFrame, names: list[str]) -> DataFrame:
+    """The numeric reading of some columns under their own names."""
+    base = readings(flat.select(*[quote(n) for n in names]), names)
+    return base.selectExpr(*[f"number_{i} as {quote(n)}" for i, n in enumerate(names)])
 
 
 def null_percentage(nulls: str, rows: str) -> str:
@@ -84,15 +109,16 @@ def min_max(df: DataFrame) -> DataFrame:
     """Smallest and largest value as text; numeric where any cell reads as a number."""
     flat = normalize(df)
     types = types_of(flat)
-    texts = {n: f"number_of_{i}" for i, n in enumerate(flat.columns) if is_text(types[n])}
-    base = flat.selectExpr("*", *[f"{numeric(quote(n), types[n])} as {a}" for n, a in texts.items()])
+    texts = [n for n in flat.columns if is_text(types[n])]
+    base = readings(flat, texts)
 
     def bound(pick: str):
         def build(name: str) -> str:
             native = as_text(f"{pick}({quote(name)})", types[name])
             if name not in texts:
                 return native
-            return f"coalesce({as_text(f'{pick}({texts[name]})', T.DoubleType())}, {native})"
+            number = as_text(f"{pick}({number_of(flat, name)})", T.DoubleType())
+            return f"coalesce({number}, {native})"
 
         return build
 
@@ -142,8 +168,8 @@ def numeric_stats(df: DataFrame) -> DataFrame:
 def quartile_values(
     flat: DataFrame, names: list[str], counts: dict[str, int] | None = None
 ) -> dict[str, list[float | None]]:
-    types = types_of(flat)
-    return quantiles(flat, {n: numeric(quote(n), types[n]) for n in names}, QUARTILES, counts)
+    numbers = numeric_view(flat, names) if names else flat
+    return quantiles(numbers, {n: quote(n) for n in names}, QUARTILES, counts)
 
 
 def quantile_table(df: DataFrame) -> DataFrame:
@@ -197,15 +223,15 @@ def outlier_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 
 def match_fields(flat: DataFrame) -> dict:
-    """Counts of text cells that read as dates and as e-mail addresses."""
+    """Counts of text cells that read as dates and as e-mails, over :func:`readings`."""
     types = types_of(flat)
 
     def counted(test):
-        return lambda n: f"count_if({test(quote(n))})" if is_text(types[n]) else "count(null)"
+        return lambda n: f"count_if({test(text_of(flat, n))})" if is_text(types[n]) else "count(null)"
 
     return {
-        "date_count": counted(lambda c: f"{parse_date(c)} is not null"),
-        "email_count": counted(is_email),
+        "date_count": counted(lambda c: f"{parse_date(c, stripped=True)} is not null"),
+        "email_count": counted(lambda c: is_email(c, stripped=True)),
     }
 
 

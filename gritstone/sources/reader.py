@@ -19,7 +19,8 @@ WHOLE_PATTERN = "^[+-]?[0-9]+$"
 
 def format_of(path: str) -> str:
     """Dataset format named by a path's suffix."""
-    suffix = path.rstrip("/").rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    name = path.rstrip("/").rsplit("/", 1)[-1].lower()
+    suffix = name.rsplit(".", 1)[-1] if "." in name else ""
     if suffix == "xls":
         raise ValueError("Legacy .xls workbooks are not supported; save the file as .xlsx.")
     return suffix if suffix in {"csv", "tsv", "xlsx", "parquet", "json", "jsonl"} else "csv"

@@ -450,6 +450,17 @@ def _(spark, sf_dir):
     return distribution.histograms(table(spark, sf_dir, "lineitem"))
 
 
+DIRTY_HISTOGRAM_COLUMNS = [
+    (i, n) for i, (n, k) in enumerate(DIRTY_LINEITEM_COLUMNS.items()) if k in NUMERIC_KINDS and n != "const_col"
+]
+
+
+@case("histograms_with_nulls", histogram_sql(LINEITEM_SQL, DIRTY_HISTOGRAM_COLUMNS, BINS))
+def _(spark, sf_dir):
+    names = [n for _, n in DIRTY_HISTOGRAM_COLUMNS]
+    return distribution.histograms(dirty_lineitem(spark, sf_dir), names)
+
+
 @case(
     "category_distributions",
     frequency_sql(CUSTOMER_SQL, DIRTY_CUSTOMER_COLUMNS, "n desc, value", "true")
