@@ -12,13 +12,15 @@ from gritstone.functions.values import number_literal as lit
 from gritstone.functions.values import quote
 from gritstone.operators.distribution import average_ranks
 from gritstone.operators.normalize import normalize, numeric_columns
-from gritstone.runtime import small_frame
+from gritstone.runtime import materialize, small_frame
 
 MATRIX_SCHEMA = "x_position int, y_position int, x string, y string, value double"
 # Sums evaluated by one generated aggregation.
 SUMS_PER_PASS = 80
 # Distinct values up to which a rank table is sent to every executor (about 16 bytes each).
 BROADCAST_VALUES = 200_000
+# A variance below this share of the squared mean is rounding noise of a constant column.
+NOISE = 1e-20
 # A value on more than this share of rows is ranked by broadcast; at most 1/share such values.
 HOT_SHARE = 0.001
 
@@ -84,7 +86,11 @@ def _pair_moments(flat: DataFrame, names: list[str]) -> dict[tuple[int, int], tu
             moments[pair] = (0, None, None, None)
             continue
         mx, my = sx / n, sy / n
-        moments[pair] = (n, sxy / n - mx * my, sxx / n - mx * mx, syy / n - my * my)
+        vx, vy = sxx / n - mx * mx, syy / n - my * my
+        i, j = pair
+        moments[pair] = (n, sxy / n - mx * my, *[
+            0.0 if v <= NOISE * (first[("mean", k)] or 0.0) ** 2 else v for v, k in ((vx, i), (vy, j))
+        ])
     return moments
 
 
@@ -129,7 +135,8 @@ def correlation(
 
 def _spearman(flat: DataFrame, names: list[str]) -> dict[tuple[int, int], float | None]:
     base = flat.selectExpr(*[f"cast({quote(n)} as double) as v{i}" for i, n in enumerate(names)])
-    row = base.selectExpr("count(*) as n", *[f"count(v{i}) as c{i}" for i in range(len(names))]).first()
+    measures = [f"count(v{i}) as c{i}, min(v{i}) as l{i}, max(v{i}) as h{i}" for i in range(len(names))]
+    row = base.selectExpr("count(*) as n", *", ".join(measures).split(", ")).first()
     full = [i for i in range(len(names)) if row[f"c{i}"] == row["n"]]
     values = {(i, i): None for i in range(len(names))}
     values.update(_rank_correlation(base, full))
@@ -140,8 +147,7 @@ def _spearman(flat: DataFrame, names: list[str]) -> dict[tuple[int, int], float
             values[(i, j)] = _rank_correlation(pair, [i, j])[(i, j)]
     for i in range(len(names)):
         if i not in full:
-            filled = base.where(f"v{i} is not null")
-            values[(i, i)] = _rank_correlation(filled, [i])[(i, i)]
+            values[(i, i)] = 1.0 if row[f"l{i}"] != row[f"h{i}"] else None
     return values
 
 
@@ -160,6 +166,8 @@ def _rank_correlation(base: DataFrame, columns: list[int]) -> dict[tuple[int, in
     total = sizes["n"]
     if not total:
         return {(i, j): None for i in columns for j in columns if i <= j}
+    if max(sizes[c] for c in cells) > BROADCAST_VALUES:
+        rows = materialize(rows)
     ranked = rows
     for c in cells:
         counted = rows.groupBy(F.col(c).alias("value")).agg(F.sum("w").alias("n"))

@@ -45,23 +45,16 @@ def infer_task(df: DataFrame, target: str, mode: str = "model_lab") -> str:
     """classification or regression, by type and number of target values."""
     if is_text(types_of(df)[target]):
         return "classification"
-    values = frequency.distinct_counts(df, [target]).first()["distinct_count"]
     limit = CLASS_VALUES
     if mode == "model_lab":
         rows = df.where(f"{quote(target)} is not null").count()
         limit = min(CLASS_VALUES, max(2, int(rows * CLASS_SHARE)))
-    return "classification" if values <= limit else "regression"
+    return "classification" if frequency.values_up_to(df, [target], limit) else "regression"
 
 
 def category_values(df: DataFrame, columns: list[str], limit: int) -> dict[str, list[str]]:
     """Sorted values of the columns that hold at most ``limit`` of them."""
-    if not columns:
-        return {}
-    freq = frequency.frequency_table(df, columns)
-    values: dict[str, list[str]] = {c: [] for c in columns}
-    for r in frequency.ranked_values(freq, limit + 1, "value").orderBy("position", "rank").collect():
-        values[r.column].append(r.value)
-    return {c: v for c, v in values.items() if len(v) <= limit}
+    return {c: list(v) for c, v in frequency.values_up_to(df, columns, limit).items()}
 
 
 def one_hot(df: DataFrame, max_values: int = ONE_HOT_VALUES, columns: list[str] | None = None) -> DataFrame:

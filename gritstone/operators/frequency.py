@@ -12,6 +12,9 @@ from gritstone.operators.normalize import normalize
 from gritstone.operators.per_column import per_column
 from gritstone.runtime import small_frame
 
+# Distinct-count estimates evaluated together.
+ESTIMATES_PER_PASS = 50
+
 # Ascending native order of one column's values within a frequency table.
 NATIVE_ORDER = "real, whole, value"
 
@@ -77,6 +80,36 @@ def distinct_counts(
     return distinct_from(frequency_table(df, names), df, names)
 
 
+def near_distinct(df: DataFrame, names: list[str]) -> dict[str, int]:
+    """Estimated distinct counts (2 % error) from one pass without a shuffle of values."""
+    counts: dict[str, int] = {}
+    for start in range(0, len(names), ESTIMATES_PER_PASS):
+        chunk = names[start : start + ESTIMATES_PER_PASS]
+        row = df.selectExpr(
+            *[f"approx_count_distinct({quote(c)}, 0.02) as c{i}" for i, c in enumerate(chunk)]
+        ).first()
+        counts.update({c: row[f"c{i}"] for i, c in enumerate(chunk)})
+    return counts
+
+
+def values_up_to(df: DataFrame, columns: list[str], limit: int) -> dict[str, dict[str, int]]:
+    """Sorted values with their counts, for the columns that hold at most ``limit`` of them.
+
+    An estimate rules out columns that hold far more, so near-unique text is
+    never shuffled; the rest is counted exactly.
+    """
+    if not columns:
+        return {}
+    estimates = near_distinct(df, columns)
+    likely = [c for c in columns if estimates[c] <= 2 * limit + 50]
+    values: dict[str, dict[str, int]] = {c: {} for c in likely}
+    if likely:
+        few = ranked_values(frequency_table(df, likely), limit + 1, "value")
+        for r in sorted(few.collect(), key=lambda r: (r.position, r["rank"])):
+            values[r.column][r.value] = r.n
+    return {c: v for c, v in values.items() if len(v) <= limit}
+
+
 def column_list(df: DataFrame, names: list[str]) -> DataFrame:
     """(position, column) metadata rows."""
     position = {name: i for i, name in enumerate(df.columns)}

@@ -185,10 +185,8 @@ def _preprocess(train: DataFrame, features: list[str], pca: int | None) -> tuple
         for i, c in enumerate(numbers):
             columns.append(f"{feature_ops.scaled(filled[c], *facts[c])} as __num_{i}")
     if categories:
-        total = train.selectExpr(
-            *[f"approx_count_distinct({quote(c)}) as n{i}" for i, c in enumerate(categories)]
-        ).first()
-        plan["hashed"] = [c for i, c in enumerate(categories) if total[f"n{i}"] > MAX_CATEGORIES]
+        estimates = frequency.near_distinct(train, categories)
+        plan["hashed"] = [c for c in categories if estimates[c] > MAX_CATEGORIES]
         plan["categories"] = [c for c in categories if c not in plan["hashed"]]
         common = {r.column: r["mode"] for r in frequency.modes(train, categories).collect()}
         for c in categories:
@@ -329,10 +327,10 @@ def train(
         stages, plan = _preprocess(split.train, chosen, pca)
     labels: list[str] = []
     if kind == "classification":
-        found = frequency.frequency_table(split.train, [target])
-        labels = sorted(r.value for r in frequency.ranked_values(found, MAX_CLASSES + 1, "value").collect())
-        if len(labels) > MAX_CLASSES:
+        found = frequency.values_up_to(split.train, [target], MAX_CLASSES)
+        if target not in found:
             raise ValueError(f"A classification target holds at most {MAX_CLASSES} classes.")
+        labels = sorted(found[target])
         stages.append(SQLTransformer(statement=f"SELECT *, {_label_sql(target, data, labels)} AS label FROM __THIS__"))
     else:
         stages.append(SQLTransformer(statement=f"SELECT *, CAST({quote(target)} AS DOUBLE) AS label FROM __THIS__"))
@@ -463,6 +461,26 @@ def auto_train(
     return best, review_gate(comparison)
 
 
+def accuracy_report(run: ModelRun, comparison: DataFrame) -> DataFrame:
+    """One row that sums up a feature-model loop: the chosen model, its rows, metrics and review."""
+    metrics = json.dumps(run.metrics)
+    split = run.split
+    best = comparison.where(F.col("name") == run.model_type).orderBy(F.col("penalized_score").desc()).limit(1)
+    return best.selectExpr(
+        "'success' as status",
+        f"{text_literal(run.target)} as target",
+        "name as model",
+        "feature_set",
+        "loop_iteration",
+        f"cast({split.rows_total - split.rows_test} as bigint) as rows_train",
+        f"cast({split.rows_test} as bigint) as rows_test",
+        f"{text_literal(metrics)} as metrics",
+        "overfit_gap",
+        "needs_improvement",
+        "reason",
+    )
+
+
 def _review_passes(task: str, score: float, gap: float) -> bool:
     least, most = REVIEW_LIMITS[task]
     return score >= least and gap <= most

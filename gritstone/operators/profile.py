@@ -116,10 +116,13 @@ def infer_kinds(df: DataFrame) -> dict[str, str]:
     types = types_of(flat)
     texts = [n for n in flat.columns if is_text(types[n])]
     evidence = _type_evidence(flat.select(*[quote(n) for n in texts])) if texts else {}
-    distinct = {}
-    if texts:
-        counted = frequency.distinct_counts(flat, texts).collect()
-        distinct = {r.column: r.distinct_count for r in counted}
+    distinct = frequency.near_distinct(flat, texts) if texts else {}
+    rows_ = max((e["row_count"] for e in evidence.values()), default=0)
+    limit = max(stats.CATEGORY_VALUES, rows_ * stats.CATEGORY_SHARE)
+    # Only counts near the limit have to be exact to place a column.
+    unsure = [n for n in texts if 0.8 * limit <= distinct[n] <= 1.25 * limit]
+    if unsure:
+        distinct.update({r.column: r.distinct_count for r in frequency.distinct_counts(flat, unsure).collect()})
     kinds = {}
     for n in flat.columns:
         e = evidence.get(n, {"row_count": 0, "filled": 0, "date_count": 0, "email_count": 0})

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from gritstone.functions.values import as_text, number_literal, quote, stable_hash, text_literal
-from gritstone.operators.frequency import frequency_table, ranked_values
+from gritstone.operators.frequency import values_up_to
 from gritstone.operators.normalize import types_of
 from gritstone.operators.order_stats import order_statistics
 from gritstone.runtime import small_frame
@@ -86,9 +86,7 @@ def train_test_split(
 
 def _strata(df: DataFrame, target: str) -> dict[str, int]:
     """Rows per class, or nothing when there are more classes than strata allow."""
-    freq = frequency_table(df, [target])
-    found = ranked_values(freq, MAX_STRATA + 1, "value").collect()
-    return {r.value: r.n for r in found} if len(found) <= MAX_STRATA else {}
+    return values_up_to(df, [target], MAX_STRATA).get(target, {})
 
 
 def split_summary(split: Split, task: str, features: int) -> DataFrame:

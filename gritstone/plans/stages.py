@@ -12,6 +12,7 @@ from gritstone.operators.cleaning import clean_staged
 from gritstone.operators.filters import Filter, apply_filters
 from gritstone.operators.profile import profile, profile_summary
 from gritstone.operators.split import split_summary, train_test_split
+from gritstone.sources.reader import export
 from gritstone.sources.versions import VersionStore
 
 
@@ -47,6 +48,19 @@ STAGES = {
     "tune_evaluate": Stage((*MODELLED, CHECK), True, True, plots=True, split=True, model=True, tune=True),
     "save_predict": Stage((*MODELLED, "generate_predictions", CHECK), True, True, plots=True, split=True, model=True),
 }
+# Outputs without which a stage counts as failed.
+REQUIRED = {
+    "load_data": ("summary",),
+    "explore_data": ("summary", "columns", "dataset"),
+    "visualize_data": ("hist", "share", "box", "missing"),
+    "clean_data": ("table", "manifest", "validation"),
+    "feature_engineering": ("table",),
+    "prepare_data": ("table",),
+    "split_data": ("split_summary",),
+    "train_model": ("metrics", "model_comparison", "accuracy_report"),
+    "tune_evaluate": ("metrics", "model_comparison", "accuracy_report"),
+    "save_predict": ("metrics", "predictions", "accuracy_report"),
+}
 # The short flow: clean, filter, reduce, train, tune.
 SHORT_FLOW = ("clean_data", "filter_rows", "prepare_data", "train_model", "tune_evaluate")
 
@@ -63,6 +77,13 @@ class StageResult:
     error: str | None = None
     run: models.ModelRun | None = None
 
+    def write(self, path: str) -> None:
+        """Write every output table below ``path`` as Parquet, and the predictions as CSV too."""
+        for name, df in self.outputs.items():
+            export(df, f"{path.rstrip('/')}/{name}.parquet", "parquet")
+            if name == "predictions":
+                export(df, f"{path.rstrip('/')}/{name}.csv", "csv")
+
 
 @dataclass
 class Workflow:
@@ -83,6 +104,9 @@ class Workflow:
         else:
             stage = STAGES[name]
             outputs, run = self._outputs(name, stage, current)
+        missing = [o for o in REQUIRED.get(name, ()) if o not in outputs]
+        if missing:
+            raise ValueError(f"Missing output(s): {', '.join(missing)}")
         result = StageResult(name, "passed", stage.steps, outputs, run=run)
         if stage.promotes:
             result.version = self.store.promote(outputs["table"], self.dataset_id, f"Stage {name}")
@@ -136,6 +160,7 @@ class Workflow:
                 model_comparison=comparison,
                 metrics=run.metric_table(current.sparkSession),
                 feature_importance=run.importance_table(current.sparkSession),
+                accuracy_report=models.accuracy_report(run, comparison),
             )
             if name == "save_predict":
                 outputs["predictions"] = run.predictions.select("actual", "prediction")

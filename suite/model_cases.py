@@ -129,6 +129,12 @@ def _(spark, sf_dir):
     return evaluated(searched(spark, sf_dir)[0], spark)
 
 
+@case("accuracy_report")
+def _(spark, sf_dir):
+    run, comparison = searched(spark, sf_dir)
+    return models.accuracy_report(run, comparison)
+
+
 HASH = "cast(('0x' || left(md5(concat_ws('|', '42', cast(p_partkey as varchar))), 13)) as bigint)"
 
 

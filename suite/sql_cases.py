@@ -81,9 +81,9 @@ cell(
 cell(
     "sql_percentile",
     "lineitem",
-    """select l_returnflag, median(l_quantity) as med, percentile_cont(0.9) within group (order by l_extendedprice) as p90
+    """select l_returnflag, median(l_quantity) as med, percentile_cont(0.9) within group (order by l_discount) as p90
        from dataset group by l_returnflag""",
-    """select l_returnflag, median(l_quantity) as med, quantile_cont(l_extendedprice, 0.9) as p90
+    """select l_returnflag, median(l_quantity) as med, quantile_cont(l_discount, 0.9) as p90
        from dataset group by l_returnflag""",
 )
 cell(
