@@ -18,7 +18,7 @@ MATRIX_SCHEMA = "x_position int, y_position int, x string, y string, value doubl
 # Sums evaluated by one generated aggregation.
 SUMS_PER_PASS = 80
 # Distinct values up to which a rank table is sent to every executor (about 16 bytes each).
-BROADCAST_VALUES = 200_000
+BROADCAST_VALUES = 1_000_000
 # A variance below this share of the squared mean is rounding noise of a constant column.
 NOISE = 1e-20
 # A value on more than this share of rows is ranked by broadcast; at most 1/share such values.
@@ -140,23 +140,32 @@ def _spearman(flat: DataFrame, names: list[str]) -> dict[tuple[int, int], float
     full = [i for i in range(len(names)) if row[f"c{i}"] == row["n"]]
     values = {(i, i): None for i in range(len(names))}
     values.update(_rank_correlation(base, full))
-    # Ranks of a column with nulls depend on its partner, so such pairs are ranked on their own.
-    for i, j in combinations(range(len(names)), 2):
-        if (i, j) not in values:
-            pair = base.where(f"v{i} is not null and v{j} is not null")
-            values[(i, j)] = _rank_correlation(pair, [i, j])[(i, j)]
+    # Ranks depend on the rows a pair has in common. A column with nulls shares the same
+    # rows with every complete column; two columns with nulls are ranked on their own.
+    gaps = [i for i in range(len(names)) if i not in full]
+    for i in gaps:
+        filled = base.where(f"v{i} is not null")
+        found = _rank_correlation(filled, [i, *full], [(i, j) for j in full])
+        values.update({(min(p), max(p)): v for p, v in found.items()})
+    for i, j in combinations(gaps, 2):
+        both = base.where(f"v{i} is not null and v{j} is not null")
+        values.update(_rank_correlation(both, [i, j], [(i, j)]))
     for i in range(len(names)):
         if i not in full:
             values[(i, i)] = 1.0 if row[f"l{i}"] != row[f"h{i}"] else None
     return values
 
 
-def _rank_correlation(base: DataFrame, columns: list[int]) -> dict[tuple[int, int], float | None]:
-    """Pearson correlation of average ranks over complete rows.
+def _rank_correlation(
+    base: DataFrame, columns: list[int], pairs: list[tuple[int, int]] | None = None
+) -> dict[tuple[int, int], float | None]:
+    """Pearson correlation of average ranks over complete rows, for all or some pairs.
 
     Identical rows are combined first; each value is then replaced by its rank.
     """
-    if not columns:
+    if pairs is None:
+        pairs = [(i, j) for i in columns for j in columns if i <= j]
+    if not pairs:
         return {}
     cells = [f"v{i}" for i in columns]
     rows = base.groupBy(*cells).agg(F.count("*").alias("w"))
@@ -165,7 +174,7 @@ def _rank_correlation(base: DataFrame, columns: list[int]) -> dict[tuple[int, in
     ).first()
     total = sizes["n"]
     if not total:
-        return {(i, j): None for i in columns for j in columns if i <= j}
+        return dict.fromkeys(pairs)
     if max(sizes[c] for c in cells) > BROADCAST_VALUES:
         rows = materialize(rows)
     ranked = rows
@@ -176,11 +185,9 @@ def _rank_correlation(base: DataFrame, columns: list[int]) -> dict[tuple[int, in
     deviations = ranked.selectExpr(
         "w", *[f"{c}_rank - {centre} as d{i}" for i, c in zip(columns, cells)]
     )
-    wanted = {
-        (i, j): f"sum(w * d{i} * d{j})" for i in columns for j in columns if i <= j
-    }
+    wanted = {(i, j): f"sum(w * d{i} * d{j})" for i, j in [*pairs, *[(i, i) for i in columns]]}
     sums = _sums(deviations, wanted)
-    return {(i, j): _ratio(sums[(i, j)], sums[(i, i)], sums[(j, j)]) for i, j in wanted}
+    return {(i, j): _ratio(sums[(i, j)], sums[(i, i)], sums[(j, j)]) for i, j in pairs}
 
 
 def _attach_rank(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -70,8 +72,11 @@ def dataset_facts(df: DataFrame) -> dict[str, int]:
 
 def dataset_summary(df: DataFrame) -> dict:
     """The one-row part of a profile, without any per-column statistics."""
-    facts = dataset_facts(df)
-    duplicates = rows.duplicate_count(df).first()["duplicate_rows"]
+    with ThreadPoolExecutor(2) as pool:
+        copies = pool.submit(lambda: rows.duplicate_count(df).first()["duplicate_rows"])
+        marks = pool.submit(lambda: rows.fingerprint(df).first()["fingerprint"])
+        facts = dataset_facts(df)
+        duplicates, fingerprint = copies.result(), marks.result()
     score = quality(
         facts["row_count"], len(df.columns), facts["null_cells"], duplicates, facts["empty_rows"]
     )
@@ -80,7 +85,7 @@ def dataset_summary(df: DataFrame) -> dict:
         "column_count": len(df.columns),
         "duplicate_rows": duplicates,
         "data_quality_score": score,
-        "fingerprint": rows.fingerprint(df).first()["fingerprint"],
+        "fingerprint": fingerprint,
     }
 
 
@@ -197,7 +202,7 @@ class Profile:
     @cached_property
     def histograms(self) -> DataFrame:
         numeric_names = numeric_columns(self.df)[:8]
-        measured = [r for r in self.ranges if r.column in numeric_names]
+        measured = [SimpleNamespace(**r) for r in self.ranges if r["column"] in numeric_names]
         bins = distribution.histogram_rows(self.df, measured)
         return small_frame(self.df.sparkSession, bins, distribution.HISTOGRAM_SCHEMA)
 
@@ -280,13 +285,15 @@ def _value_facts(flat: DataFrame) -> dict[str, dict]:
 
 
 def _first_pass(flat: DataFrame) -> dict[str, dict]:
-    """Everything one aggregation can tell about each column."""
+    """Everything plain aggregation can tell about each column."""
     types = types_of(flat)
     measured = set(stats.measurable(flat))
     base = stats.readings(flat, [n for n in flat.columns if n in measured])
 
+    texts = [n for n in flat.columns if is_text(types[n])]
+
     def bound(pick: str):
-        return lambda n: f"cast({pick}({quote(n)}) as string)"
+        return lambda n: "cast(null as string)" if n in texts else f"cast({pick}({quote(n)}) as string)"
 
     def number(build):
         return lambda n: build(stats.number_of(flat, n)) if n in measured else "cast(null as double)"
@@ -303,8 +310,16 @@ def _first_pass(flat: DataFrame) -> dict[str, dict]:
         **stats.match_fields(flat),
         **{k: number(b) for k, b in moments.items()},
     }
-    found = per_column(base, flat.columns, fields, flat.columns, width=3).collect()
-    return {r.column: r for r in found}
+    # Reading texts is bulky code; typed columns stay in passes of their own.
+    groups = [[n for n in flat.columns if n not in texts], texts]
+    parts = [per_column(base, g, fields, flat.columns, width=3) for g in groups if g]
+    found = {r.column: r.asDict() for r in reduce(DataFrame.unionByName, parts).collect()}
+    if texts:
+        # Text bounds keep an aggregation out of generated code, so they get their own.
+        ends = {k: (lambda n, k=k: f"{k}({quote(n)})") for k in ("min", "max")}
+        for r in per_column(flat, texts, ends).collect():
+            found[r.column].update(low_text=r["min"], high_text=r["max"])
+    return found
 
 
 def profile(df: DataFrame) -> Profile:
@@ -312,8 +327,10 @@ def profile(df: DataFrame) -> Profile:
     flat = normalize(df)
     types = types_of(flat)
     original = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    first = _first_pass(flat)
-    facts = _value_facts(flat)
+    # The three parts share nothing, so their jobs run side by side.
+    with ThreadPoolExecutor(3) as pool:
+        parts = [pool.submit(part, flat) for part in (_first_pass, _value_facts, dataset_summary)]
+        first, facts, summary = [part.result() for part in parts]
     counts = {n: first[n]["n"] for n in flat.columns if first[n]["n"]}
     quartiles = stats.quartile_values(flat, list(counts), counts)
     outliers = {}
@@ -324,10 +341,10 @@ def profile(df: DataFrame) -> Profile:
     kinds = {
         n: stats.logical_type(
             types[n],
-            first[n].row_count,
-            first[n].row_count - first[n].null_count,
-            first[n].date_count,
-            first[n].email_count,
+            first[n]["row_count"],
+            first[n]["row_count"] - first[n]["null_count"],
+            first[n]["date_count"],
+            first[n]["email_count"],
             facts[n]["distinct"],
         )
         for n in flat.columns
@@ -340,9 +357,9 @@ def profile(df: DataFrame) -> Profile:
     for i, n in enumerate(flat.columns):
         r = first[n]
         has_numbers = n in counts
-        bounds = (r.low_text, r.high_text)
+        bounds = (r["low_text"], r["high_text"])
         if has_numbers and (is_text(types[n]) or is_real(types[n])):
-            bounds = (_shown(r.low, types[n]), _shown(r.high, types[n]))
+            bounds = (_shown(r["low"], types[n]), _shown(r["high"], types[n]))
         q = quartiles.get(n, [None, None, None])
         columns.append(
             {
@@ -350,8 +367,8 @@ def profile(df: DataFrame) -> Profile:
                 "column": n,
                 "original_type": original[n],
                 "inferred_type": kinds[n],
-                "null_count": r.null_count,
-                "null_percentage": round(r.null_count * 100.0 / r.row_count, 2) if r.row_count else 0.0,
+                "null_count": r["null_count"],
+                "null_percentage": round(r["null_count"] * 100.0 / r["row_count"], 2) if r["row_count"] else 0.0,
                 "unique_count": facts[n]["distinct"],
                 "minimum": bounds[0],
                 "maximum": bounds[1],
@@ -374,7 +391,7 @@ def profile(df: DataFrame) -> Profile:
                 "sensitive_data_probability": sensitivity_score(n, kinds[n]),
             }
         )
-    return Profile(flat, dataset_summary(flat), columns, list(first.values()))
+    return Profile(flat, summary, columns, list(first.values()))
 
 
 def _shown(value: float | None, dtype: T.DataType) -> str | None:

@@ -54,7 +54,7 @@ def row_text(df: DataFrame) -> str:
 def fingerprint(df: DataFrame) -> DataFrame:
     """Order-free content fingerprint: row count and the sum of 48-bit row hashes."""
     flat = normalize(df)
-    texts = spread(flat.selectExpr(f"{row_text(flat)} as line"))
+    texts = spread(flat).selectExpr(f"{row_text(flat)} as line")
     part = "cast(conv(left(md5(line), 12), 16, 10) as decimal(20,0))"
     total = f"cast(cast(coalesce(sum({part}), 0) as decimal(38,0)) as string)"
     return texts.selectExpr(f"concat(cast(count(*) as string), '-', {total}) as fingerprint")
