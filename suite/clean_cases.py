@@ -44,8 +44,14 @@ def median_of(c: str, source: str = "trimmed") -> str:
     return f"(select quantile_cont({number_of(c)}, 0.5) from {source})"
 
 
-def filled(c: str, source: str = "trimmed") -> str:
-    return f"coalesce({number_of(c)}, {median_of(c, source)})"
+def mostly_numbers(c: str, source: str = "trimmed") -> str:
+    return f"(select count({number_of(c)}) > 0.85 * count(*) from {source})"
+
+
+def filled(c: str, source: str = "trimmed", otherwise: str | None = None) -> str:
+    """Median fill of a mostly numeric column; others keep their number or take ``otherwise``."""
+    kept = number_of(c) if otherwise is None else otherwise
+    return f"case when {mostly_numbers(c, source)} then coalesce({number_of(c)}, {median_of(c, source)}) else {kept} end"
 
 
 ISO = "case when regexp_matches(created_at, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') then strftime(try_cast(created_at as date), '%Y-%m-%d') end"
@@ -161,7 +167,8 @@ def _(spark, sf_dir):
 STAGED = STEPS + (
     ", filled as (select "
     + replaced(
-        {c: filled(c) for c in ("c_custkey", "c_acctbal", "age_text")}
+        {c: filled(c) for c in ("c_custkey", "age_text")}
+        | {"c_acctbal": filled("c_acctbal", otherwise=f"coalesce(c_acctbal, {mode_of('c_acctbal', 'trimmed')})")}
         | {c: f"coalesce({c}, {mode_of(c, 'trimmed')})" for c in ("c_name", "c_mktsegment", "email", "created_at")}
     )
     + " from trimmed) select "
@@ -193,19 +200,30 @@ def changed_sql(c: str) -> str:
     return f"(select count(*) from base where {c} is distinct from {blank_sql(c)})"
 
 
+def gaps_sql(c: str) -> str:
+    """Cells that the median fills: none unless the column is mostly numbers."""
+    return f"(select case when {mostly_numbers(c)} then count(*) - count({number_of(c)}) else 0 end from trimmed)"
+
+
 MANIFEST_ROWS = [
     ("remove_duplicate_rows", "''", duplicates_sql(DIRTY_CUSTOMER_COLUMNS)),
-    ("fill_missing_numeric_median", "'c_custkey'", "(select count(*) - count(c_custkey) from trimmed)"),
+    ("fill_missing_numeric_median", "'c_custkey'", gaps_sql("c_custkey")),
     ("trim_and_normalize_empty_text", "'c_name'", changed_sql("c_name")),
-    ("fill_missing_numeric_median", "'c_acctbal'", "(select count(*) - count(c_acctbal) from trimmed)"),
+    ("fill_missing_numeric_median", "'c_acctbal'", gaps_sql("c_acctbal")),
     ("trim_and_normalize_empty_text", "'c_mktsegment'", changed_sql("c_mktsegment")),
     ("flag_invalid_email", "'email,email_is_valid'", f"(select count(*) from trimmed where not regexp_matches(coalesce(email, ''), '{DUCK_EMAIL}'))"),
-    ("fill_missing_numeric_median", "'age_text'", f"(select count(*) - count({number_of('age_text')}) from trimmed)"),
+    ("fill_missing_numeric_median", "'age_text'", gaps_sql("age_text")),
     ("standardize_date_format", "'created_at'", f"(select count({ISO}) from trimmed)"),
 ]
-MANIFEST = STEPS + " " + " union all ".join(
-    f"select 'op_{i:03d}' as id, '{name}' as operation, {columns} as columns, {n} as affected_rows"
-    for i, (name, columns, n) in enumerate(MANIFEST_ROWS, start=1)
+MANIFEST = (
+    STEPS
+    + ", steps as ("
+    + " union all ".join(
+        f"select {i} as o, '{name}' as operation, {columns} as columns, {n} as affected_rows"
+        for i, (name, columns, n) in enumerate(MANIFEST_ROWS)
+    )
+    + ") select format('op_{:03d}', row_number() over (order by o)) as id, operation, columns, affected_rows"
+    + " from steps where affected_rows > 0 or operation = 'flag_invalid_email'"
 )
 
 
