@@ -33,3 +33,47 @@ def op7_minimax_sharding(spark, sf_dir):
     from gritstone.llm.sharding import minimax_shards
 
     return minimax_shards(table(spark, sf_dir, "documents"))
+
+
+def label_domains(spark, sf_dir):
+    """Labelled documents with one of three domains."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").otherwise("low")
+    return table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+MIX = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
+
+
+@query
+def op9_soft_mixing(spark, sf_dir):
+    from gritstone.llm.mixing import soft_mixing
+
+    mixed = soft_mixing(table(spark, sf_dir, "documents"), label_domains(spark, sf_dir), MIX)
+    return mixed.select("row.doc_id", "tokens", *[F.col("posteriors")[d].alias(f"p_{d}") for d in MIX], "rate", "copies")
+
+
+@query
+def op10_site_line_dedup(spark, sf_dir):
+    from gritstone.llm.line_dedup import page_text, site_line_dedup, url_host
+
+    pages = table(spark, sf_dir, "pages")
+    found = site_line_dedup(pages, url_host(F.col("url")), page_text(F.col("html")))
+    return found.select("row.page_id", "lines.text", "lines.n_lines", "lines.n_dropped")
+
+
+# The lines of a page are numbered and judged one by one.
+ORACLES["op10_site_line_dedup"] = r"""
+with p as (
+  select page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)), '') as host,
+    string_split(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'),
+      '<[^>]*>', chr(10), 'g'), chr(10)) as parts
+  from pages),
+l as (select page_id, host, unnest(parts) as line, generate_subscripts(parts, 1) as i from p),
+t as (select *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as bare from l),
+n as (select host, count(*) as pages from p where host is not null group by host having count(*) >= 5),
+f as (select host, bare from t join n using (host) where bare <> ''
+      group by host, bare, pages having count(distinct page_id) >= 2 and count(distinct page_id) > 0.3 * pages)
+select page_id, coalesce(string_agg(line, chr(10) order by i) filter (where f.bare is null), '') as text,
+  count(*) as n_lines, count(f.bare) as n_dropped
+from t left join f on t.host = f.host and t.bare = f.bare group by page_id
+"""
