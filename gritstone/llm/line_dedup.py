@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.llm import text as T
+from gritstone.runtime import share_package
 
 MAX_RATIO = 0.3
 MIN_PAGES = 5
@@ -73,6 +74,7 @@ def site_line_dedup(
     pages: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
 ) -> DataFrame:
     """Every input row in ``row`` with a struct ``lines``: remaining text, lines before, lines dropped."""
+    share_package(pages.sparkSession)
     known = T.packed(pages, host=host, text=text).withColumn("hashes", line_hashes(F.col("text")))
     flagged = boilerplate(known.select("host", "hashes"), max_ratio, min_pages)
     # Zero stands for blank lines: 64-bit values must not pass through floats.

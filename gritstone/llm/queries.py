@@ -77,3 +77,17 @@ select page_id, coalesce(string_agg(line, chr(10) order by i) filter (where f.ba
   count(*) as n_lines, count(f.bare) as n_dropped
 from t left join f on t.host = f.host and t.bare = f.bare group by page_id
 """
+
+
+@query
+def op1_packed_matrix(spark, sf_dir):
+    from gritstone.llm.packed_matrix import packed_matrix
+
+    return packed_matrix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_certified_packing(spark, sf_dir):
+    from gritstone.llm.certified_packing import certified_packing
+
+    return certified_packing(table(spark, sf_dir, "documents"))
