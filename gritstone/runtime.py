@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +37,23 @@ def shared_folder(spark: SparkSession) -> str:
     return configured
 
 
+def share_package(spark: SparkSession) -> None:
+    """Send this package to the workers once per session, for operators that run Python functions in tasks."""
+    context = spark.sparkContext
+    if getattr(context, "_gritstone_shared", False):
+        return
+    root = Path(__file__).resolve().parent
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as package:
+        for source in sorted(root.rglob("*.py")):
+            package.write(source, source.relative_to(root.parent))
+    # The driver serves this file to the workers; they do not read the folder.
+    target = Path(tempfile.mkdtemp(prefix="gritstone-package-")) / "gritstone.zip"
+    target.write_bytes(content.getvalue())
+    context.addPyFile(str(target))
+    context._gritstone_shared = True
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
