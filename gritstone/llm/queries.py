@@ -91,3 +91,18 @@ def op8_certified_packing(spark, sf_dir):
     from gritstone.llm.certified_packing import certified_packing
 
     return certified_packing(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_epsilon_join(spark, sf_dir):
+    from gritstone.llm.epsilon_join import epsilon_join
+
+    return epsilon_join(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_fourier_quality(spark, sf_dir):
+    from gritstone.llm.quality_model import quality_scores
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality_scores(table(spark, sf_dir, "documents"), labels)
