@@ -22,6 +22,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from gritstone.llm import text as T
 from gritstone.runtime import share_package
@@ -55,7 +56,7 @@ def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     )
 
 
-@F.pandas_udf("text string, n_lines long, n_dropped long")
+@F.pandas_udf(StructType().add("text", StringType()).add("n_lines", LongType()).add("n_dropped", LongType()))
 def _without(text: pd.Series, hashes: pd.Series, flagged: pd.Series) -> pd.DataFrame:
     out = []
     for whole, codes, drop in zip(text, hashes, flagged, strict=True):

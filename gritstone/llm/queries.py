@@ -106,3 +106,10 @@ def op2_fourier_quality(spark, sf_dir):
 
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return quality_scores(table(spark, sf_dir, "documents"), labels)
+
+
+@query
+def op6_ngram_join(spark, sf_dir):
+    from gritstone.llm.ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"))
