@@ -35,7 +35,15 @@ BUCKETS = 1 << 14
 #: Labelled documents that the classifier is fitted on, at most (about): their ids are broadcast.
 LABELLED_DOCUMENTS = 250_000
 STEPS = 30
+#: Misfit that is as good as none, and the least gain of a step, both as shares.
 TOLERANCE = 1e-6
+LEAST_GAIN = 1e-3
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """``doc_id, domain`` from a table of ``doc_id, quality, toxic``: toxic, else clean or low by quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "low")
+    return labels.select("doc_id", domain.alias("domain"))
 
 
 def word_buckets(text: Column, size: int = BUCKETS) -> Column:
@@ -97,20 +105,23 @@ def _softmax(df: DataFrame, n: int) -> DataFrame:
 
 def with_posteriors(docs: DataFrame, classifier: DomainClassifier) -> DataFrame:
     """``row, tokens, p0, p1, ...`` for every row of ``docs``."""
-    grams = T.packed(docs, grams=word_buckets(F.col("text"), classifier.logs.shape[1]))
-    logits = [c.alias(f"l{i}") for i, c in enumerate(classifier.posteriors(F.col("grams")))]
-    return _softmax(grams.select("row", F.size("grams").cast("double").alias("tokens"), *logits), len(logits))
+    packed = T.packed(docs, text=F.col("text"))
+    grams = T.computed(packed, ["row"], grams=word_buckets(F.col("text"), classifier.logs.shape[1]))
+    logits = {f"l{i}": c for i, c in enumerate(classifier.posteriors(F.col("grams")))}
+    scored = T.computed(grams, ["row"], tokens=F.size("grams").cast("double"), **logits)
+    return _softmax(scored, len(logits))
 
 
 def rate_after(steps: list[np.ndarray], n: int, max_rate: float | None) -> Column:
     """A document's rate after the steps, each projected on the allowed rates."""
-    rate = F.lit(1.0)
-    for g in steps:
-        move = sum((F.col(f"p{i}") * float(g[i]) for i in range(n)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-        if max_rate is not None:
-            rate = F.least(F.lit(float(max_rate)), rate)
-    return rate
+    if not steps:
+        return F.lit(1.0)
+
+    def step(rate: Column, gradient: Column) -> Column:
+        moved = F.greatest(F.lit(0.0), rate - sum((F.col(f"p{i}") * F.get(gradient, i) for i in range(n)), F.lit(0.0)))
+        return moved if max_rate is None else F.least(F.lit(float(max_rate)), moved)
+
+    return F.aggregate(T.constant_array([g.tolist() for g in steps], "array<array<double>>"), F.lit(1.0), step)
 
 
 def fit_steps(table: DataFrame, wanted: np.ndarray, max_rate: float | None = None, limit: int = STEPS) -> list[np.ndarray]:
@@ -134,7 +145,7 @@ def fit_steps(table: DataFrame, wanted: np.ndarray, max_rate: float | None = Non
         sums = rated.agg(*[F.sum(F.col("tokens") * F.col(f"p{i}") * F.col("rate")) for i in range(n)]).first()
         misfit = np.array([v or 0.0 for v in sums]) - wanted
         loss = float(misfit @ inverse @ misfit)
-        if loss <= TOLERANCE**2 * float(wanted @ inverse @ wanted) or (steps and before - loss <= TOLERANCE * before):
+        if loss <= TOLERANCE**2 * float(wanted @ inverse @ wanted) or (steps and before - loss <= LEAST_GAIN * before):
             break
         before = loss
         steps.append(inverse @ misfit)

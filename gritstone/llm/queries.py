@@ -35,20 +35,14 @@ def op7_minimax_sharding(spark, sf_dir):
     return minimax_shards(table(spark, sf_dir, "documents"))
 
 
-def label_domains(spark, sf_dir):
-    """Labelled documents with one of three domains."""
-    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").otherwise("low")
-    return table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
-
-
 MIX = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 
 
 @query
 def op9_soft_mixing(spark, sf_dir):
-    from gritstone.llm.mixing import soft_mixing
+    from gritstone.llm.mixing import label_domains, soft_mixing
 
-    mixed = soft_mixing(table(spark, sf_dir, "documents"), label_domains(spark, sf_dir), MIX)
+    mixed = soft_mixing(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX)
     return mixed.select("row.doc_id", "tokens", *[F.col("posteriors")[d].alias(f"p_{d}") for d in MIX], "rate", "copies")
 
 
@@ -113,3 +107,10 @@ def op6_ngram_join(spark, sf_dir):
     from gritstone.llm.ngram_join import ngram_components
 
     return ngram_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    from gritstone.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")

@@ -34,6 +34,16 @@ def packed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"), *[c.alias(k) for k, c in columns.items()])
 
 
+def computed(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` and new columns that later filters and projections use as they are.
+
+    The optimizer replaces a column by its expression where a filter uses it; inside a lambda the expression would then
+    run once for every element. A generator of one row is not looked through.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])))
+    return df.select(*keep, made.alias("_made")).select(*keep, *[F.col(f"_made.{k}").alias(k) for k in columns])
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -45,6 +55,6 @@ def hash_share(key: Column, rows: int, wanted: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(int(1_000_000 * wanted / rows))
 
 
-def constant_array(numbers: list[float]) -> Column:
+def constant_array(numbers: list, kind: str = "array<double>") -> Column:
     """A short list of numbers as a constant that the optimizer folds."""
-    return F.from_json(F.lit(json.dumps(numbers)), "array<double>")
+    return F.from_json(F.lit(json.dumps(numbers)), kind)
