@@ -45,7 +45,7 @@ BLOOM_BITS = 25
 #: Distinct sets that a task remembers so that copies are not sent twice.
 REMEMBERED = 200_000
 LIST_ROWS = 200_000
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 U64 = np.uint64
 
 
@@ -334,21 +334,20 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), total * orders * (100 - percent) // 100 // LIST_ROWS + 1)
     postings = _postings(docs, ranks, width, percent, orders)
-    lists = materialize(_lists(postings, parts, "cls"))
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
+    lists = materialize(_lists(postings, parts, "cls"))  # tokens that several classes share
+    links = spark.createDataFrame([], "a long, b long")
+    labels = spark.createDataFrame([], "node long, component long")
     small = max(1, parts // 4)
     for turn in [*range(STAR_ROUNDS), None]:
-        if labels is None:
-            labelled = lists.withColumn("comp", F.col("cls"))
-        else:
-            joined = lists.select("token", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-            labelled = materialize(_lists(joined.select("token", "n", "cls", F.coalesce("component", "cls").alias("comp")), small, "comp"))
-            lists = labelled
-        pairs = _under_all_orders(_pairs(labelled, small, percent, turn), orders)
+        # Lists whose members are all in one component have nothing more to tell.
+        labelled = lists.select("token", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+        lists = materialize(_lists(labelled.select("token", "n", "cls", F.coalesce("component", "cls").alias("comp")), small, "comp"))
+        if lists.isEmpty():
+            break
+        pairs = _under_all_orders(_pairs(lists, small, percent, turn), orders)
         found = _verified(pairs if turn is None else _best_leaders(pairs), docs, classes, width, percent)
-        links = found if links is None else links.unionByName(found)
-        if turn is None or not found.isEmpty():
+        if not found.isEmpty():
+            links = links.unionByName(found)
             labels = components(links)
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
