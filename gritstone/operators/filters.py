@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from gritstone.functions.values import as_text, is_number, is_text, number_literal, numeric, quote, text_literal
 from gritstone.operators.normalize import require_columns, types_of
+from gritstone.operators.plan_guard import check_condition
 
 COMPARISONS = {"=": "=", "!=": "!=", ">": ">", ">=": ">=", "<": "<", "<=": "<="}
 
@@ -99,33 +100,24 @@ def filter_hint(df: DataFrame, column: str, op: str, value: Any) -> DataFrame:
     return df
 
 
-# Words that have no place in a row predicate.
-FORBIDDEN_WORDS = {"select", "reflect", "java_method", "try_reflect"}
 _LITERAL = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`")
 
 
-def words_outside_literals(text: str) -> list[str]:
-    """Lower-case words of SQL text, ignoring strings, quoted names and comments."""
-    bare = _LITERAL.sub(" ", text)
-    bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", bare, flags=re.S)
-    return re.findall(r"[a-z_][a-z0-9_]*", bare.lower())
-
-
 def filter_expression(df: DataFrame, text: str) -> DataFrame:
     """Keep rows for which a boolean expression holds, e.g. ``a > 1 & b in ['x']``."""
     if not text.strip():
         return df
-    if FORBIDDEN_WORDS & set(words_outside_literals(text)):
-        raise ValueError("Filter failed: only column conditions are allowed.")
     parts, last = [], 0
     for found in _LITERAL.finditer(text):
         parts += [_respell(text[last : found.start()]), found.group()]
         last = found.end()
     parts.append(_respell(text[last:]))
     try:
-        return df.where("".join(parts))
-    except Exception as exc:
-        raise ValueError(f"Filter failed: {exc}") from exc
+        found = df.where("".join(parts))
+    except Exception as error:
+        raise ValueError(f"The condition cannot be read: {error}") from error
+    check_condition(found)
+    return found
 
 
 def _respell(text: str) -> str:

@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import re
 import threading
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
-from gritstone.operators.filters import _LITERAL, words_outside_literals
+from gritstone.operators.plan_guard import check_plan
 
 MAX_QUERY_LENGTH = 20_000
 PREVIEW_ROWS = 100
 VIEW = "dataset"
-# Verbs and functions a read-only cell must not use.
-BLOCKED_WORDS = {
-    "insert", "update", "delete", "drop", "alter", "attach", "copy", "install", "load", "pragma",
-    "read_csv", "read_parquet", "reflect", "java_method", "try_reflect", "create", "truncate", "merge",
-}
 _lock = threading.Lock()
 
 
@@ -40,23 +35,16 @@ class SqlResult:
         return self.df.limit(n)
 
 
-def check_query(query: str) -> str:
-    """Accept one SELECT or WITH statement, refuse everything else."""
+def run_sql(df: DataFrame, query: str) -> SqlResult:
+    """Run a query over ``dataset``. Analysis is eager, execution stays lazy.
+
+    The text is first analyzed as a subquery, where nothing but a query parses, so a
+    command is refused before it can run. The analyzed plan may hold query operators
+    only and read no table but ``dataset``.
+    """
     text = query.strip()
-    words = words_outside_literals(text)
-    bare = _LITERAL.sub(" ", text)
     if len(text) > MAX_QUERY_LENGTH:
-        raise ValueError(f"A query holds at most {MAX_QUERY_LENGTH} characters.")
-    if not words or words[0] not in {"select", "with"} or ";" in bare or BLOCKED_WORDS & set(words):
-        raise ValueError("Only one read-only SELECT or WITH query is allowed.")
-    if re.search(r"\b(csv|parquet|json|orc|text|binaryfile)\s*\.\s*`", text, flags=re.I):
-        raise ValueError("Files cannot be read from a query.")
-    return text
-
-
-def run_sql(df: DataFrame, query: str) -> SqlResult:
-    """Run a query over ``dataset``. Analysis is eager, execution stays lazy."""
-    text = check_query(query)
+        raise ValueError(f"The query is longer than {MAX_QUERY_LENGTH} characters.")
     spark = df.sparkSession
     with _lock:
         previous = spark.table(VIEW) if spark.catalog.tableExists(VIEW) else None
@@ -64,7 +52,14 @@ def run_sql(df: DataFrame, query: str) -> SqlResult:
         df.createOrReplaceTempView(VIEW)
         spark.conf.set("spark.sql.runSQLOnFiles", "false")
         try:
-            return SqlResult(spark.sql(text))
+            try:
+                nested = spark.sql(f"select * from (\n{text}\n)")
+            except AnalysisException as error:  # what does not parse or names another table
+                raise ValueError(f"The cell takes one query over {VIEW} and nothing else: {error}") from error
+            check_plan(nested._jdf.queryExecution().analyzed(), VIEW)
+            found = spark.sql(text)
+            check_plan(found._jdf.queryExecution().analyzed(), VIEW)
+            return SqlResult(found)
         finally:
             spark.conf.set("spark.sql.runSQLOnFiles", files)
             if previous is None:

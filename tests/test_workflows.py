@@ -36,6 +36,29 @@ def test_sql_guard(spark, customer):
             run_sql(customer, bad)
 
 
+def test_sql_cell_reads_the_plan(spark, customer):
+    spark.range(3).createOrReplaceTempView("other_view")
+    for bad in (
+        "select transform(c_name) using 'cat' as (x) from dataset",
+        "select 1 -- '\n, reflect('java.lang.System', 'currentTimeMillis')",
+        "select java_method('java.lang.System', 'currentTimeMillis') as t",
+        "select * from other_view",
+        "select (select count(*) from other_view) as n from dataset",
+        "with dataset as (select * from other_view) select * from dataset",
+        "select * from parquet.`/root/testdata/sf0.001/region.parquet`",
+        "select 1) union (select 2",
+        "drop view dataset",
+        "set spark.sql.ansi.enabled = false",
+        "select 1; select 2",
+    ):
+        with pytest.raises(Exception):
+            run_sql(customer, bad)
+    renamed = customer.withColumnRenamed("c_name", "load").withColumnRenamed("c_acctbal", "copy")
+    assert run_sql(renamed, "select max(load) as a, sum(copy) as b from dataset -- it's fine").total == 1
+    query = "with t as (select c_mktsegment as k, count(*) as n from dataset group by 1) select * from t where n > (select avg(n) from t) order by k"
+    assert run_sql(customer, query).total > 0
+
+
 def test_sql_restores_a_view_of_the_same_name(spark, customer):
     spark.range(3).createOrReplaceTempView("dataset")
     assert run_sql(customer, "select count(*) as n from dataset").df.first()["n"] == customer.count()
