@@ -17,12 +17,8 @@ from gritstone.runtime import materialize, small_frame
 MATRIX_SCHEMA = "x_position int, y_position int, x string, y string, value double"
 # Sums evaluated by one generated aggregation.
 SUMS_PER_PASS = 80
-# Distinct values up to which a rank table is sent to every executor (about 16 bytes each).
-BROADCAST_VALUES = 1_000_000
 # A variance below this share of the squared mean is rounding noise of a constant column.
 NOISE = 1e-20
-# A value on more than this share of rows is ranked by broadcast; at most 1/share such values.
-HOT_SHARE = 0.001
 
 
 def _sums(base: DataFrame, exprs: dict) -> dict:
@@ -169,18 +165,16 @@ def _rank_correlation(
         return {}
     cells = [f"v{i}" for i in columns]
     rows = base.groupBy(*cells).agg(F.count("*").alias("w"))
-    sizes = rows.selectExpr(
-        "sum(w) as n", *[f"approx_count_distinct({c}, 0.02) as {c}" for c in cells]
-    ).first()
-    total = sizes["n"]
+    rows = materialize(rows)
+    total = rows.agg(F.sum("w")).first()[0]
     if not total:
         return dict.fromkeys(pairs)
-    if max(sizes[c] for c in cells) > BROADCAST_VALUES:
-        rows = materialize(rows)
     ranked = rows
     for c in cells:
         counted = rows.groupBy(F.col(c).alias("value")).agg(F.sum("w").alias("n"))
-        ranked = _attach_rank(ranked, c, average_ranks(counted, sizes[c]), sizes[c], total)
+        # Spark broadcasts the ranks if they are small, and splits the rows of a value that fills many.
+        ranks = average_ranks(counted).selectExpr(f"value as {c}", f"rank as {c}_rank")
+        ranked = ranked.join(ranks, c)
     centre = lit((total + 1) / 2)
     deviations = ranked.selectExpr(
         "w", *[f"{c}_rank - {centre} as d{i}" for i, c in zip(columns, cells)]
@@ -188,24 +182,3 @@ def _rank_correlation(
     wanted = {(i, j): f"sum(w * d{i} * d{j})" for i, j in [*pairs, *[(i, i) for i in columns]]}
     sums = _sums(deviations, wanted)
     return {(i, j): _ratio(sums[(i, j)], sums[(i, i)], sums[(j, j)]) for i, j in pairs}
-
-
-def _attach_rank(
-    rows: DataFrame, cell: str, ranks: DataFrame, distinct: int, total: int
-) -> DataFrame:
-    """Join each row with the rank of its value, safe for values that fill many rows."""
-    ranks = ranks.selectExpr(f"value as {cell}", f"rank as {cell}_rank", "n")
-    if distinct <= BROADCAST_VALUES:
-        return rows.join(F.broadcast(ranks.drop("n")), cell)
-    # At most 1/HOT_SHARE values are hot; they travel to the rows. The rows of hot
-    # values get a salt that matches nothing, so the shuffle spreads them evenly.
-    limit = max(1.0, HOT_SHARE * total)
-    hot = ranks.where(f"n > {lit(limit)}").selectExpr(cell, f"{cell}_rank as hot_rank")
-    cold = ranks.where(f"n <= {lit(limit)}").selectExpr(cell, f"{cell}_rank as cold_rank", "0 as salt")
-    keys = ", ".join(c for c in rows.columns if c != "w" and not c.endswith("_rank"))
-    marked = rows.join(F.broadcast(hot), cell, "left").selectExpr(
-        "*", f"if(hot_rank is null, 0, 1 + pmod(xxhash64({keys}), 9973)) as salt"
-    )
-    joined = marked.join(cold, [cell, "salt"], "left")
-    kept = [c for c in rows.columns]
-    return joined.selectExpr(*kept, f"coalesce(hot_rank, cold_rank) as {cell}_rank")

@@ -17,8 +17,6 @@ from gritstone.runtime import chunks, reliable_checkpoint, small_frame
 HISTOGRAM_SCHEMA = (
     "position int, column string, bin int, label string, low double, high double, count bigint"
 )
-# Distinct values up to which one sorted window ranks a column.
-WINDOW_VALUES = 2_000_000
 COLUMNS_PER_PASS = 8
 
 
@@ -78,7 +76,7 @@ def histogram_rows(flat: DataFrame, measured: list, bins: int | None = None) ->
     }
     counts: dict[tuple[int, int], int] = {}
     parts = []
-    for chunk in chunks(flat, [r for r in measured if r.position in sizes], COLUMNS_PER_PASS):
+    for chunk in chunks([r for r in measured if r.position in sizes], COLUMNS_PER_PASS):
         wide = flat.selectExpr(
             *[
                 f"{bin_index(f'cast({quote(r.column)} as double)', r.low, r.high, sizes[r.position])}"
@@ -104,17 +102,13 @@ def histogram_rows(flat: DataFrame, measured: list, bins: int | None = None) ->
     return rows
 
 
-def average_ranks(counted: DataFrame, distinct: int) -> DataFrame:
+def average_ranks(counted: DataFrame) -> DataFrame:
     """Add ``rank``, the average rank of each value, to a table (value, n).
 
-    Few distinct values are ranked by one sorted window. Many are range
-    partitioned and written to reliable storage; each part then ranks its own
-    values and adds the total of the parts before it.
+    Values are range partitioned and written to reliable storage; each part then
+    ranks its own values and adds the total of the parts before it.
     """
     average = "upto - (n - 1) / 2D as rank"
-    if distinct <= WINDOW_VALUES:
-        running = counted.selectExpr("value", "n", "sum(n) over (order by value) as upto")
-        return running.selectExpr("value", "n", average)
     ordered = counted.repartitionByRange("value").withColumn("part", F.spark_partition_id())
     fixed = reliable_checkpoint(ordered)
     before = "sum(total) over (order by part rows between unbounded preceding and 1 preceding)"

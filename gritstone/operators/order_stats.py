@@ -1,7 +1,6 @@
 """Exact order statistics and quantiles without sorting or collecting a column.
 
-Small inputs use Spark's exact ``percentile``. Larger ones are solved by
-selection: a sketch brackets every wanted rank, one job counts what lies before
+Ranks are found by selection: a sketch brackets every wanted rank, one job counts what lies before
 each bracket and groups the few values inside, and the answer is read from that
 bounded rest. The sketch only proposes brackets; the counts decide, so the
 result is exact whatever the sketch's error.
@@ -18,13 +17,12 @@ from pyspark.sql import DataFrame
 from gritstone.functions.values import number_literal as lit
 from gritstone.runtime import chunks
 
-# Cells (rows x columns) up to which the exact built-in aggregate is used directly.
-DIRECT_CELLS = 1_000_000
 # Largest number of values left inside one bracket before they are ranked.
 BRACKET_VALUES = 1_000_000
 SKETCH_ACCURACY = 2_000
 BRACKET_MARGIN = 3.0 / SKETCH_ACCURACY
 COLUMNS_PER_PASS = 8
+SEARCHES_PER_PASS = 16
 MAX_ROUNDS = 64
 
 
@@ -55,7 +53,7 @@ def _prepare(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
 def _points(base: DataFrame, aggregates: dict[int, str]) -> dict[int, list[float]]:
     """Evaluate one array-valued aggregate per key, a few per pass, in one job."""
     parts = []
-    for chunk in chunks(base, list(aggregates), COLUMNS_PER_PASS):
+    for chunk in chunks(list(aggregates), COLUMNS_PER_PASS):
         wide = base.selectExpr(*[f"{aggregates[i]} as p{i}" for i in chunk])
         rows = ", ".join(f"named_struct('i', {i}, 'points', p{i})" for i in chunk)
         parts.append(wide.selectExpr(f"inline(array({rows}))"))
@@ -77,24 +75,60 @@ def _sketch(base: DataFrame, counts: list[int], searches: list[Search]) -> None:
             s.low, s.high = points[i][2 * k], points[i][2 * k + 1]
 
 
+def _measured(base: DataFrame, searches: list[Search], build) -> dict[int, list]:
+    """Four aggregates per search, a few searches per pass, in one job."""
+    parts = []
+    for chunk in chunks(list(range(len(searches))), SEARCHES_PER_PASS):
+        wide, rows = [], []
+        for k in chunk:
+            wide += [f"{m} as m{k}_{j}" for j, m in enumerate(build(searches[k]))]
+            rows.append(f"named_struct('k', {k}, 'm', array(" + ", ".join(f"cast(m{k}_{j} as double)" for j in range(4)) + "))")
+        parts.append(base.selectExpr(*wide).selectExpr(f"inline(array({', '.join(rows)}))"))
+    return {row["k"]: row["m"] for row in reduce(DataFrame.union, parts).collect()}
+
+
 def _count(base: DataFrame, searches: list[Search]) -> None:
     """Count values before and inside each bracket; move a bracket that missed its rank."""
-    measures = []
-    for k, s in enumerate(searches):
+
+    def build(s: Search) -> list[str]:
         v = f"v{s.column}"
-        measures += [f"count_if({v} < {lit(s.low)}) as b{k}", f"count_if({v} <= {lit(s.high)}) as u{k}"]
-        measures += [f"min({v}) as l{k}", f"max({v}) as h{k}"]
-    row = base.selectExpr(*measures).first()
+        return [f"count_if({v} < {lit(s.low)})", f"count_if({v} <= {lit(s.high)})", f"min({v})", f"max({v})"]
+
+    found = _measured(base, searches, build)
     for k, s in enumerate(searches):
-        before, upto = row[f"b{k}"], row[f"u{k}"]
+        before, upto = int(found[k][0]), int(found[k][1])
         if s.rank < before:
-            s.low, s.high, s.below, s.inside = row[f"l{k}"], s.low, 0, None
+            s.low, s.high, s.below, s.inside = found[k][2], s.low, 0, None
         elif s.rank >= upto:
-            s.low, s.high, s.below, s.inside = s.high, row[f"h{k}"], before, None
+            s.low, s.high, s.below, s.inside = s.high, found[k][3], before, None
         else:
             s.below, s.inside = before, upto - before
 
 
+def _drop_ends(base: DataFrame, searches: list[Search]) -> None:
+    """Settle searches whose value is a bound of the bracket; take both bounds out of the others.
+
+    Two values that fill a bracket keep a sketch from narrowing it. Counting them
+    themselves always makes it smaller.
+    """
+
+    def build(s: Search) -> list[str]:
+        v, low, high = f"v{s.column}", lit(s.low), lit(s.high)
+        inner = f"if({v} > {low} and {v} < {high}, {v}, null)"
+        return [f"count_if({v} = {low})", f"count_if({v} = {high})", f"min({inner})", f"max({inner})"]
+
+    found = _measured(base, searches, build)
+    for k, s in enumerate(searches):
+        at_low, at_high = int(found[k][0]), int(found[k][1])
+        if s.rank < s.below + at_low:
+            s.high, s.inside = s.low, at_low
+        elif s.rank >= s.below + s.inside - at_high:
+            s.below, s.low, s.inside = s.below + s.inside - at_high, s.high, at_high
+        else:
+            s.below, s.inside = s.below + at_low, s.inside - at_low - at_high
+            s.low, s.high = found[k][2], found[k][3]
+
+
 def _narrow(base: DataFrame, searches: list[Search]) -> None:
     """Shrink crowded brackets: sketch only the values inside them, then recount."""
     _count(base, searches)
@@ -114,16 +148,21 @@ def _narrow(base: DataFrame, searches: list[Search]) -> None:
                 ends = _array(s.margins(s.inside))
                 aggregates[k] = f"percentile_approx({inside}, {ends}, {SKETCH_ACCURACY})"
             points = _points(base, aggregates)
+            stuck = [s for k, s in enumerate(crowded) if [s.low, s.high] == points[k]]
             for k, s in enumerate(crowded):
                 s.low, s.high = points[k]
-        _count(base, crowded + unsure)
+            if stuck:
+                _drop_ends(base, stuck)
+            crowded = [s for s in crowded if s not in stuck]
+        if crowded or unsure:
+            _count(base, crowded + unsure)
     raise RuntimeError("order statistic selection did not converge")
 
 
 def _gap_counts(base: DataFrame, segments: dict[int, list[list[float]]]) -> DataFrame:
     """(c, zone, v, n) with v null: how many values precede each bracket."""
     parts = []
-    for chunk in chunks(base, list(segments), COLUMNS_PER_PASS):
+    for chunk in chunks(list(segments), COLUMNS_PER_PASS):
         measures, rows = [], []
         for i in chunk:
             for k, (low, _) in enumerate(segments[i]):
@@ -139,7 +178,7 @@ def _gap_counts(base: DataFrame, segments: dict[int, list[list[float]]]) -> Data
 def _bracket_values(base: DataFrame, segments: dict[int, list[list[float]]]) -> DataFrame:
     """(c, zone, v, n): the distinct values inside the brackets."""
     parts = []
-    for chunk in chunks(base, list(segments), COLUMNS_PER_PASS):
+    for chunk in chunks(list(segments), COLUMNS_PER_PASS):
         masked = []
         for i in chunk:
             hits = [f"v{i} between {lit(low)} and {lit(high)}" for low, high in segments[i]]
@@ -224,10 +263,6 @@ def quantiles(
     if not exprs:
         return {}
     counts = counts or filled_counts(df, exprs)
-    if sum(counts[name] for name in exprs) <= DIRECT_CELLS:
-        aggregates = {i: f"percentile(v{i}, {_array(probabilities)})" for i in range(len(exprs))}
-        points = _points(_prepare(df, exprs), aggregates)
-        return {name: points[i] or [None] * len(probabilities) for i, name in enumerate(exprs)}
     ranks = {
         name: [
             r

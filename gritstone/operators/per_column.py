@@ -29,7 +29,7 @@ def per_column(
     """
     positions = {name: i for i, name in enumerate(order or df.columns)}
     parts = []
-    for chunk in chunks(df, names, width or max(1, MEASURES_PER_PASS // len(fields))):
+    for chunk in chunks(names, width or max(1, MEASURES_PER_PASS // len(fields))):
         wide = df.selectExpr(
             *[
                 f"{build(name)} as {field}_{i}"

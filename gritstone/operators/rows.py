@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 
 from gritstone.functions.values import as_text, is_text, quote
 from gritstone.operators.normalize import normalize
-from gritstone.runtime import spread
 
 # Texts longer than this are compared by their SHA-256 digest (64 characters).
 DIGEST_ABOVE = 48
@@ -21,7 +20,7 @@ def row_copies(df: DataFrame) -> DataFrame:
         if is_text(field.dataType):
             cell = f"if(length({cell}) > {DIGEST_ABOVE}, sha2({cell}, 256), {cell})"
         keys.append(f"{cell} as k{i}")
-    keyed = spread(flat.selectExpr(*keys))
+    keyed = flat.selectExpr(*keys)
     return keyed.groupBy(*keyed.columns).count()
 
 
@@ -54,7 +53,7 @@ def row_text(df: DataFrame) -> str:
 def fingerprint(df: DataFrame) -> DataFrame:
     """Order-free content fingerprint: row count and the sum of 48-bit row hashes."""
     flat = normalize(df)
-    texts = spread(flat).selectExpr(f"{row_text(flat)} as line")
+    texts = flat.selectExpr(f"{row_text(flat)} as line")
     part = "cast(conv(left(md5(line), 12), 16, 10) as decimal(20,0))"
     total = f"cast(cast(coalesce(sum({part}), 0) as decimal(38,0)) as string)"
     return texts.selectExpr(f"concat(cast(count(*) as string), '-', {total}) as fingerprint")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,24 +13,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-
-from gritstone.functions.values import ref
-
-
-# Passes over disjoint columns that a single-task input is divided into.
-SMALL_INPUT_PASSES = 4
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only when the session names none (a local test session) is a temporary
-    folder created and registered as the checkpoint directory.
+    Only a session on this machine alone (master ``local``) may leave it unset; it
+    then gets a temporary folder. On a cluster such a folder would be another one
+    on every machine, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured is None:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"Set spark.checkpoint.dir to a folder that all machines of {master} share.")
         configured = tempfile.mkdtemp(prefix="gritstone-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -85,32 +82,6 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructTy
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), struct)
 
 
-def fits_one_split(df: DataFrame) -> bool:
-    """True when the optimizer expects no more data than one file split holds."""
-    split = int(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= split
-
-
-def chunks(df: DataFrame, names: list, wide: int) -> list[list]:
-    """Group columns into passes over the table.
-
-    Large tables put ``wide`` columns into a pass, as many as generated code
-    holds. A table that arrives as a single task instead gets a few passes that
-    run side by side, each reading its own columns only.
-    """
-    width = wide
-    if len(names) > 1 and fits_one_split(df):
-        passes = min(SMALL_INPUT_PASSES, df.sparkSession.sparkContext.defaultParallelism)
-        width = max(1, min(wide, -(-len(names) // passes)))
-    return [names[i : i + width] for i in range(0, len(names), width)]
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that fits into a single file split.
-
-    Moving it costs at most that one split; larger inputs already have a task
-    per split and pass unchanged.
-    """
-    if not fits_one_split(df):
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *[ref(c) for c in df.columns])
+def chunks(names: list, wide: int) -> list[list]:
+    """Group columns into passes over the table, ``wide`` columns each, as many as generated code holds."""
+    return [names[i : i + wide] for i in range(0, len(names), wide)]

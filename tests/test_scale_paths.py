@@ -24,7 +24,6 @@ PROBABILITIES = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
 
 @pytest.mark.parametrize("bracket", [1_000_000, 40])
 def test_quantiles_by_selection(spark, skewed, monkeypatch, bracket):
-    monkeypatch.setattr(order_stats, "DIRECT_CELLS", 0)
     monkeypatch.setattr(order_stats, "BRACKET_VALUES", bracket)
     found = order_stats.quantiles(spark.createDataFrame(skewed), {"a": "a", "b": "b"}, PROBABILITIES)
     for c in ("a", "b"):
@@ -36,22 +35,19 @@ def test_selection_survives_a_wrong_sketch(spark, skewed, monkeypatch):
         for s in searches:
             s.low, s.high = 1000.0, 2000.0
 
-    monkeypatch.setattr(order_stats, "DIRECT_CELLS", 0)
     monkeypatch.setattr(order_stats, "_sketch", misleading)
     found = order_stats.quantiles(spark.createDataFrame(skewed), {"a": "a"}, [0.25, 0.5])
     assert found["a"] == pytest.approx(list(skewed["a"].quantile([0.25, 0.5])))
 
 
-def test_ranks_by_range_partition(spark, skewed, monkeypatch):
-    monkeypatch.setattr(distribution, "WINDOW_VALUES", 0)
+def test_ranks_by_range_partition(spark, skewed):
     counted = spark.createDataFrame(skewed).groupBy("a").count().toDF("value", "n")
-    found = {r["value"]: r["rank"] for r in distribution.average_ranks(counted, 10**9).collect()}
+    found = {r["value"]: r["rank"] for r in distribution.average_ranks(counted).collect()}
     expected = skewed["a"].rank()
     assert all(found[v] == r for v, r in zip(skewed["a"], expected))
 
 
-def test_spearman_with_hot_values_and_shuffle_join(spark, skewed, monkeypatch):
-    monkeypatch.setattr(corr, "BROADCAST_VALUES", 0)
+def test_spearman_with_hot_values(spark, skewed):
     found = {(r.x, r.y): r.value for r in corr.correlation(spark.createDataFrame(skewed), "spearman").collect()}
     assert found[("a", "b")] == pytest.approx(skewed.corr("spearman").loc["a", "b"], abs=1e-4)
 
@@ -77,3 +73,28 @@ def test_top_values_limit_each_task(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     plan = top_values(df)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_selection_settles_a_balanced_column(spark, monkeypatch):
+    monkeypatch.setattr(order_stats, "BRACKET_VALUES", 4)
+    df = spark.range(1000).selectExpr("cast(id % 2 as double) as a", "cast(if(id < 400, 0, if(id < 800, 1, id)) as double) as b")
+    found = order_stats.quantiles(df, {"a": "a", "b": "b"}, [0.25, 0.5, 0.75, 0.9])
+    frame = df.toPandas()
+    for c in ("a", "b"):
+        assert found[c] == pytest.approx(list(frame[c].quantile([0.25, 0.5, 0.75, 0.9])))
+
+
+@pytest.mark.parametrize("copies", [1, 600])
+@pytest.mark.parametrize("target", [None, "y"])
+def test_split_reports_the_rows_it_holds(spark, copies, target):
+    from gritstone.operators.split import train_test_split
+
+    df = spark.range(1000).selectExpr(f"if(id < {copies}, -1, id) as k", "id % 3 as y", "id as v")
+    for seed in range(4):
+        split = train_test_split(df, "k", target, seed=seed)
+        assert split.test.count() == split.rows_test
+        assert split.train.count() + split.rows_test == split.rows_total == 1000
+        assert 200 <= split.rows_test <= 202  # one row more per class at most
+    equal = df.select("k", "y")
+    split = train_test_split(equal, None, target)
+    assert split.test.count() == split.rows_test and split.train.count() == 1000 - split.rows_test
