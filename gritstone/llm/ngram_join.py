@@ -62,7 +62,7 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         seen: set[int] = set()
         for batch in batches:
-            rows = []
+            rows, fresh = [], [np.empty(0, U64)]
             for doc, text in zip(batch.doc_id, batch.text, strict=True):
                 tokens = shingles(text, width)
                 digest = _digest(tokens) if len(tokens) else None
@@ -70,7 +70,9 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
                 if digest is not None and digest not in seen:
                     if len(seen) < REMEMBERED:
                         seen.add(digest)
-                    counts += np.bincount((tokens >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+                    fresh.append(tokens)
+            spots = (np.concatenate(fresh) >> U64(64 - SKETCH_BITS)).astype(np.int64)
+            counts += np.bincount(spots, minlength=len(counts)).astype(np.uint32)
             yield pd.DataFrame({
                 "doc_id": pd.array([r[0] for r in rows], "Int64"), "n": [r[1] for r in rows],
                 "cls": pd.array([r[2] for r in rows], "Int64"), "part": 0, "block": -1, "counts": None,
@@ -205,35 +207,38 @@ def _pairs(lists: DataFrame, parts: int, percent: int, turn: int | None) -> Data
     def fits(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
         return 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
 
-    def of_list(cls: np.ndarray, n: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if turn is None:
-            for i in range(len(cls) - 1):
-                j = np.arange(i + 1, len(cls))
-                j = j[(comp[j] != comp[i]) & fits(n[j], n[i])]
-                if len(j):
-                    yield np.full(len(j), i), j
-            return
-        lead = np.argsort(mix(cls.view(U64) ^ U64(turn * 2 + 1)))
-        for i in lead[:2]:
-            j = np.flatnonzero((comp != comp[i]) & fits(n, n[i]))
-            if len(j):
-                yield np.full(len(j), i), j
+    def leaders(tokens: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Every row with the first two rows of its list, in the order of the turn's hash."""
+        order = np.lexsort((mix(cls.view(U64) ^ U64(turn * 2 + 1)), tokens))
+        new = np.append(True, tokens[order][1:] != tokens[order][:-1])
+        start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        yield order[start], order
+        yield order[start + 1], order  # a list has two rows at least
+
+    def everything(tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of rows of a list, by growing distance."""
+        i, step = np.arange(len(tokens) - 1), 1
+        while len(i):
+            i = i[tokens[i] == tokens[i + step]]
+            yield i, i + step
+            step += 1
+            i = i[i + step < len(tokens)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in _sorted_lists(batches):
             tokens, cls, n, comp = (frame[c].to_numpy() for c in ("token", "cls", "n", "comp"))
-            edges = np.flatnonzero(np.diff(tokens)) + 1
             out, held = [], 0
-            for s, e in zip(np.append(0, edges), np.append(edges, len(tokens)), strict=True):
-                for i, j in of_list(cls[s:e], n[s:e], comp[s:e]):
-                    first = cls[s + i] < cls[s + j]
-                    i, j = np.where(first, i, j) + s, np.where(first, j, i) + s
-                    out.append(np.stack([cls[i], n[i], cls[j], n[j], tokens[i] & 3], axis=1))
-                    held += len(i)
-                    if held > 500_000:
-                        yield _pair_batch(out)
-                        out, held = [], 0
-            if out:
+            for i, j in everything(tokens) if turn is None else leaders(tokens, cls):
+                good = (comp[i] != comp[j]) & fits(n[i], n[j])
+                i, j = i[good], j[good]
+                first = cls[i] < cls[j]
+                i, j = np.where(first, i, j), np.where(first, j, i)
+                out.append(np.stack([cls[i], n[i], cls[j], n[j], tokens[i] & 3], axis=1))
+                held += len(i)
+                if held > 500_000:
+                    yield _pair_batch(out)
+                    out, held = [], 0
+            if held:
                 yield _pair_batch(out)
 
     rows = lists.repartition(parts, "token").sortWithinPartitions("token")
@@ -338,7 +343,9 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, component long")
     small = max(1, parts // 4)
-    for turn in [*range(STAR_ROUNDS), None]:
+    turns: list[int | None] = [*range(STAR_ROUNDS), None]
+    while turns:
+        turn = turns.pop(0)
         # Lists whose members are all in one component have nothing more to tell.
         labelled = lists.select("token", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
         lists = materialize(_lists(labelled.select("token", "n", "cls", F.coalesce("component", "cls").alias("comp")), small, "comp"))
@@ -349,6 +356,8 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = components(links)
+        else:
+            turns = turns[-1:]  # leaders have nothing more to give
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     found = named.join(least, "component").select("cls", "component_id")
