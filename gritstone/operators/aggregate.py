@@ -10,8 +10,6 @@ from gritstone.operators.filters import Filter, apply_filters
 from gritstone.operators.normalize import normalize, require_columns, types_of
 
 AGGREGATIONS = {"count": "count", "sum": "sum", "mean": "avg", "min": "min", "max": "max"}
-DEFAULT_LIMIT = 500
-MAX_LIMIT = 2_000
 
 
 def _aggregate(agg: str, cell: str) -> str:
@@ -19,15 +17,19 @@ def _aggregate(agg: str, cell: str) -> str:
     return f"coalesce(sum({cell}), 0D)" if agg == "sum" else f"{AGGREGATIONS[agg]}({cell})"
 
 
+def _first(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(max(int(limit), 1))
+
+
 def query(
     df: DataFrame,
     groupby: list[str] | None = None,
     agg: str = "count",
     value_field: str | None = None,
     filters: list[Filter] | None = None,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Group, aggregate and keep the largest values.
+    """Group, aggregate and order by falling value; keep the first ``limit`` if given (say 500).
 
     Null group keys form a group. Result: the group columns and ``value``, or
     (metric, value) without grouping, or the first rows when neither applies.
@@ -35,16 +37,15 @@ def query(
     groups = [g for g in groupby or [] if g]
     require_columns(df, groups + ([value_field] if value_field else []))
     if agg not in AGGREGATIONS:
-        raise ValueError(f"Unsupported aggregation '{agg}'.")
+        raise ValueError(f"No aggregate is called '{agg}'; choose from {', '.join(AGGREGATIONS)}.")
     kept = apply_filters(df, filters or [])
-    capped = min(max(int(limit), 1), MAX_LIMIT)
     if not groups and agg != "count" and not value_field:
         flat = normalize(kept)
-        return flat.orderBy(*[quote(c) for c in flat.columns]).limit(capped)
+        return _first(flat.orderBy(*[quote(c) for c in flat.columns]), limit)
     if agg == "count":
         measure = "count(*)"
     elif not value_field:
-        raise ValueError("value_field is required for sum, mean, min, and max aggregations.")
+        raise ValueError(f"The aggregate '{agg}' needs a value_field.")
     else:
         measure = _aggregate(agg, numeric(quote(value_field), types_of(df)[value_field]))
     if not groups:
@@ -53,4 +54,4 @@ def query(
     keys = list(dict.fromkeys(groups))
     grouped = normalize(kept).groupBy(*[quote(k) for k in keys]).agg(F.expr(measure).alias("value"))
     order = [F.col("value").desc_nulls_last(), *[F.col(quote(k)) for k in keys]]
-    return grouped.orderBy(*order).limit(capped)
+    return _first(grouped.orderBy(*order), limit)

@@ -18,18 +18,10 @@ from gritstone.operators.order_stats import quantiles
 from gritstone.operators.per_column import per_column
 from gritstone.runtime import small_frame
 
-# Sizes of charts and plots.
-MISSINGNESS_BARS = 30
-HEATMAP_CELLS = 100
-CHART_ROWS = 100
-PREVIEW_ROWS = 200
+# Bins of a plot and the values that make a column small. Limits are parameters and off by default;
+# usual ones are 30 bars, 100 heatmap cells, 100 chart rows (200 in a preview), 8 plots, 8 slices, 6 boxes, 300 pairs.
 PLOT_BINS = 24
-PLOT_COLUMNS = 8
-SHARE_SLICES = 8
 SHARE_VALUES = 12
-BOX_COLUMNS = 6
-PAIR_COLUMNS = 5
-PAIR_ROWS = 300
 QUARTERS = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
@@ -46,51 +38,53 @@ class ChartConfig:
     title: str = ""
 
 
-def chart_missingness(df: DataFrame) -> DataFrame:
-    """(column, value): columns with the largest share of nulls."""
-    return stats.missingness(df).limit(MISSINGNESS_BARS).selectExpr("column", "null_percentage as value")
+def _first(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(limit)
 
 
-def chart_heatmap(df: DataFrame) -> DataFrame:
+def chart_missingness(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """(column, value): columns by falling share of nulls."""
+    return _first(stats.missingness(df), limit).selectExpr("column", "null_percentage as value")
+
+
+def chart_heatmap(df: DataFrame, limit: int | None = None) -> DataFrame:
     """(x, y, value): known correlations in column order."""
     cells = correlation(df, "pearson").orderBy("x_position", "y_position")
-    return cells.where("value is not null").limit(HEATMAP_CELLS).select("x", "y", "value")
+    return _first(cells.where("value is not null"), limit).select("x", "y", "value")
 
 
-def chart_data(df: DataFrame, chart: ChartConfig, preview: bool = False) -> DataFrame:
+def chart_data(df: DataFrame, chart: ChartConfig, preview: bool = False, limit: int | None = None) -> DataFrame:
     """Rows of a chart. A preview of a histogram, or without a value, counts."""
     if chart.chart_type == "missingness":
-        return chart_missingness(df)
+        return chart_missingness(df, limit)
     if chart.chart_type == "heatmap":
-        return chart_heatmap(df)
+        return chart_heatmap(df, limit)
     groups = list(chart.groupby) or ([chart.x_field] if chart.x_field else [])
-    agg, value, limit = chart.agg, chart.y_field, CHART_ROWS
-    if preview:
-        limit = PREVIEW_ROWS
-        if chart.chart_type == "histogram" or not chart.y_field:
-            agg, value = "count", None
+    agg, value = chart.agg, chart.y_field
+    if preview and (chart.chart_type == "histogram" or not chart.y_field):
+        agg, value = "count", None
     return query(df, groups, agg, value, list(chart.filters), limit)
 
 
-def eda_hist(df: DataFrame) -> DataFrame:
-    """Histograms with 24 bins of the first eight numeric columns."""
-    return histograms(df, bins=PLOT_BINS, limit=PLOT_COLUMNS)
+def eda_hist(df: DataFrame, columns: int | None = None) -> DataFrame:
+    """Histograms with 24 bins of the numeric columns, or of the first few."""
+    return histograms(df, bins=PLOT_BINS, limit=columns)
 
 
-def eda_share(df: DataFrame) -> DataFrame:
-    """Largest groups of the first text column, else of the last small column, else quartiles."""
+def eda_share(df: DataFrame, slices: int | None = None) -> DataFrame:
+    """Groups by falling size of the first text column, else of the last small column, else quartiles."""
     flat = normalize(df)
     texts = text_columns(flat)
     chosen = texts[0] if texts else None
     if chosen is None:
-        counted = {r.column: r.distinct_count for r in frequency.distinct_counts(flat).collect()}
-        small = [c for c in flat.columns if 1 < counted[c] <= SHARE_VALUES]
+        values = frequency.values_up_to(flat, flat.columns, SHARE_VALUES)  # an estimate rules out the others
+        small = [c for c in flat.columns if len(values.get(c, {})) > 1]
         if not small:
             return eda_quartile(flat)
         chosen = small[-1]
     label = f"coalesce({as_text(quote(chosen), types_of(flat)[chosen])}, 'nan') as label"
     grouped = flat.selectExpr(label).groupBy("label").count()
-    return grouped.orderBy(F.col("count").desc(), "label").limit(SHARE_SLICES)
+    return _first(grouped.orderBy(F.col("count").desc(), "label"), slices)
 
 
 def eda_quartile(df: DataFrame, column: str | None = None) -> DataFrame:
@@ -120,10 +114,10 @@ def eda_scatter(df: DataFrame) -> DataFrame:
     return normalize(df).selectExpr(f"{quote(numbers[0])} as x", f"{quote(numbers[1])} as y", f"{hue} as hue")
 
 
-def eda_box(df: DataFrame) -> DataFrame:
-    """Five-number summary of the first six numeric columns."""
+def eda_box(df: DataFrame, columns: int | None = None) -> DataFrame:
+    """Five-number summary of the numeric columns, or of the first few."""
     flat = normalize(df)
-    names = numeric_columns(flat)[:BOX_COLUMNS]
+    names = numeric_columns(flat)[:columns]
     ends = per_column(
         flat,
         names,
@@ -143,16 +137,20 @@ def eda_box(df: DataFrame) -> DataFrame:
     )
 
 
-def eda_pairs(df: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Up to 300 rows of the first five numeric columns, in the order of a seeded hash."""
+def eda_pairs(
+    df: DataFrame, key: list[str] | None = None, rows: int | None = None, columns: int | None = None
+) -> DataFrame:
+    """Numeric columns, all or the first few; all rows, or the ``rows`` ones with the smallest seeded hash."""
     flat = normalize(df)
-    names = numeric_columns(flat)[:PAIR_COLUMNS]
+    names = numeric_columns(flat)[:columns]
+    if rows is None:
+        return flat.selectExpr(*[quote(c) for c in names])
     place = stable_hash("'42'", *[quote(k) for k in (key or flat.columns)])
     ordered = flat.selectExpr(*[quote(c) for c in names], f"{place} as __place").orderBy("__place")
-    return ordered.limit(PAIR_ROWS).drop("__place")
+    return ordered.limit(rows).drop("__place")
 
 
-def eda_missing(df: DataFrame) -> DataFrame:
-    """(column, missing): the thirty columns with most missing cells."""
-    counted = stats.null_stats(df).orderBy(F.col("null_count").desc(), "position").limit(MISSINGNESS_BARS)
+def eda_missing(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """(column, missing): columns by falling number of missing cells."""
+    counted = _first(stats.null_stats(df).orderBy(F.col("null_count").desc(), "position"), limit)
     return counted.selectExpr("column", "null_count as missing")

@@ -170,11 +170,12 @@ def _rank_correlation(
     if not total:
         return dict.fromkeys(pairs)
     ranked = rows
+    counted = rows.unpivot(["w"], cells, "cell", "value").groupBy("cell", "value").agg(F.sum("w").alias("n"))
+    ranks = average_ranks(counted, "cell")
     for c in cells:
-        counted = rows.groupBy(F.col(c).alias("value")).agg(F.sum("w").alias("n"))
         # Spark broadcasts the ranks if they are small, and splits the rows of a value that fills many.
-        ranks = average_ranks(counted).selectExpr(f"value as {c}", f"rank as {c}_rank")
-        ranked = ranked.join(ranks, c)
+        own = ranks.where(F.col("cell") == c).selectExpr(f"value as {c}", f"rank as {c}_rank")
+        ranked = ranked.join(own, c)
     centre = lit((total + 1) / 2)
     deviations = ranked.selectExpr(
         "w", *[f"{c}_rank - {centre} as d{i}" for i, c in zip(columns, cells)]

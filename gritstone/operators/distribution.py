@@ -56,9 +56,9 @@ def ranges(flat: DataFrame, names: list[str]) -> list:
 
 
 def histograms(
-    df: DataFrame, columns: list[str] | None = None, bins: int | None = None, limit: int = 8
+    df: DataFrame, columns: list[str] | None = None, bins: int | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Equal-width histogram of the first ``limit`` numeric columns."""
+    """Equal-width histogram of the numeric columns; of the first ``limit`` if given (say 8)."""
     flat = normalize(df)
     names = (numeric_columns(flat) if columns is None else columns)[:limit]
     if not names:
@@ -102,19 +102,20 @@ def histogram_rows(flat: DataFrame, measured: list, bins: int | None = None) ->
     return rows
 
 
-def average_ranks(counted: DataFrame) -> DataFrame:
-    """Add ``rank``, the average rank of each value, to a table (value, n).
+def average_ranks(counted: DataFrame, by: str | None = None) -> DataFrame:
+    """Add ``rank``, the average rank of each value, to a table (value, n) or, for each ``by``, (by, value, n).
 
     Values are range partitioned and written to reliable storage; each part then
     ranks its own values and adds the total of the parts before it.
     """
-    average = "upto - (n - 1) / 2D as rank"
-    ordered = counted.repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    keys = [by] if by else []
+    ordered = counted.repartitionByRange(*keys, "value").withColumn("part", F.spark_partition_id())
     fixed = reliable_checkpoint(ordered)
-    before = "sum(total) over (order by part rows between unbounded preceding and 1 preceding)"
-    totals = fixed.groupBy("part").agg(F.sum("n").alias("total"))
-    # One row per range partition, so this side is as small as the partition count.
-    offsets = totals.selectExpr("part", f"coalesce({before}, 0) as offset")
-    placed = fixed.selectExpr("*", "sum(n) over (partition by part order by value) as running")
-    joined = placed.join(F.broadcast(offsets), "part")
-    return joined.selectExpr("value", "n", "running + offset as upto").selectExpr("value", "n", average)
+    group = f"partition by {by} " if by else ""
+    before = f"sum(total) over ({group}order by part rows between unbounded preceding and 1 preceding)"
+    totals = fixed.groupBy(*keys, "part").agg(F.sum("n").alias("total"))
+    # At most one row per range partition and key, so this side is as small as the partition count.
+    offsets = totals.selectExpr(*keys, "part", f"coalesce({before}, 0) as offset")
+    placed = fixed.selectExpr("*", f"sum(n) over (partition by {', '.join([*keys, 'part'])} order by value) as running")
+    joined = placed.join(F.broadcast(offsets), [*keys, "part"])
+    return joined.selectExpr(*keys, "value", "n", "running + offset - (n - 1) / 2D as rank")

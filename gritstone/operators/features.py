@@ -21,7 +21,6 @@ from gritstone.runtime import small_frame
 ONE_HOT_VALUES = 30
 PCA_VARIANCE = 0.9
 MIN_VARIANCE = 1e-10
-MAX_FEATURES = 80
 MAX_CORRELATION = 0.98
 INTERACTION_COLUMNS = 4
 TARGET_VALUES = 20
@@ -173,8 +172,8 @@ def variances(df: DataFrame, columns: list[str]) -> dict[str, float]:
     return dict(sorted(found.items(), key=lambda item: -item[1]))
 
 
-def variance_select(df: DataFrame, columns: list[str] | None = None, limit: int = MAX_FEATURES) -> list[str]:
-    """Columns that vary, by falling variance, at most ``limit``."""
+def variance_select(df: DataFrame, columns: list[str] | None = None, limit: int | None = None) -> list[str]:
+    """Columns that vary, by falling variance; the first ``limit`` if given (say 80)."""
     ranked = variances(df, df.columns if columns is None else columns)
     return [c for c, v in ranked.items() if v > MIN_VARIANCE][:limit]
 
@@ -195,7 +194,7 @@ def drop_correlated(df: DataFrame, columns: list[str], limit: float = MAX_CORREL
 def interaction_features(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Add products and squares of the columns with the largest variance."""
     names = df.columns if columns is None else columns
-    if not 2 <= len(names) <= MAX_FEATURES:
+    if len(names) < 2:
         return df
     top = list(variances(df, names))[:INTERACTION_COLUMNS]
     added = [(f"{a}__x__{b}", f"{quote(a)} * {quote(b)}") for a, b in combinations(top, 2)]

@@ -51,8 +51,7 @@ from gritstone.runtime import small_frame
 MIN_ROWS = 5
 # Depth that stands for "unlimited"; trees double in size with every level.
 DEFAULT_DEPTH = 12
-# Categories kept as single columns; a column with more is hashed to a fixed width.
-MAX_CATEGORIES = 1_000
+# Width of a hashed categorical feature, see ``hash_above`` of ``train``.
 HASHED_WIDTH = 4_096
 MAX_CLASSES = 1_000
 STORAGE = StorageLevel.MEMORY_AND_DISK
@@ -166,7 +165,7 @@ def _penalty(strength: float, rows: int) -> float:
     return 1.0 / (float(strength) * max(rows, 1))
 
 
-def _preprocess(train: DataFrame, features: list[str], pca: int | None) -> tuple[list, dict]:
+def _preprocess(train: DataFrame, features: list[str], pca: int | None, hash_above: int | None) -> tuple[list, dict]:
     """Pipeline stages from raw columns to a feature vector, fitted on the training rows."""
     types = types_of(train)
     numbers = [c for c in features if is_number(types[c]) or isinstance(types[c], T.BooleanType)]
@@ -185,8 +184,9 @@ def _preprocess(train: DataFrame, features: list[str], pca: int | None) -> tuple
         for i, c in enumerate(numbers):
             columns.append(f"{feature_ops.scaled(filled[c], *facts[c])} as __num_{i}")
     if categories:
-        estimates = frequency.near_distinct(train, categories)
-        plan["hashed"] = [c for c in categories if estimates[c] > MAX_CATEGORIES]
+        if hash_above is not None:
+            counted = frequency.distinct_counts(train, categories).collect()
+            plan["hashed"] = [r.column for r in counted if r.distinct_count > hash_above]
         plan["categories"] = [c for c in categories if c not in plan["hashed"]]
         common = {r.column: r["mode"] for r in frequency.modes(train, categories).collect()}
         for c in categories:
@@ -268,7 +268,7 @@ def _tune(estimator, train: DataFrame, model_type: str, task: str, grid: dict, r
         param = base.getParam(PARAMS[model_type][name])
         if name == "C":
             values = [_penalty(v, rows) for v in values]
-        builder.addGrid(param, [DEFAULT_DEPTH if v is None else v for v in dict.fromkeys(values)])
+        builder.addGrid(param, list(dict.fromkeys(DEFAULT_DEPTH if v is None else v for v in values)))
     if task == "classification":
         evaluator = MulticlassClassificationEvaluator(metricName="accuracy")
     else:
@@ -295,11 +295,14 @@ def train(
     top: int = 30,
     prepared: bool = False,
     split: Split | None = None,
+    hash_above: int | None = None,
+    max_classes: int = MAX_CLASSES,
 ) -> ModelRun:
     """Train one model on 80 % of the rows and evaluate it on the rest.
 
     ``tune`` searches the default grid, or the grid passed in its place.
-    ``prepared`` marks features that are already numeric and scaled.
+    ``prepared`` marks features that are already numeric and scaled. Categories become one column each (in sparse
+    vectors); ``hash_above`` instead hashes features with more distinct values to a fixed width.
     """
     started = time.perf_counter()
     chosen = [c for c in df.columns if c != target] if features is None else list(features)
@@ -324,12 +327,12 @@ def train(
         stages = [VectorAssembler(inputCols=chosen, outputCol="features")]
         plan = {"numbers": chosen, "categories": [], "hashed": [], "pca": None}
     else:
-        stages, plan = _preprocess(split.train, chosen, pca)
+        stages, plan = _preprocess(split.train, chosen, pca, hash_above)
     labels: list[str] = []
     if kind == "classification":
-        found = frequency.values_up_to(split.train, [target], MAX_CLASSES)
+        found = frequency.values_up_to(split.train, [target], max_classes)
         if target not in found:
-            raise ValueError(f"A classification target holds at most {MAX_CLASSES} classes.")
+            raise ValueError(f"The target has more than max_classes = {max_classes} classes.")
         labels = sorted(found[target])
         stages.append(SQLTransformer(statement=f"SELECT *, {_label_sql(target, data, labels)} AS label FROM __THIS__"))
     else:
@@ -419,11 +422,11 @@ def predict(run: ModelRun, df: DataFrame) -> DataFrame:
 
 def auto_train(
     df: DataFrame, target: str | None = None, key: list[str] | str | None = None,
-    params: dict[str, dict] | None = None, tune: bool = False,
+    params: dict[str, dict] | None = None, tune: bool | dict[str, dict] = False,
 ) -> tuple[ModelRun, DataFrame]:
     """Feature-model loop: up to three feature sets, three models each.
 
-    Stops when the review passes and returns the best run by penalised score
+    ``tune`` searches the staged grids, or the given ones by model family. Stops when the review passes and returns the best run by penalised score
     with the comparison of all candidates.
     """
     goal = target if target in df.columns else feature_ops.choose_target(df)
@@ -434,13 +437,14 @@ def auto_train(
     names = [n for n in names if n not in keys]
     linear = "logistic_regression" if task == "classification" else "linear_regression"
     defaults = {linear: {"max_iter": 500}, "random_forest": {"n_estimators": 120}, "gradient_boosting": {}}
+    grids = STAGED_GRIDS if tune is True else tune or {}
     rows, best, best_score = [], None, None
     for loop, (label, table, columns, _) in enumerate(feature_ops.feature_variants(prepared, names), start=1):
         champion = None
         for family, base in defaults.items():
             run = train(
                 table, goal, columns, task, family, {**base, **(params or {}).get(family, {})},
-                tune=STAGED_GRIDS.get(family, False) if tune else False, key=keys or None, top=12, prepared=True,
+                tune=grids.get(family, False), key=keys or None, top=12, prepared=True,
             )
             test = run.metrics["accuracy" if task == "classification" else "r2"]
             gap = run.train_score - test

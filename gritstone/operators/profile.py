@@ -201,7 +201,7 @@ class Profile:
 
     @cached_property
     def histograms(self) -> DataFrame:
-        numeric_names = numeric_columns(self.df)[:8]
+        numeric_names = numeric_columns(self.df)
         measured = [SimpleNamespace(**r) for r in self.ranges if r["column"] in numeric_names]
         bins = distribution.histogram_rows(self.df, measured)
         return small_frame(self.df.sparkSession, bins, distribution.HISTOGRAM_SCHEMA)
@@ -219,7 +219,7 @@ class Profile:
     @cached_property
     def category_distributions(self) -> DataFrame:
         rows_ = []
-        shown = [c for c in self.columns if c["inferred_type"] in TEXT_KINDS and c["top_values"]][:8]
+        shown = [c for c in self.columns if c["inferred_type"] in TEXT_KINDS and c["top_values"]]
         for c in shown:
             for k, entry in enumerate(c["top_values"]):
                 rows_.append((c["position"], c["column"], k + 1, entry["value"], entry["count"]))
@@ -237,8 +237,8 @@ class Profile:
         return rows.sample_rows(self.df, n, order_by)
 
 
-def list_problems(summary: dict, columns: list[dict], limit: int = 30) -> list[str]:
-    """Problem texts in report order: dataset first, then column by column."""
+def list_problems(summary: dict, columns: list[dict], limit: int | None = None) -> list[str]:
+    """Problem texts in report order: dataset first, then column by column; the first ``limit`` if given (say 30)."""
     found = []
     if summary["duplicate_rows"]:
         found.append(f"{summary['duplicate_rows']} duplicate rows")
@@ -407,16 +407,14 @@ def detected_problems(df: DataFrame) -> DataFrame:
     return small_frame(df.sparkSession, list(enumerate(found)), "position int, problem string")
 
 
-def category_distributions(df: DataFrame) -> DataFrame:
-    """Top values of the first text-like columns, at most eight columns."""
+def category_distributions(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Top values of the text-like columns; of the first ``limit`` filled ones if given (say 8)."""
     kinds = infer_kinds(df)
     names = [n for n, k in kinds.items() if k in TEXT_KINDS]
-    top = frequency.top_values(df, 8, names)
-    if len(names) > 8:
-        filled = {r.column for r in frequency.distinct_counts(df, names).where("distinct_count > 0").collect()}
-        shown = [n for n in names if n in filled][:8]
-        top = top.where(f"column in ({', '.join(text_literal(n) for n in shown)})")
-    return top.selectExpr("position", "column", "rank", "value as label", "n as count")
+    if limit is not None and len(names) > limit:
+        missing = {r.column: r.null_percentage for r in stats.null_stats(df).collect()}
+        names = [n for n in names if missing[n] < 100][:limit]
+    return frequency.top_values(df, 8, names).selectExpr("position", "column", "rank", "value as label", "n as count")
 
 
 def profile_summary(df: DataFrame) -> DataFrame:

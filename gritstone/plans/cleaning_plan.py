@@ -11,9 +11,6 @@ from gritstone.functions.values import BLANK_MARKERS
 from gritstone.operators.profile import Profile
 from gritstone.runtime import small_frame
 
-MAX_OPERATIONS = 16
-MAX_ISSUES = 12
-
 # Title, reason, destructive flag and confidence of each operation type.
 OPERATION_FACTS = {
     "remove_duplicates": (
@@ -61,10 +58,12 @@ PLAN_SCHEMA = (
 
 @dataclass
 class CleaningPlan:
-    """Ordered operations with the issues that led to them."""
+    """Ordered operations with the issues that led to them, all of them unless limits are given (say 16 and 12)."""
 
     profile: Profile
     request: str = ""
+    max_operations: int | None = None
+    max_issues: int | None = None
 
     @property
     def summary(self) -> str:
@@ -72,7 +71,7 @@ class CleaningPlan:
 
     @property
     def issues(self) -> list[str]:
-        return self.profile.problems[:MAX_ISSUES]
+        return self.profile.problems[: self.max_issues]
 
     @cached_property
     def steps(self) -> list[tuple[str, str | None, str]]:
@@ -90,7 +89,7 @@ class CleaningPlan:
                 found.append(("parse_dates", name, ""))
             if kind == "email":
                 found.append(("validate_email", name, f"flag_column={name}_is_valid"))
-        return found[:MAX_OPERATIONS] or [("copy_with_manifest", None, "")]
+        return found[: self.max_operations] or [("copy_with_manifest", None, "")]
 
     @property
     def risk_level(self) -> str:
@@ -110,6 +109,8 @@ class CleaningPlan:
         return small_frame(self.profile.df.sparkSession, rows, PLAN_SCHEMA)
 
 
-def plan_cleaning(profile: Profile, request: str = "") -> CleaningPlan:
+def plan_cleaning(
+    profile: Profile, request: str = "", max_operations: int | None = None, max_issues: int | None = None
+) -> CleaningPlan:
     """Plan the cleaning of a profiled table. Every plan requires approval."""
-    return CleaningPlan(profile, request)
+    return CleaningPlan(profile, request, max_operations, max_issues)

@@ -21,7 +21,6 @@ class Stage:
     """What a stage runs and whether its table becomes the next version."""
 
     steps: tuple[str, ...]
-    features: bool = False
     pca: bool = False
     plots: bool = False
     outliers: bool = False
@@ -41,12 +40,12 @@ STAGES = {
     "explore_data": Stage((LOAD, "explore_data", CHECK)),
     "visualize_data": Stage((LOAD, "visualize_data", CHECK), plots=True),
     "clean_data": Stage((LOAD, "clean_and_preprocess", CHECK), outliers=True, promotes=True),
-    "feature_engineering": Stage((LOAD, "feature_engineering", CHECK), features=True, promotes=True),
-    "prepare_data": Stage((*PREPARED, "pca_variance", CHECK), features=True, pca=True, promotes=True),
-    "split_data": Stage((*PREPARED, "split_data", CHECK), features=True, split=True),
-    "train_model": Stage((*MODELLED, CHECK), True, True, split=True, model=True),
-    "tune_evaluate": Stage((*MODELLED, CHECK), True, True, plots=True, split=True, model=True, tune=True),
-    "save_predict": Stage((*MODELLED, "generate_predictions", CHECK), True, True, plots=True, split=True, model=True),
+    "feature_engineering": Stage((LOAD, "feature_engineering", CHECK), promotes=True),
+    "prepare_data": Stage((*PREPARED, "pca_variance", CHECK), pca=True, promotes=True),
+    "split_data": Stage((*PREPARED, "split_data", CHECK), split=True),
+    "train_model": Stage((*MODELLED, CHECK), split=True, model=True, tune=True),
+    "tune_evaluate": Stage((*MODELLED, CHECK), plots=True, split=True, model=True, tune=True),
+    "save_predict": Stage((*MODELLED, "generate_predictions", CHECK), plots=True, split=True, model=True, tune=True),
 }
 # Outputs without which a stage counts as failed.
 REQUIRED = {
@@ -74,7 +73,7 @@ class StageResult:
     steps: tuple[str, ...] = ()
     outputs: dict[str, DataFrame] = field(default_factory=dict)
     version: int | None = None
-    error: str | None = None
+    error: Exception | None = None
     run: models.ModelRun | None = None
 
     def write(self, path: str) -> None:
@@ -96,6 +95,7 @@ class Workflow:
     params: dict = field(default_factory=dict)
     row_filter: Filter | None = None
     models_root: str | None = None
+    grids: dict[str, dict] | None = None
 
     def run(self, name: str) -> StageResult:
         current = self.store.read(self.dataset_id)
@@ -155,7 +155,7 @@ class Workflow:
                 split = train_test_split(table, self.key or None, goal if task == "classification" else None)
                 outputs["split_summary"] = split_summary(split, task, len(names))
         if stage.model:
-            run, comparison = models.auto_train(current, goal, self.key or None, self.params, tune=stage.tune)
+            run, comparison = models.auto_train(current, goal, self.key or None, self.params, tune=stage.tune and (self.grids or True))
             outputs.update(
                 model_comparison=comparison,
                 metrics=run.metric_table(current.sparkSession),
@@ -179,20 +179,24 @@ def run_stages(
     row_filter: Filter | None = None,
     dataset_id: str | None = None,
     models_root: str | None = None,
+    grids: dict[str, dict] | None = None,
 ) -> list[StageResult]:
-    """Store a table and run the stages on it in order, stopping at the first failure."""
+    """Store a table and run the stages on it in order, stopping at the first failure.
+
+    A failed stage carries its exception. ``grids`` replaces the staged tuning grids of the model families.
+    """
     names = list(STAGES) if stages is None else list(stages)
     unknown = [n for n in names if n not in STAGES and n != "filter_rows"]
     if unknown:
         raise ValueError(f"Unknown stage(s): {', '.join(unknown)}")
     dataset = store.create(df, "workflow.parquet", dataset_id)
     keys = [key] if isinstance(key, str) else list(key or [])
-    flow = Workflow(store, dataset, target, keys, params or {}, row_filter, models_root)
+    flow = Workflow(store, dataset, target, keys, params or {}, row_filter, models_root, grids)
     results: list[StageResult] = []
     for name in names:
         try:
             results.append(flow.run(name))
         except Exception as exc:
-            results.append(StageResult(name, "failed", error=str(exc)))
+            results.append(StageResult(name, "failed", error=exc))
             break
     return results

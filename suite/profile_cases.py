@@ -388,7 +388,7 @@ def _(spark, sf_dir):
     return found.withColumn("value", F.round("value", 2))
 
 
-SPEARMAN_COLUMNS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount"]
+SPEARMAN_COLUMNS = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"]
 
 
 def spearman_sql() -> str:

@@ -8,7 +8,7 @@ from gritstone.operators import charts
 from gritstone.operators.filters import Filter
 from gritstone.operators.profile import profile
 from gritstone.operators.report import report
-from gritstone.plans.stages import run_stages
+from gritstone.plans.stages import SHORT_FLOW, run_stages
 from gritstone.runtime import scratch_path, small_frame
 from gritstone.sources.versions import VersionStore
 from suite.base import (
@@ -118,7 +118,7 @@ def _(spark, sf_dir):
 
 @case(
     "report_summary",
-    f"""{BASE} select format('The selected dataset version contains {{:,}} rows and {{}} columns. Profiling found {{}} reportable quality findings across {{:,}} missing cells and {{:,}} invalid values.',
+    f"""{BASE} select format('{{:,}} rows in {{}} columns were profiled: {{}} findings, {{:,}} missing cells, {{:,}} invalid values.',
       row_count, column_count, (select count(*) from placed where place <= 30), null_cells, (select n from invalid)) as summary from d""",
 )
 def _(spark, sf_dir):
@@ -157,7 +157,7 @@ def _(spark, sf_dir):
     return charts.chart_data(table(spark, sf_dir, "part"), chart, preview=True)
 
 
-PLOTTED = [(i, n) for i, n in enumerate(LINEITEM_COLUMNS) if LINEITEM_COLUMNS[n] in NUMERIC_KINDS][:8]
+PLOTTED = [(i, n) for i, n in enumerate(LINEITEM_COLUMNS) if LINEITEM_COLUMNS[n] in NUMERIC_KINDS]
 
 
 @case("eda_hist", histogram_sql("lineitem", PLOTTED, "24"))
@@ -194,7 +194,7 @@ def _(spark, sf_dir):
     " union all ".join(
         f"select '{n}' as feature, count({n}) as n, cast(min({n}) as double) as minimum, round(quantile_cont({n}::double, 0.25), 4) as q25,"
         f" round(quantile_cont({n}::double, 0.5), 4) as median, round(quantile_cont({n}::double, 0.75), 4) as q75, cast(max({n}) as double) as maximum from lineitem"
-        for _, n in PLOTTED[:6]
+        for _, n in PLOTTED
     ),
 )
 def _(spark, sf_dir):
@@ -209,7 +209,7 @@ def _(spark, sf_dir):
     order by cast(('0x' || left(md5(concat_ws('|', '42', cast(o_orderkey as varchar))), 13)) as bigint) limit 300""",
 )
 def _(spark, sf_dir):
-    return charts.eda_pairs(table(spark, sf_dir, "orders"), ["o_orderkey"])
+    return charts.eda_pairs(table(spark, sf_dir, "orders"), ["o_orderkey"], rows=300)
 
 
 @case(
@@ -226,15 +226,16 @@ def _(spark, sf_dir):
 def flow(spark, sf_dir, stages):
     store = VersionStore(spark, scratch_path(spark, "flow"))
     small = {"random_forest": {"n_estimators": 5, "max_depth": 4}, "gradient_boosting": {"n_estimators": 3}}
+    grids = {"random_forest": {"n_estimators": [3, 5], "max_depth": [None, 4]}, "gradient_boosting": {"max_depth": [2, 3]}}
     source = table(spark, sf_dir, "customer").drop("c_name")
     return run_stages(
         source, store, stages, "c_acctbal", "c_custkey", small, Filter("c_nationkey", "<", 20),
-        models_root=scratch_path(spark, "models"),
+        models_root=scratch_path(spark, "models"), grids=grids,
     )
 
 
 def status_rows(spark, results):
-    rows = [(i, r.stage, r.status, r.version, r.error) for i, r in enumerate(results)]
+    rows = [(i, r.stage, r.status, r.version, r.error and str(r.error)) for i, r in enumerate(results)]
     return small_frame(spark, rows, "place int, stage string, status string, version int, error string")
 
 
@@ -242,11 +243,11 @@ def status_rows(spark, results):
 def _(spark, sf_dir):
     stages = [
         "load_data", "explore_data", "visualize_data", "clean_data", "feature_engineering", "prepare_data",
-        "split_data", "train_model", "save_predict",
+        "split_data", "train_model", "tune_evaluate", "save_predict",
     ]
     return status_rows(spark, flow(spark, sf_dir, stages))
 
 
 @case("workflow_short")
 def _(spark, sf_dir):
-    return status_rows(spark, flow(spark, sf_dir, ["clean_data", "filter_rows", "prepare_data", "train_model"]))
+    return status_rows(spark, flow(spark, sf_dir, list(SHORT_FLOW)))
