@@ -30,10 +30,15 @@ class VersionStore:
         return f"{self.root.rstrip('/')}/_catalog"
 
     def _catalog(self) -> DataFrame:
-        return self.spark.read.schema(CATALOG_SCHEMA).parquet(self._catalog_path)
+        """One row per version; of two promotions to one number the first counts."""
+        rows = self.spark.read.schema(CATALOG_SCHEMA).parquet(self._catalog_path)
+        first = "row_number() over (partition by dataset_id, version order by created_at, path) as place"
+        return rows.selectExpr("*", first).where("place = 1").drop("place")
 
     def _add(self, df: DataFrame, dataset_id: str, filename: str, version: int, label: str) -> int:
-        path = f"{self.root.rstrip('/')}/{dataset_id}/version={version}"
+        # Every attempt writes a folder of its own; it becomes a version with its catalog row, so an attempt that is
+        # interrupted in between leaves nothing that blocks the next one.
+        path = f"{self.root.rstrip('/')}/{dataset_id}/version-{version}-{uuid.uuid4().hex[:8]}"
         df.write.mode("error").parquet(path)
         stored = self.spark.read.parquet(path)
         facts = dataset_summary(stored)
@@ -43,6 +48,8 @@ class VersionStore:
             facts["data_quality_score"], facts["fingerprint"],
         )
         small_frame(self.spark, [row], CATALOG_SCHEMA).coalesce(1).write.mode("append").parquet(self._catalog_path)
+        if self._versions(dataset_id).where(F.col("version") == version).first()["path"] != path:
+            raise RuntimeError(f"Version {version} of '{dataset_id}' was stored by another promotion.")
         return version
 
     def create(self, df: DataFrame, filename: str, dataset_id: str | None = None) -> str:
@@ -71,7 +78,8 @@ class VersionStore:
         wanted = latest["version"] if version is None else version
         if not 1 <= wanted <= latest["version"]:
             raise KeyError(f"Unknown version {wanted} of '{dataset_id}'.")
-        return self.spark.read.parquet(f"{self.root.rstrip('/')}/{dataset_id}/version={wanted}")
+        row = self._versions(dataset_id).where(F.col("version") == wanted).first()
+        return self.spark.read.parquet(row["path"])
 
     def list(self) -> DataFrame:
         """All versions, newest first."""

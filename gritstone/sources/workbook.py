@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritstone.functions.values import quote
+from gritstone.runtime import share_package
 
 # Names of the workbook format.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -76,32 +77,69 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
                 yield [cells.get(i) for i in range(max(cells, default=-1) + 1)]
 
 
+def header_names(cells: list[str | None]) -> list[str]:
+    """Column names of a header row; empty cells are numbered and repeated names get .1, .2 and so on."""
+    names: list[str] = []
+    for i, cell in enumerate(cells):
+        base = name = cell or f"Unnamed: {i}"
+        count = 0
+        while name in names:
+            count += 1
+            name = f"{base}.{count}"
+        names.append(name)
+    return names
+
+
 def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """All rows below the header of each file's first sheet, every cell as text."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """All rows below the header of each file's first sheet, every cell as text; see ``workbook_rows``."""
+    return workbook_rows(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def workbook_rows(files: DataFrame) -> DataFrame:
+    """Rows of the workbooks in ``path, content``.
+
+    Each file is read by its own header: columns are matched by name, a column that
+    a file lacks is null there, and all files' columns appear, in the order in which
+    the files, sorted by path, bring them. Rows may be shorter than their header; a
+    cell to the right of it gets a numbered column.
+    """
+    spark = files.sparkSession
+    share_package(spark)
 
     def headers(batches):
         for batch in batches:
-            for content in batch["content"]:
-                names = next(sheet_rows(content), [])
-                yield pd.DataFrame({"names": [[n if n else f"Unnamed: {i}" for i, n in enumerate(names)]]})
+            for file, content in zip(batch["path"], batch["content"]):
+                rows = sheet_rows(content)
+                first = next(rows, [])
+                width = max([len(first), *map(len, rows)])
+                yield pd.DataFrame({"path": [file], "names": [header_names([*first, *[None] * (width - len(first))])]})
 
-    names = files.limit(1).mapInPandas(headers, "names array<string>").first()["names"]
+    # One short row per file.
+    found = sorted(files.mapInPandas(headers, "path string, names array<string>").collect())
+    names = list(dict.fromkeys(n for row in found for n in row["names"]))
+    if not names:
+        return spark.createDataFrame([], "value string").drop("value")
 
     def cells(batches):
         for batch in batches:
             for content in batch["content"]:
                 rows = sheet_rows(content)
-                next(rows, None)
-                block = []
+                own = header_names(next(rows, []))
+                block: list[list[str | None]] = []
                 for row in rows:
-                    block.append([*row, *[None] * len(names)][: len(names)])
+                    own += header_names([*own, *[None] * (len(row) - len(own))])[len(own) :]
+                    block.append(row)
                     if len(block) == ROWS_PER_BATCH:
-                        yield pd.DataFrame(block, columns=names, dtype=object)
+                        yield _frame(block, own, names)
                         block = []
                 if block:
-                    yield pd.DataFrame(block, columns=names, dtype=object)
+                    yield _frame(block, own, names)
 
     schema = ", ".join(f"{quote(n)} string" for n in names)
     # Several files per task would serialise them; a file is the unit of work.
     return files.select(F.col("content")).mapInPandas(cells, schema)
+
+
+def _frame(rows: list[list[str | None]], own: list[str], names: list[str]) -> pd.DataFrame:
+    filled = [[*row, *[None] * (len(own) - len(row))] for row in rows]
+    return pd.DataFrame(filled, columns=own, dtype=object).reindex(columns=names).astype(object).where(lambda d: d.notna(), None)

@@ -108,6 +108,43 @@ def test_versions_are_immutable(spark, customer):
         store.read("nothing")
 
 
+def test_promotion_after_an_interrupted_one(spark, customer, monkeypatch):
+    from gritstone.sources import versions
+
+    store = VersionStore(spark, scratch_path(spark, "store"))
+    dataset = store.create(customer, "customer.csv")
+    with monkeypatch.context() as broken:
+        broken.setattr(versions, "dataset_summary", lambda df: 1 / 0)  # the table is written, its catalog row is not
+        with pytest.raises(ZeroDivisionError):
+            store.promote(customer, dataset, "first try")
+    assert store.promote(customer.limit(3), dataset, "second try") == 2
+    assert store.read(dataset).count() == 3 and store.list().count() == 2
+
+
+def test_workbooks_from_files(spark, tmp_path):
+    from gritstone.sources.reader import read_dataset
+    from suite.source_cases import workbook
+
+    (tmp_path / "a.xlsx").write_bytes(workbook(["id", "v", "v"], [[1, "a", "b"], [2, "c"]]))
+    (tmp_path / "b.xlsx").write_bytes(workbook(["v", "id"], [["d", 3, "extra"]]))
+    rows = {r.id: r.asDict() for r in read_dataset(spark, str(tmp_path), "xlsx").collect()}
+    assert rows[1]["v"] == "a" and rows[1]["v.1"] == "b" and rows[2]["v.1"] is None
+    assert rows[3]["v"] == "d" and rows[3]["Unnamed: 2"] == "extra"
+
+
+def test_findings_are_counted_before_they_are_cut(spark):
+    from gritstone.operators.distribution import histograms
+    from gritstone.operators.report import report
+
+    wide = spark.range(40).selectExpr(*[f"if(id % 4 = {i % 4}, null, id * {i + 1}) as c{i}" for i in range(35)])
+    found = profile(wide)
+    cut = report(found, max_findings=30)
+    assert cut.findings.count() == 30 and report(found).findings.count() >= 35
+    assert int(cut.metrics.where("label = 'Detected issues'").first()["value"]) >= 35
+    assert cut.columns.where("status = 'ready'").count() == 0
+    assert histograms(wide).select("column").distinct().count() == 35
+
+
 def test_cleaning_is_idempotent(customer):
     result = clean(customer)
     assert result.status in {"passed", "warning"}
