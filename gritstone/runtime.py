@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -72,6 +73,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Hand workers at most so many rows at once for jobs run inside, for rows that hold long values."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
     """A local relation for metadata with one row per column, bin or check."""
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
