@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType
+from pyspark.sql.types import BooleanType
 
 from gritstone.llm.bytehash import mix, shingles
 from gritstone.llm.components import components
-from gritstone.runtime import materialize, share_package
+from gritstone.runtime import batch_rows, materialize, share_package
 
 WIDTH = 5
 PERCENT = 80
@@ -46,6 +46,9 @@ BLOOM_BITS = 25
 REMEMBERED = 200_000
 LIST_ROWS = 200_000
 STAR_ROUNDS = 3
+#: Rows that workers get at once where a row holds a text, or two whole sets.
+BATCH_TEXTS = 1_000
+BATCH_PAIRS = 300
 U64 = np.uint64
 
 
@@ -289,21 +292,20 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             at = np.flatnonzero(hit)
             for s in range(0, len(at), 200):
                 part = batch.take(pa.array(at[s : s + 200]))
+                sets = [shingles(t.as_py(), width) for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([shingles(t.as_py(), width).tobytes() for t in part.column("text")], pa.binary())],
-                    ["doc_id", "tokens"],
+                    [
+                        part.column("doc_id"),
+                        pa.array([_digest(x) if len(x) else None for x in sets], pa.int64()),
+                        pa.array([x.tobytes() for x in sets], pa.binary()),
+                    ],
+                    ["doc_id", "cls", "tokens"],
                 )
 
     spots = [F.shiftrightunsigned(F.xxhash64(F.lit(i), "doc_id"), 64 - BLOOM_BITS).alias(f"h{i}") for i in (0, 1)]
-    found = docs.select("doc_id", "text", *spots).mapInArrow(compute, "doc_id long, tokens binary")
+    found = docs.select("doc_id", "text", *spots).mapInArrow(compute, "doc_id long, cls long, tokens binary")
     # Several rows may carry one id; the digest tells which of them the class is.
-    checked = found.join(wanted, "doc_id").withColumn("same", _set_digest("tokens")).where(F.col("same") == F.col("cls"))
-    return checked.groupBy("cls").agg(F.first("tokens").alias("tokens"))
-
-
-@F.pandas_udf(LongType())
-def _set_digest(tokens: pd.Series) -> pd.Series:
-    return pd.Series([_digest(np.frombuffer(t, U64)) if t else 0 for t in tokens], dtype="int64")
+    return found.join(wanted, ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"]).select("cls", "tokens")
 
 
 @F.pandas_udf(BooleanType())
@@ -321,10 +323,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     pairs = materialize(pairs.select("a", "b"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     wanted = materialize(classes.join(ends, "cls").select("cls", "doc_id"))
-    sets = materialize(_sets(docs, wanted, width))
+    with batch_rows(docs.sparkSession, BATCH_TEXTS):
+        sets = materialize(_sets(docs, wanted, width))
     with_a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a")
     with_both = with_a.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
-    return materialize(with_both.where(_similar("ta", "tb", F.lit(percent))).select("a", "b"))
+    with batch_rows(docs.sparkSession, BATCH_PAIRS):
+        return materialize(with_both.where(_similar("ta", "tb", F.lit(percent))).select("a", "b"))
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
@@ -332,14 +336,16 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     spark = docs.sparkSession
     share_package(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    summaries = materialize(_summaries(docs, width))
+    with batch_rows(spark, BATCH_TEXTS):
+        summaries = materialize(_summaries(docs, width))
     rows = summaries.where("block < 0").select("doc_id", "n", "cls")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     ranks = spark.sparkContext.broadcast(_ranks(_sketch(summaries)))
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), total * orders * (100 - percent) // 100 // LIST_ROWS + 1)
     postings = _postings(docs, ranks, width, percent, orders)
-    lists = materialize(_lists(postings, parts, "cls"))  # tokens that several classes share
+    with batch_rows(spark, 5 * BATCH_TEXTS):
+        lists = materialize(_lists(postings, parts, "cls"))  # tokens that several classes share
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, component long")
     small = max(1, parts // 4)
