@@ -34,7 +34,7 @@ from pyspark.sql.types import BooleanType
 
 from gritstone.llm.bytehash import mix, shingles
 from gritstone.llm.components import components
-from gritstone.runtime import batch_rows, materialize, share_package
+from gritstone.runtime import batch_rows, discard, materialize, share_package, written
 
 WIDTH = 5
 PERCENT = 80
@@ -320,15 +320,17 @@ def _similar(a: pd.Series, b: pd.Series, percent: pd.Series) -> pd.Series:
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (``a, b``) whose whole sets reach the similarity."""
-    pairs = materialize(pairs.select("a", "b"))
+    pairs, pairs_path = written(pairs.select("a", "b"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     wanted = materialize(classes.join(ends, "cls").select("cls", "doc_id"))
     with batch_rows(docs.sparkSession, BATCH_TEXTS):
-        sets = materialize(_sets(docs, wanted, width))
+        sets, sets_path = written(_sets(docs, wanted, width))
     with_a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a")
     with_both = with_a.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
     with batch_rows(docs.sparkSession, BATCH_PAIRS):
-        return materialize(with_both.where(_similar("ta", "tb", F.lit(percent))).select("a", "b"))
+        found = materialize(with_both.where(_similar("ta", "tb", F.lit(percent))).select("a", "b"))
+    discard(docs.sparkSession, pairs_path, sets_path)
+    return found
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
@@ -345,7 +347,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), total * orders * (100 - percent) // 100 // LIST_ROWS + 1)
     postings = _postings(docs, ranks, width, percent, orders)
     with batch_rows(spark, 5 * BATCH_TEXTS):
-        lists = materialize(_lists(postings, parts, "cls"))  # tokens that several classes share
+        lists, lists_path = written(_lists(postings, parts, "cls"))  # tokens that several classes share
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, component long")
     small = max(1, parts // 4)
@@ -354,7 +356,9 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
         turn = turns.pop(0)
         # Lists whose members are all in one component have nothing more to tell.
         labelled = lists.select("token", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-        lists = materialize(_lists(labelled.select("token", "n", "cls", F.coalesce("component", "cls").alias("comp")), small, "comp"))
+        before = lists_path
+        lists, lists_path = written(_lists(labelled.select("token", "n", "cls", F.coalesce("component", "cls").alias("comp")), small, "comp"))
+        discard(spark, before)
         if lists.isEmpty():
             break
         pairs = _under_all_orders(_pairs(lists, small, percent, turn), orders)
