@@ -44,7 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn at the fitted rates, none more than once."""
     labelled = label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return soft_mixing(docs, labelled, TARGETS, max_rate=1.0).where("copies > 0").select("row.*")
+    return soft_mixing(docs, labelled, TARGETS, max_rate=1.0, group=F.col("lang")).where("copies > 0").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

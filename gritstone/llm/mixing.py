@@ -1,12 +1,21 @@
 """Mixing documents to target weights by soft domain membership.
 
-A naive Bayes classifier over hashed words is counted from a labelled table and
-gives every document a posterior over domains. Nonnegative rates are then fitted
-so that the expected tokens of each domain, the sum over documents of rate times
-tokens times posterior, meet the targets. The fit is projected gradient descent
-on the squared misfit. Steps are taken in the metric of the documents' tokens
-and misfits are measured by the inverse of the domains' second moments, which
-makes a unit step safe and few steps enough.
+A classifier over hashed words is counted from a labelled table and gives every
+document a posterior over domains. A word speaks for a domain by the log ratio of
+its count there to the count expected from the labelled texts of the same group
+(a language, say), so a domain's mix of groups tells nothing. Ratios are shrunk
+towards none by a prior count and by one standard error: rare words are silent.
+Their sum over a text is divided by the root of its length, and the slope and
+intercept of every domain are fitted on the labelled documents. Documents fall in
+two halves by a hash of their id, and each half is scored by counts of the other,
+so no document is judged by its own words. The table of buckets grows with the
+number of distinct labelled words, up to ``MAX_BUCKETS``.
+
+Nonnegative rates are then fitted so that the expected tokens of each domain, the
+sum over documents of rate times tokens times posterior, meet the targets. The fit
+is projected gradient descent on the squared misfit. Steps are taken in the metric
+of the documents' tokens and misfits are measured by the inverse of the domains'
+second moments, which makes a unit step safe and few steps enough.
 
 A step needs one vector with an entry per domain, so the driver holds nothing
 that grows with the data: a document's rate is its starting rate followed by the
@@ -31,7 +40,14 @@ from pyspark.sql import functions as F
 from gritstone.llm import text as T
 from gritstone.runtime import materialize
 
-BUCKETS = 1 << 14
+MIN_BUCKETS = 1 << 14
+MAX_BUCKETS = 1 << 19
+#: Prior count of every word, and the standard errors by which a log ratio is shrunk.
+PRIOR_COUNT = 3.0
+SHRINK = 1.0
+NEWTON_STEPS = 12
+#: Penalty on the squared slopes of the calibration, so that separable domains get finite ones.
+RIDGE = 0.1
 #: Labelled documents that the classifier is fitted on, at most (about): their ids are broadcast.
 LABELLED_DOCUMENTS = 250_000
 STEPS = 30
@@ -46,51 +62,149 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain"))
 
 
-def word_buckets(text: Column, size: int = BUCKETS) -> Column:
-    return F.transform(T.words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
+def _half(doc_id: Column) -> Column:
+    """Half that a document belongs to; rows of one id are in the same."""
+    return F.pmod(F.xxhash64(F.lit("half"), doc_id), F.lit(2)).cast("int")
+
+
+def word_buckets(words: Column, half: Column, size: int) -> Column:
+    """Bucket of every word for one half; ``half`` is a column, as it is used in a lambda."""
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w, half), F.lit(size)).cast("int"))
+
+
+def table_size(marked: DataFrame) -> int:
+    """Buckets for the words of ``marked`` in both halves: a power of two above twice their number, within bounds."""
+    words = marked.select(F.explode(T.words(F.col("text"))).alias("w")).agg(F.approx_count_distinct("w")).first()[0] or 0
+    return min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << (2 * words).bit_length()))
 
 
 def _adder(numbers: Column):
-    return lambda total, bucket: total + F.get(numbers, bucket)
+    return lambda total, place: total + F.get(numbers, place)
 
 
 class DomainClassifier:
-    """Multinomial naive Bayes over hash buckets of words."""
+    """Shrunk log ratios of hash buckets of words, crosswise over two halves of the labelled documents."""
 
-    def __init__(self, domains: list[str], priors: np.ndarray, logs: np.ndarray):
+    def __init__(self, domains: list[str], priors: np.ndarray, buckets: int, weights: np.ndarray):
         self.domains = domains
-        self.priors = priors
-        self.logs = logs  # domains x buckets
+        self.priors = priors  # logarithms
+        self.buckets = buckets
+        self.weights = weights  # domains x buckets
+        self.intercepts = priors - priors[0]
+        self.slopes = np.zeros(len(domains))
 
     @classmethod
-    def fit(cls, docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int = BUCKETS) -> DomainClassifier:
+    def fit(
+        cls, docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int | None = None, group: Column | None = None
+    ) -> DomainClassifier:
         """``docs`` has ``doc_id, text``; ``labelled`` has ``doc_id, domain``."""
         known = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
         n = known.count()
         chosen = known.where(T.hash_share(F.col("doc_id"), n, LABELLED_DOCUMENTS)).select("doc_id", "domain").distinct()
-        marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        in_domain = {d: F.col("domain") == d for d in domains}
-        sums = [F.sum(F.when(in_domain[d], 1).otherwise(0)).alias(f"d{i}") for i, d in enumerate(domains)]
-        counts = (
-            marked.select("domain", F.explode(word_buckets(F.col("text"), buckets)).alias("bucket")).groupBy("bucket").agg(*sums)
+        named = F.lit("") if group is None else F.coalesce(group.cast("string"), F.lit(""))
+        marked = materialize(docs.select("doc_id", "text", named.alias("group")).join(F.broadcast(chosen), "doc_id"))
+        buckets = buckets or table_size(marked)
+        sums = [F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n{i}") for i, d in enumerate(domains)]
+        # Words count in the buckets that the other half is scored by.
+        split = T.computed(marked, ["group", "domain"], words=T.words(F.col("text")), half=1 - _half(F.col("doc_id")))
+        by_group = materialize(
+            split.select("group", "domain", "half", F.explode(word_buckets(F.col("words"), F.col("half"), buckets)).alias("bucket"))
+            .groupBy("group", "half", "bucket")
+            .agg(F.count("*").alias("n"), *sums)
+        )
+        totals = by_group.groupBy("group", "half").agg(
+            F.sum("n").alias("t"), *[F.sum(f"n{i}").alias(f"t{i}") for i in range(len(domains))]
         )
-        table = np.ones((len(domains), buckets))
-        for row in counts.collect():
-            table[:, row[0]] += row[1:]
-        share = chosen.groupBy("domain").count().collect()
+        counts = (
+            by_group.join(F.broadcast(totals), ["group", "half"])
+            .groupBy("bucket")
+            .agg(*[c for i in range(len(domains)) for c in (
+                F.sum(f"n{i}").alias(f"n{i}"), F.sum(F.col("n") * F.col(f"t{i}") / F.col("t")).alias(f"e{i}"))])
+        )
+        shrunk = []
+        for i in range(len(domains)):
+            ratio = F.log((F.col(f"n{i}") + PRIOR_COUNT) / (F.col(f"e{i}") + PRIOR_COUNT))
+            size = F.greatest(F.lit(0.0), F.abs(ratio) - SHRINK / F.sqrt(F.col(f"e{i}") + PRIOR_COUNT))
+            shrunk.append((F.signum(ratio) * size).alias(f"w{i}"))
+        telling = counts.select("bucket", *shrunk).where(F.greatest(*[F.abs(f"w{i}") for i in range(len(domains))], F.lit(0.0)) > 0)
+        weights = np.zeros((len(domains), buckets))
+        for row in telling.collect():  # at most one row per bucket
+            weights[:, row.bucket] = row[1:]
         priors = np.ones(len(domains))
-        for row in share:
+        for row in chosen.groupBy("domain").count().collect():
             priors[domains.index(row[0])] += row[1]
-        return cls(domains, np.log(priors / priors.sum()), np.log(table / table.sum(axis=1, keepdims=True)))
+        found = cls(domains, np.log(priors / priors.sum()), buckets, weights)
+        found.calibrate(marked)
+        return found
+
+    def scored(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        """``keep``, the number of words as ``tokens`` and scores ``s1, ...`` of ``rows`` (``doc_id, text``)."""
+        telling = np.flatnonzero((self.weights != self.weights[0]).any(axis=0))
+        places: list[int | None] = [None] * self.buckets
+        for i, bucket in enumerate(telling):
+            places[bucket] = i
+        # Most buckets say nothing; only the others' places are kept.
+        table = T.constant_array(places, "array<int>")
+        split = T.computed(rows, keep, words=T.words(F.col("text")), half=_half(F.col("doc_id")))
+        grams = T.computed(
+            split, keep, tokens=F.size("words").cast("double"),
+            grams=F.filter(F.transform("words", lambda w: F.get(table, F.pmod(F.xxhash64(w, F.col("half")), F.lit(self.buckets)).cast("int"))), lambda i: i.isNotNull()),
+        )
+        root = F.sqrt(F.greatest(F.col("tokens"), F.lit(1.0)))
+        scores = {}
+        for i in range(1, len(self.domains)):
+            ratios = T.constant_array((self.weights[i] - self.weights[0])[telling].tolist())
+            scores[f"s{i}"] = F.aggregate("grams", F.lit(0.0), _adder(ratios)) / root
+        return T.computed(grams, [*keep, "tokens"], **scores)
 
-    def posteriors(self, grams: Column) -> list[Column]:
-        """Probability of each domain for a text's word buckets."""
-        against = []
+    def logits(self) -> dict[str, Column]:
+        """Columns ``l0, ...`` from the scores; without words the prior counts alone."""
+        out = {"l0": F.lit(0.0)}
         for i in range(1, len(self.domains)):
-            ratios = T.constant_array((self.logs[i] - self.logs[0]).tolist())
-            total = F.aggregate(grams, F.lit(0.0), _adder(ratios))
-            against.append(F.lit(float(self.priors[i] - self.priors[0])) + total)
-        return [F.lit(0.0), *against]
+            fitted = F.lit(float(self.intercepts[i])) + F.lit(float(self.slopes[i])) * F.col(f"s{i}")
+            out[f"l{i}"] = F.when(F.col("tokens") > 0, fitted).otherwise(F.lit(float(self.priors[i] - self.priors[0])))
+        return out
+
+    def calibrate(self, marked: DataFrame) -> None:
+        """Fit intercepts and slopes on labelled documents (``doc_id, text, domain``) by damped Newton steps."""
+        k = len(self.domains) - 1
+        if not k:
+            return
+        table = materialize(self.scored(marked, ["domain"]).where("tokens > 0"))
+        at, step, before, state = np.concatenate([self.intercepts[1:], self.slopes[1:]]), None, math.inf, None
+        for _ in range(NEWTON_STEPS):
+            self.intercepts[1:], self.slopes[1:] = at[:k], at[k:]
+            rated = _softmax(table.select(*table.columns, *[c.alias(n) for n, c in self.logits().items()]), k + 1)
+            ones = [F.lit(1.0)] * k + [F.col(f"s{i + 1}") for i in range(k)]
+            hit = [F.when(F.col("domain") == d, 1.0).otherwise(0.0) for d in self.domains]
+            likely = sum((hit[i] * F.log(F.greatest(F.col(f"p{i}"), F.lit(1e-300))) for i in range(k + 1)), F.lit(0.0))
+            slopes = [F.sum((F.col(f"p{u % k + 1}") - hit[u % k + 1]) * ones[u]).alias(f"g{u}") for u in range(2 * k)]
+            bends = [
+                F.sum(F.col(f"p{u % k + 1}") * (F.lit(float(u % k == v % k)) - F.col(f"p{v % k + 1}")) * ones[u] * ones[v]).alias(f"h{u}_{v}")
+                for u in range(2 * k) for v in range(u, 2 * k)
+            ]
+            row = rated.agg((-F.sum(likely)).alias("loss"), *slopes, *bends).first()
+            if row.loss is None:
+                break
+            loss = row.loss + RIDGE * float(at[k:] @ at[k:]) / 2
+            if loss > before:
+                step = step / 4
+                at = state + step
+                continue
+            gradient = np.array([row[f"g{u}"] for u in range(2 * k)]) + RIDGE * np.append(np.zeros(k), at[k:])
+            hessian = np.diag([1e-6] * k + [RIDGE] * k)
+            for u in range(2 * k):
+                for v in range(u, 2 * k):
+                    hessian[u, v] += row[f"h{u}_{v}"]
+                    hessian[v, u] = hessian[u, v]
+            settled = before - loss <= 1e-4 * abs(loss)
+            before, state = loss, at
+            if settled:
+                break
+            step = -np.linalg.solve(hessian, gradient)
+            at = at + step
+        if state is not None:
+            self.intercepts[1:], self.slopes[1:] = state[:k], state[k:]
 
 
 def _softmax(df: DataFrame, n: int) -> DataFrame:
@@ -105,11 +219,10 @@ def _softmax(df: DataFrame, n: int) -> DataFrame:
 
 def with_posteriors(docs: DataFrame, classifier: DomainClassifier) -> DataFrame:
     """``row, tokens, p0, p1, ...`` for every row of ``docs``."""
-    packed = T.packed(docs, text=F.col("text"))
-    grams = T.computed(packed, ["row"], grams=word_buckets(F.col("text"), classifier.logs.shape[1]))
-    logits = {f"l{i}": c for i, c in enumerate(classifier.posteriors(F.col("grams")))}
-    scored = T.computed(grams, ["row"], tokens=F.size("grams").cast("double"), **logits)
-    return _softmax(scored, len(logits))
+    packed = T.packed(docs, doc_id=F.col("doc_id"), text=F.col("text"))
+    scored = classifier.scored(packed, ["row"])
+    logits = classifier.logits()
+    return _softmax(scored.select("row", "tokens", *[c.alias(n) for n, c in logits.items()]), len(logits))
 
 
 def rate_after(steps: list[np.ndarray], n: int, max_rate: float | None) -> Column:
@@ -158,16 +271,18 @@ def soft_mixing(
     targets: dict[str, float],
     budget: float | None = None,
     max_rate: float | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
+    group: Column | None = None,
 ) -> DataFrame:
     """Rows of ``docs`` in ``row`` with ``tokens``, ``posteriors`` by domain, ``rate`` and ``copies``.
 
     ``targets`` gives the domains' shares of ``budget`` tokens (default: the corpus' own). ``copies`` is the rate
-    rounded up or down by a fixed hash of ``doc_id``, so that totals are met on average and reruns agree.
+    rounded up or down by a fixed hash of ``doc_id``, so that totals are met on average and reruns agree. ``group`` is
+    the group that words are compared within; ``buckets`` is the size of the classifier's table (default: by the words).
     """
     domains = list(targets)
     shares = np.array([max(0.0, targets[d]) for d in domains])
-    classifier = DomainClassifier.fit(docs, labelled, domains, buckets)
+    classifier = DomainClassifier.fit(docs, labelled, domains, buckets, group)
     rows = with_posteriors(docs, classifier)
     table = materialize(rows.drop("row"))
     if budget is None:

@@ -42,7 +42,7 @@ MIX = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 def op9_soft_mixing(spark, sf_dir):
     from gritstone.llm.mixing import label_domains, soft_mixing
 
-    mixed = soft_mixing(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX)
+    mixed = soft_mixing(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX, group=F.col("lang"))
     return mixed.select("row.doc_id", "tokens", *[F.col("posteriors")[d].alias(f"p_{d}") for d in MIX], "rate", "copies")
 
 
