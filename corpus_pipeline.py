@@ -20,6 +20,10 @@ from gritstone.runtime import materialize
 
 #: Shares of the tokens that each domain should have; no document is repeated.
 TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
+#: A line is boilerplate above this share of its source's documents, and in so many of them at least. Sources are large
+#: and mixed, so shares are far below those of web hosts.
+LINE_RATIO = 0.02
+LINE_HOLDING = 5
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +33,15 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that most documents of their source hold; ``n_chars`` follows the text."""
-    found = site_line_dedup(docs, F.col("source"), F.col("text"))
-    new = {"text": F.col("lines.text"), "n_chars": F.length("lines.text").cast("long")}
+    """Documents without the lines that many documents of their source hold; ``n_chars`` follows the text.
+
+    A document that would lose more than half of its lines is a copy rather than a framed text. It stays whole, so that
+    the next stage finds it and its group keeps one document.
+    """
+    found = site_line_dedup(docs, F.col("source"), F.col("text"), LINE_RATIO, min_holding=LINE_HOLDING)
+    copy = 2 * F.col("lines.n_dropped") > F.col("lines.n_lines")
+    text = F.when(copy, F.col("row.text")).otherwise(F.col("lines.text"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
     return found.select(*[new.get(c, F.col(f"row.{quoted(c)}")).alias(c) for c in docs.columns])
 
 

@@ -5,7 +5,7 @@ hold the line is divided by the number of all its pages; lines above the ratio
 are boilerplate and leave every page of that host, all occurrences included.
 
 Lines are compared without leading and trailing ASCII white space. Blank lines
-always stay. A host needs ``min_pages`` rows, and a line two, to be judged. Rows
+always stay. A host needs ``min_pages`` rows, and a line ``min_holding``, to be judged. Rows
 with a null host keep all lines. Null text has no lines and stays null; so does
 empty text. Equal rows count as pages of their own. Extra columns are kept,
 whatever their names, inside the struct ``row``.
@@ -29,6 +29,7 @@ from gritstone.runtime import share_package
 
 MAX_RATIO = 0.3
 MIN_PAGES = 5
+MIN_HOLDING = 2
 
 
 def line_hashes(text: Column) -> Column:
@@ -37,7 +38,9 @@ def line_hashes(text: Column) -> Column:
     return F.transform(trimmed, lambda s: F.when(s != "", F.xxhash64(s)))
 
 
-def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(
+    pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, min_holding: int = MIN_HOLDING
+) -> DataFrame:
     """``host, flagged``: hashes of a host's boilerplate lines. ``pages`` has ``host, hashes``."""
     known = pages.where("host is not null")
     totals = known.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
@@ -46,7 +49,7 @@ def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
         .where("line is not null")
         .groupBy("host", "line")
         .agg(F.count("*").alias("holding"))
-        .where((F.col("holding") >= 2) & (F.col("holding") > F.lit(max_ratio * min_pages)))
+        .where((F.col("holding") >= min_holding) & (F.col("holding") > F.lit(max_ratio * min_pages)))
     )
     return (
         held.join(totals, "host")
@@ -72,12 +75,17 @@ def _without(text: pd.Series, hashes: pd.Series, flagged: pd.Series) -> pd.DataF
 
 
 def site_line_dedup(
-    pages: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
+    pages: DataFrame,
+    host: Column,
+    text: Column,
+    max_ratio: float = MAX_RATIO,
+    min_pages: int = MIN_PAGES,
+    min_holding: int = MIN_HOLDING,
 ) -> DataFrame:
     """Every input row in ``row`` with a struct ``lines``: remaining text, lines before, lines dropped."""
     share_package(pages.sparkSession)
     known = T.packed(pages, host=host, text=text).withColumn("hashes", line_hashes(F.col("text")))
-    flagged = boilerplate(known.select("host", "hashes"), max_ratio, min_pages)
+    flagged = boilerplate(known.select("host", "hashes"), max_ratio, min_pages, min_holding)
     # Zero stands for blank lines: 64-bit values must not pass through floats.
     nullable = F.transform(F.col("hashes"), lambda h: F.coalesce(h, F.lit(0)))
     return known.join(flagged, "host", "left").select("row", _without("text", nullable, "flagged").alias("lines"))
