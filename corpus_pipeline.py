@@ -15,7 +15,7 @@ from gritstone.llm.line_dedup import site_line_dedup
 from gritstone.llm.mixing import label_domains, soft_mixing
 from gritstone.llm.ngram_join import ngram_components
 from gritstone.llm.quality_rules import quality_rules
-from gritstone.llm.text import quoted
+from gritstone.llm.text import packed, quoted
 from gritstone.runtime import materialize
 
 #: Shares of the tokens that each domain should have; no document is repeated.
@@ -46,9 +46,18 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    others = ngram_components(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns])
+    """One row of each group of near copies: that with the smallest id, rows without id last.
+
+    Rows are told apart by a number of their own, not by ``doc_id``: of repeated rows one stays, with or without an id,
+    and a text that shares its id with another is judged for itself.
+    """
+    numbered = packed(docs).select(F.monotonically_increasing_id().alias("number"), "row")
+    rows = materialize(numbered)
+    groups = ngram_components(rows.select(F.col("number").alias("doc_id"), "row.text"))
+    ids = rows.select("number", F.col("row.doc_id").alias("id"))
+    members = groups.select(F.col("doc_id").alias("number"), "component_id").join(ids, "number")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number")).alias("first"))
+    return rows.join(first.select("first.number"), "number", "left_semi").select("row.*")
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
