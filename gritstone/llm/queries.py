@@ -114,3 +114,10 @@ def op4_suffix_dedup(spark, sf_dir):
     from gritstone.llm.suffix_dedup import suffix_dedup
 
     return suffix_dedup(table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
+
+
+@query
+def op11_max_sketch_search(spark, sf_dir):
+    from gritstone.llm.max_sketch import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
