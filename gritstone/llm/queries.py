@@ -121,3 +121,10 @@ def op11_max_sketch_search(spark, sf_dir):
     from gritstone.llm.max_sketch import ranked_search
 
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_token_alignment(spark, sf_dir):
+    from gritstone.llm.token_alignment import align_tokens
+
+    return align_tokens(table(spark, sf_dir, "documents"))
