@@ -258,10 +258,9 @@ def link_counts(aligned: DataFrame, counts: DataFrame, common_pairs: int = COMMO
     held = common.toArrow().sort_by("pair")
     arrays = tuple(held.column(c).to_numpy() for c in ("pair", "count", "best"))
     with batch_rows(aligned.sparkSession, BATCH):
-        found = _looked_up(aligned, arrays)
-        if n_pairs <= common_pairs:
-            return found.select(*RESULT)
-        found = materialize(found)
+        found = materialize(_looked_up(aligned, arrays))
+    if n_pairs <= common_pairs:
+        return found.select(*RESULT)
     rest = found.select("number", F.explode("rest").alias("r")).select("number", "r.pair", "r.times").join(counts, "pair")
     more = rest.groupBy("number").agg(
         F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("count") * F.col("times")).alias("more_count")
