@@ -128,3 +128,11 @@ def op13_token_alignment(spark, sf_dir):
     from gritstone.llm.token_alignment import align_tokens
 
     return align_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_boosted_pii(spark, sf_dir):
+    from gritstone.llm.pii import find_personal_data, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return find_personal_data(docs, fit(docs))
