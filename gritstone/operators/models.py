@@ -12,27 +12,15 @@ import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import (
-    PCA,
-    FeatureHasher,
-    IndexToString,
-    OneHotEncoder,
-    SQLTransformer,
-    StringIndexer,
-    VectorAssembler,
-)
+from pyspark.ml.feature import IndexToString, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.storagelevel import StorageLevel
 
-from gritstone.functions.values import as_text, is_number, number_literal, quote, stable_hash, text_literal
+from gritstone.functions.values import as_text, is_number, quote, stable_hash, text_literal
 from gritstone.operators import features as feature_ops
 from gritstone.operators import frequency
 from gritstone.operators.filters import filter_expression
@@ -44,17 +32,15 @@ from gritstone.operators.metrics import (
     review_gate,
 )
 from gritstone.operators.normalize import normalize, require_columns, types_of
-from gritstone.operators.order_stats import quantiles
+from gritstone.operators.preparation import FOLD, HASHED_WIDTH, Preparation, prepare_views
 from gritstone.operators.split import Split, train_test_split
+from gritstone.operators.tuning import MAX_FOLDS, STORAGE, GridSearch, grid_points, grid_search, score
 from gritstone.runtime import small_frame
 
 MIN_ROWS = 5
 # Depth that stands for "unlimited"; trees double in size with every level.
 DEFAULT_DEPTH = 12
-# Width of a hashed categorical feature, see ``hash_above`` of ``train``.
-HASHED_WIDTH = 4_096
 MAX_CLASSES = 1_000
-STORAGE = StorageLevel.MEMORY_AND_DISK
 
 # Default and allowed parameters, tuning grids.
 ALLOWED = {
@@ -69,13 +55,6 @@ GRIDS = {
     "logistic_regression": {"C": [0.3, 1.0, 3.0]},
 }
 STAGED_GRIDS = {**GRIDS, "random_forest": {**GRIDS["random_forest"], "min_samples_leaf": [1, 3]}}
-# Estimator parameters behind the public names.
-PARAMS = {
-    "random_forest": {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode"},
-    "gradient_boosting": {"n_estimators": "maxIter", "learning_rate": "stepSize", "max_depth": "maxDepth"},
-    "logistic_regression": {"C": "regParam"},
-}
-MAX_FOLDS = 3
 RUN_SCHEMA = (
     "id string, target string, features string, task_type string, model_type string, hyperparameters string,"
     " filter_expression string, use_pca boolean, accuracy double, f1 double, auc double, rmse double, mae double,"
@@ -100,6 +79,7 @@ class ModelRun:
     train_score: float | None = None
     filter_expression: str = ""
     use_pca: bool = False
+    search: GridSearch | None = None
     seconds: float = 0.0
     id: str = field(default_factory=lambda: f"model_{uuid.uuid4().hex[:10]}")
     created_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc).replace(tzinfo=None))
@@ -165,73 +145,12 @@ def _penalty(strength: float, rows: int) -> float:
     return 1.0 / (float(strength) * max(rows, 1))
 
 
-def _preprocess(train: DataFrame, features: list[str], pca: int | None, hash_above: int | None) -> tuple[list, dict]:
-    """Pipeline stages from raw columns to a feature vector, fitted on the training rows."""
-    types = types_of(train)
-    numbers = [c for c in features if is_number(types[c]) or isinstance(types[c], T.BooleanType)]
-    categories = [c for c in features if c not in numbers]
-
-    def reading(c: str) -> str:
-        inner = f"cast({quote(c)} as int)" if isinstance(types[c], T.BooleanType) else quote(c)
-        return f"nanvl(cast({inner} as double), null)"
-
-    columns, plan = [], {"numbers": numbers, "categories": [], "hashed": [], "pca": None}
-    if numbers:
-        medians = quantiles(train, {c: reading(c) for c in numbers}, [0.5])
-        filled = {c: f"coalesce({reading(c)}, {number_literal(medians[c][0] or 0.0)})" for c in numbers}
-        view = train.selectExpr(*[f"{e} as {quote(c)}" for c, e in filled.items()])
-        facts = feature_ops.scale_facts(view, numbers)
-        for i, c in enumerate(numbers):
-            columns.append(f"{feature_ops.scaled(filled[c], *facts[c])} as __num_{i}")
-    if categories:
-        if hash_above is not None:
-            counted = frequency.distinct_counts(train, categories).collect()
-            plan["hashed"] = [r.column for r in counted if r.distinct_count > hash_above]
-        plan["categories"] = [c for c in categories if c not in plan["hashed"]]
-        common = {r.column: r["mode"] for r in frequency.modes(train, categories).collect()}
-        for c in categories:
-            fallback = text_literal(common.get(c) or "")
-            kind = "cat" if c in plan["categories"] else "hash"
-            place = plan["categories" if kind == "cat" else "hashed"].index(c)
-            columns.append(f"coalesce(cast({quote(c)} as string), {fallback}) as __{kind}_{place}")
-    stages: list = [SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")]
-    parts = []
-    if numbers:
-        inputs = [f"__num_{i}" for i in range(len(numbers))]
-        stages.append(VectorAssembler(inputCols=inputs, outputCol="__numbers"))
-        parts.append("__numbers")
-        if pca is not None:
-            plan["pca"] = min(len(numbers), pca or min(3, len(numbers)))
-            stages.append(PCA(k=plan["pca"], inputCol="__numbers", outputCol="__components"))
-            parts = ["__components"]
-    if plan["categories"]:
-        count = len(plan["categories"])
-        raw, index = [f"__cat_{i}" for i in range(count)], [f"__index_{i}" for i in range(count)]
-        onehot = [f"__onehot_{i}" for i in range(count)]
-        # An unseen value takes the extra last index, which the encoder drops: all zeros.
-        stages.append(
-            StringIndexer(inputCols=raw, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc")
-        )
-        stages.append(OneHotEncoder(inputCols=index, outputCols=onehot, dropLast=True))
-        parts += onehot
-    if plan["hashed"]:
-        inputs = [f"__hash_{i}" for i in range(len(plan["hashed"]))]
-        stages.append(FeatureHasher(inputCols=inputs, outputCol="__hashed", numFeatures=HASHED_WIDTH))
-        parts.append("__hashed")
-    stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
-    return stages, plan
-
-
-def _feature_names(plan: dict, fitted: list[Transformer]) -> list[str]:
-    names = [f"pca_{i + 1}" for i in range(plan["pca"])] if plan["pca"] else list(plan["numbers"])
-    for stage in fitted:
-        if hasattr(stage, "labelsArray") and plan["categories"]:
-            for c, labels in zip(plan["categories"], stage.labelsArray):
-                names += [f"{c}_{v}" for v in labels]
-            break
-    if plan["hashed"]:
-        names += [f"hashed_{i}" for i in range(HASHED_WIDTH)]
-    return names
+def _feature_names(plan: Preparation | None, features: list[str]) -> list[str]:
+    if plan is None:
+        return features
+    names = [f"pca_{i + 1}" for i in range(plan.components)] if plan.components else list(plan.numbers)
+    names += [f"{c}_{v}" for c in plan.categories for v in plan.labels[c]]
+    return names + [f"hashed_{i}" for i in range(HASHED_WIDTH if plan.hashed else 0)]
 
 
 def _importances(model, names: list[str], top: int) -> list[tuple[str, float]]:
@@ -249,38 +168,6 @@ def _importances(model, names: list[str], top: int) -> list[tuple[str, float]]:
     return scored[:top]
 
 
-def _fold_count(train: DataFrame, rows: int, task: str) -> int:
-    folds = min(MAX_FOLDS, rows)
-    if task == "classification":
-        smallest = train.groupBy("label").count().agg(F.min("count")).first()[0]
-        folds = min(folds, smallest or 0)
-    return folds
-
-
-def _tune(estimator, train: DataFrame, model_type: str, task: str, grid: dict, rows: int):
-    """Cross-validated grid search over prepared vectors; None below two folds."""
-    folds = _fold_count(train, rows, task)
-    base = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
-    if folds < 2 or not grid:
-        return None
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        param = base.getParam(PARAMS[model_type][name])
-        if name == "C":
-            values = [_penalty(v, rows) for v in values]
-        builder.addGrid(param, list(dict.fromkeys(DEFAULT_DEPTH if v is None else v for v in values)))
-    if task == "classification":
-        evaluator = MulticlassClassificationEvaluator(metricName="accuracy")
-    else:
-        evaluator = RegressionEvaluator(metricName="r2")
-    search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=builder.build(), evaluator=evaluator, numFolds=folds,
-        parallelism=2, seed=42, foldCol="__fold",
-    )
-    folded = train.withColumn("__fold", F.expr(f"cast(pmod(__place, {folds}) as int)"))
-    return search.fit(folded)
-
-
 def train(
     df: DataFrame,
     target: str,
@@ -322,43 +209,54 @@ def train(
     if split.rows_total < MIN_ROWS:
         raise ValueError(f"Training needs at least {MIN_ROWS} rows.")
     train_rows = split.rows_total - split.rows_test
-    place = stable_hash("'fold'", *[quote(k) for k in (keys or data.columns)])
-    if prepared:
-        stages = [VectorAssembler(inputCols=chosen, outputCol="features")]
-        plan = {"numbers": chosen, "categories": [], "hashed": [], "pca": None}
-    else:
-        stages, plan = _preprocess(split.train, chosen, pca, hash_above)
     labels: list[str] = []
+    smallest = train_rows
     if kind == "classification":
         found = frequency.values_up_to(split.train, [target], max_classes)
         if target not in found:
             raise ValueError(f"The target has more than max_classes = {max_classes} classes.")
         labels = sorted(found[target])
-        stages.append(SQLTransformer(statement=f"SELECT *, {_label_sql(target, data, labels)} AS label FROM __THIS__"))
+        smallest = min(found[target].values(), default=0)
+        label = f"{_label_sql(target, data, labels)} AS label"
     else:
-        stages.append(SQLTransformer(statement=f"SELECT *, CAST({quote(target)} AS DOUBLE) AS label FROM __THIS__"))
-    prepare = Pipeline(stages=stages).fit(split.train)
-    vectors = prepare.transform(split.train.selectExpr("*", f"{place} as __place"))
-    fields = ["features", "label", "__place"]
+        label = f"CAST({quote(target)} AS DOUBLE) AS label"
+    grid = tune if isinstance(tune, dict) else GRIDS.get(family, {}) if tune else {}
+    folds = min(MAX_FOLDS, train_rows, smallest) if grid else 1
+    folds = folds if folds >= 2 else 0
+    place = stable_hash("'fold'", *[quote(k) for k in (keys or data.columns)])
+    rows = split.train.selectExpr("*", f"cast(pmod({place}, {max(folds, 1)}) as int) as {FOLD}")
+    views = [None] * (folds + 1) if prepared else prepare_views(rows, chosen, folds, pca, hash_above)
+    pipelines = []
+    for v, view in enumerate(views):
+        stages = view.stages() if view else [VectorAssembler(inputCols=chosen, outputCol="features")]
+        stages.append(SQLTransformer(statement=f"SELECT *, {label} FROM __THIS__"))
+        pipelines.append(Pipeline(stages=stages).fit(rows.where(f"{FOLD} <> {v - 1}") if v else rows))
+    prepare = pipelines[0]
     balanced = used.get("class_weight") == "balanced"
-    if balanced:
+
+    def weigh(vectors: DataFrame) -> DataFrame:
+        if not balanced:
+            return vectors
         counts = {r.label: r["count"] for r in vectors.groupBy("label").count().collect()}
-        weights = " ".join(f"when {l}D then {train_rows / (len(counts) * n)}D" for l, n in counts.items())
-        vectors = vectors.withColumn("__weight", F.expr(f"case label {weights} end"))
-        fields.append("__weight")
+        total = sum(counts.values())
+        weights = " ".join(f"when {l}D then {total / (len(counts) * n)}D" for l, n in counts.items())
+        return vectors.withColumn("__weight", F.expr(f"case label {weights} end"))
+
+    def build(point: dict, n: int):
+        estimator = _estimator(family, kind, {**used, **point}, len(labels), n)
+        return estimator.setWeightCol("__weight") if balanced else estimator
+
+    search = None
+    if folds:
+        # Points that mean the same are tried once.
+        points = {json.dumps({**p, **({"max_depth": p["max_depth"] or DEFAULT_DEPTH} if "max_depth" in p else {})}): p for p in grid_points(grid)}
+        search = grid_search(rows, pipelines[1:], weigh, build, kind, list(points.values()))
+        used = {**used, **search.points[search.best]}
     # Iterative learners read the vectors many times; lost blocks are rebuilt from the source.
-    ready = vectors.select(*fields).persist(STORAGE)
+    ready = weigh(prepare.transform(rows).select("features", "label")).persist(STORAGE)
     try:
-        estimator = _estimator(family, kind, used, len(labels), train_rows)
-        if balanced:
-            estimator.setWeightCol("__weight")
-        grid = tune if isinstance(tune, dict) else GRIDS.get(family, {}) if tune else {}
-        search = _tune(estimator, ready, family, kind, grid, train_rows) if grid else None
-        fitted = search.bestModel if search else estimator.fit(ready)
-        if search:
-            best = search.getEstimatorParamMaps()[_best_index(search)]
-            used = {**used, **{p.name: v for p, v in best.items()}}
-        train_score = _score(fitted.transform(ready), kind)
+        fitted = build({}, train_rows).fit(ready)
+        train_score = score(fitted.transform(ready), kind)
     finally:
         ready.unpersist()
     tail: list = [fitted]
@@ -371,24 +269,21 @@ def train(
         target, chosen, kind, family, pipeline, used, {}, [], None, split, train_score, filter_expr, pca is not None
     )
     run.predictions = predict(run, split.test)
-    score = "score" if len(labels) == 2 and "score" in run.predictions.columns else None
+    two = len(labels) == 2 and "score" in run.predictions.columns
     binary = run.predictions
-    if score:
+    if two:
         binary = run.predictions.withColumn("is_second", F.expr(f"int(actual = {text_literal(labels[1])})"))
     run.metrics = {r.metric: r.value for r in metrics_from_predictions(binary, "actual", "prediction", kind).collect()}
-    if score:
+    if two:
         run.metrics["auc"] = area_under_curve(binary, "is_second", "score")
     if search:
-        run.metrics["tuning_score"] = search.avgMetrics[_best_index(search)]
-    run.importances = _importances(fitted, _feature_names(plan, prepare.stages), top)
+        run.metrics["tuning_score"] = search.scores[search.best]
+        run.search = search
+    run.importances = _importances(fitted, _feature_names(views[0], chosen), top)
     run.seconds = round(time.perf_counter() - started, 4)
     return run
 
 
-def _best_index(search) -> int:
-    return max(range(len(search.avgMetrics)), key=lambda i: search.avgMetrics[i])
-
-
 def _label_sql(target: str, data: DataFrame, labels: list[str]) -> str:
     """Index of the target's label; labels unseen in training get the next index."""
     text = as_text(quote(target), types_of(data)[target])
@@ -396,12 +291,6 @@ def _label_sql(target: str, data: DataFrame, labels: list[str]) -> str:
     return f"CAST(COALESCE(NULLIF(array_position(array({listed}), {text}), 0) - 1, {len(labels)}) AS DOUBLE)"
 
 
-def _score(predicted: DataFrame, task: str) -> float:
-    if task == "classification":
-        return MulticlassClassificationEvaluator(metricName="accuracy").evaluate(predicted)
-    return RegressionEvaluator(metricName="r2").evaluate(predicted)
-
-
 def predict(run: ModelRun, df: DataFrame) -> DataFrame:
     """Every row with ``prediction``, plus ``actual`` and a binary ``score`` where known."""
     source = normalize(df)
