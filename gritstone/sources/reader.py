@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from gritstone.functions.values import MISSING_TEXTS, numeric, quote, text_literal
 from gritstone.operators.per_column import per_column
+from gritstone.sources.records import read_delimited, read_json_array
 from gritstone.sources.workbook import read_workbook
 
 SEPARATORS = {"csv": ",", "tsv": "\t"}
@@ -42,9 +43,10 @@ def read_dataset(
     kind = format or format_of(path)
     if kind == "parquet":
         return spark.read.parquet(path)
-    if kind in {"json", "jsonl"}:
-        reader = spark.read.option("multiLine", kind == "json")
-        return (reader.schema(schema) if schema else reader).json(path)
+    if kind == "json":
+        return read_json_array(spark, path, schema)
+    if kind == "jsonl":
+        return (spark.read.schema(schema) if schema else spark.read).json(path)
     if kind == "xlsx":
         return type_columns(read_workbook(spark, path), schema)
     if kind not in SEPARATORS:
@@ -53,22 +55,17 @@ def read_dataset(
         found_encoding, found_multiline = probe_text(spark, path)
         encoding = found_encoding if encoding == "auto" else encoding
         multiline = found_multiline if multiline is None else multiline
-    raw = (
-        spark.read.option("header", True)
-        .option("sep", SEPARATORS[kind])
-        .option("encoding", encoding)
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .csv(path)
-    )
-    return type_columns(raw, schema)
+    if multiline:
+        return type_columns(read_delimited(spark, path, SEPARATORS[kind], encoding), schema)
+    plain = spark.read.option("header", True).option("sep", SEPARATORS[kind]).option("encoding", encoding).option("escape", '"')
+    return type_columns(plain.csv(path), schema)
 
 
 def probe_text(spark: SparkSession, path: str) -> tuple[str, bool]:
     """Encoding, and whether any quoted cell spans lines, from one pass over the lines.
 
-    Lines that are not valid UTF-8 make it Latin-1. Only a file with a line of
-    unbalanced quotes is read in the mode that cannot split it.
+    Lines that are not valid UTF-8 make it Latin-1. Where a line has unbalanced
+    quotes, records are cut by the state of quotes instead of at every line.
     """
     quotes = "length(value) - length(replace(value, '\"', ''))"
     row = (
