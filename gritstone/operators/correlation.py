@@ -3,94 +3,42 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.functions.values import number_literal as lit
 from gritstone.functions.values import quote
 from gritstone.operators.distribution import average_ranks
+from gritstone.operators.gramian import gramian
 from gritstone.operators.normalize import normalize, numeric_columns
 from gritstone.runtime import materialize, small_frame
 
 MATRIX_SCHEMA = "x_position int, y_position int, x string, y string, value double"
-# Sums evaluated by one generated aggregation.
-SUMS_PER_PASS = 80
 # A variance below this share of the squared mean is rounding noise of a constant column.
 NOISE = 1e-20
+# A value that fills one in so many rows is looked up in a small table instead of being shuffled.
+HOT_SHARE = 1_000
 
 
-def _sums(base: DataFrame, exprs: dict) -> dict:
-    """Evaluate many named sums over the same table, a bounded number per pass."""
-    keys = list(exprs)
-    result = {}
-    for start in range(0, len(keys), SUMS_PER_PASS):
-        chunk = keys[start : start + SUMS_PER_PASS]
-        row = base.selectExpr(*[f"{exprs[k]} as s{i}" for i, k in enumerate(chunk)]).first()
-        result.update({k: row[f"s{i}"] for i, k in enumerate(chunk)})
-    return result
-
-
-def _pair_moments(flat: DataFrame, names: list[str]) -> dict[tuple[int, int], tuple]:
-    """(n, cov_pop, var_x, var_y) of every pair over its complete rows.
-
-    Values are centred on the column means first, which keeps the sums accurate.
-    """
-    base = flat.selectExpr(*[f"cast({quote(n)} as double) as v{i}" for i, n in enumerate(names)])
-    size = len(names)
-    first = _sums(
-        base,
-        {"rows": "count(*)"}
-        | {("n", i): f"count(v{i})" for i in range(size)}
-        | {("mean", i): f"avg(v{i})" for i in range(size)},
-    )
-    full = [first[("n", i)] == first["rows"] for i in range(size)]
-    centred = base.selectExpr(
-        *[f"v{i} - {lit(first[('mean', i)] or 0.0)} as d{i}" for i in range(size)]
-    )
-
-    def only_with(i: int, j: int, value: str) -> str:
-        return value if full[j] else f"if(d{j} is null, null, {value})"
-
-    wanted = {}
-
-    def need(i: int, j: int, value: str) -> tuple:
-        """Register the sum of ``value`` of column i over rows where column j is filled."""
-        key = (i, None if full[j] else j, value)
-        wanted[key] = f"sum({only_with(i, j, value)})"
-        return key
-
-    plan = {}
-    for i in range(size):
-        for j in range(i, size):
-            count = need(i, j, f"if(d{i} is null, null, 1)")
-            plan[(i, j)] = (
-                count,
-                need(i, j, f"d{i}"),
-                need(j, i, f"d{j}"),
-                need(i, j, f"d{i} * d{i}"),
-                need(j, i, f"d{j} * d{j}"),
-                (i, j, "product"),
-            )
-            wanted[(i, j, "product")] = f"sum(d{i} * d{j})"
-    sums = _sums(centred, wanted)
+def pair_moments(flat: DataFrame, names: list[str]) -> dict[tuple[int, int], tuple]:
+    """(n, cov_pop, var_x, var_y) of every pair over its complete rows, from one scan."""
+    sums = gramian(flat.selectExpr(*[f"cast({quote(n)} as double) as v{i}" for i, n in enumerate(names)]), len(names))
     moments = {}
-    for pair, keys in plan.items():
-        n, sx, sy, sxx, syy, sxy = (sums[k] or 0 for k in keys)
-        if n == 0:
-            moments[pair] = (0, None, None, None)
-            continue
-        mx, my = sx / n, sy / n
-        vx, vy = sxx / n - mx * mx, syy / n - my * my
-        i, j = pair
-        moments[pair] = (n, sxy / n - mx * my, *[
-            0.0 if v <= NOISE * (first[("mean", k)] or 0.0) ** 2 else v for v, k in ((vx, i), (vy, j))
-        ])
+    for i in range(len(names)):
+        for j in range(i, len(names)):
+            n = int(sums.n[i, j])
+            if n == 0:
+                moments[i, j] = (0, None, None, None)
+                continue
+            mx, my = sums.first[i, j] / n, sums.first[j, i] / n
+            variances = (sums.second[i, j] / n - mx * mx, sums.second[j, i] / n - my * my)
+            quiet = [0.0 if v <= NOISE * sums.shift[k] ** 2 else float(v) for v, k in zip(variances, (i, j))]
+            moments[i, j] = (n, float(sums.product[i, j] / n - mx * my), *quiet)
     return moments
 
 
-
 def _matrix(df: DataFrame, names: list[str], values: dict[tuple[int, int], float | None]) -> DataFrame:
     position = {n: i for i, n in enumerate(df.columns)}
     rows = []
@@ -121,7 +69,7 @@ def correlation(
     if method == "spearman":
         return _matrix(flat, names, _spearman(flat, names))
     values: dict[tuple[int, int], float | None] = {}
-    for pair, (n, cov, vx, vy) in _pair_moments(flat, names).items():
+    for pair, (n, cov, vx, vy) in pair_moments(flat, names).items():
         if method == "pearson":
             values[pair] = _ratio(cov, vx, vy)
         else:
@@ -129,57 +77,60 @@ def correlation(
     return _matrix(flat, names, values)
 
 
-def _spearman(flat: DataFrame, names: list[str]) -> dict[tuple[int, int], float | None]:
-    base = flat.selectExpr(*[f"cast({quote(n)} as double) as v{i}" for i, n in enumerate(names)])
-    measures = [f"count(v{i}) as c{i}, min(v{i}) as l{i}, max(v{i}) as h{i}" for i in range(len(names))]
-    row = base.selectExpr("count(*) as n", *", ".join(measures).split(", ")).first()
-    full = [i for i in range(len(names)) if row[f"c{i}"] == row["n"]]
-    values = {(i, i): None for i in range(len(names))}
-    values.update(_rank_correlation(base, full))
-    # Ranks depend on the rows a pair has in common. A column with nulls shares the same
-    # rows with every complete column; two columns with nulls are ranked on their own.
-    gaps = [i for i in range(len(names)) if i not in full]
-    for i in gaps:
-        filled = base.where(f"v{i} is not null")
-        found = _rank_correlation(filled, [i, *full], [(i, j) for j in full])
-        values.update({(min(p), max(p)): v for p, v in found.items()})
-    for i, j in combinations(gaps, 2):
-        both = base.where(f"v{i} is not null and v{j} is not null")
-        values.update(_rank_correlation(both, [i, j], [(i, j)]))
-    for i in range(len(names)):
-        if i not in full:
-            values[(i, i)] = 1.0 if row[f"l{i}"] != row[f"h{i}"] else None
-    return values
+def _masks(n: np.ndarray) -> dict[tuple[int, int], int]:
+    """Number of the ranking of column i among the rows that column j fills as well, for every pair.
 
+    Columns with equal null patterns share their rankings: where j fills all rows of i, it is that of i alone.
+    """
+    size = len(n)
+    alike = {j: next(k for k in range(size) if n[j, k] == n[j, j] == n[k, k]) for j in range(size)}
+    numbers: dict[tuple[int, int], int] = {}
+    return {(i, j): numbers.setdefault((i, i if n[i, j] == n[i, i] else alike[j]), len(numbers)) for i in range(size) for j in range(size)}
 
-def _rank_correlation(
-    base: DataFrame, columns: list[int], pairs: list[tuple[int, int]] | None = None
-) -> dict[tuple[int, int], float | None]:
-    """Pearson correlation of average ranks over complete rows, for all or some pairs.
 
-    Identical rows are combined first; each value is then replaced by its rank.
+def _spearman(flat: DataFrame, names: list[str]) -> dict[tuple[int, int], float | None]:
+    """Pearson correlation of average ranks over the rows that both columns of a pair fill.
+
+    All rankings are made in one long table of cells: it is counted by value, ranked by range, joined once with its
+    ranks and gathered by row again. Jobs do not grow with the columns or their pairs.
     """
-    if pairs is None:
-        pairs = [(i, j) for i in columns for j in columns if i <= j]
-    if not pairs:
-        return {}
-    cells = [f"v{i}" for i in columns]
-    rows = base.groupBy(*cells).agg(F.count("*").alias("w"))
-    rows = materialize(rows)
-    total = rows.agg(F.sum("w")).first()[0]
-    if not total:
-        return dict.fromkeys(pairs)
-    ranked = rows
-    counted = rows.unpivot(["w"], cells, "cell", "value").groupBy("cell", "value").agg(F.sum("w").alias("n"))
-    ranks = average_ranks(counted, "cell")
-    for c in cells:
-        # Spark broadcasts the ranks if they are small, and splits the rows of a value that fills many.
-        own = ranks.where(F.col("cell") == c).selectExpr(f"value as {c}", f"rank as {c}_rank")
-        ranked = ranked.join(own, c)
-    centre = lit((total + 1) / 2)
-    deviations = ranked.selectExpr(
-        "w", *[f"{c}_rank - {centre} as d{i}" for i, c in zip(columns, cells)]
-    )
-    wanted = {(i, j): f"sum(w * d{i} * d{j})" for i, j in [*pairs, *[(i, i) for i in columns]]}
-    sums = _sums(deviations, wanted)
-    return {(i, j): _ratio(sums[(i, j)], sums[(i, i)], sums[(j, j)]) for i, j in pairs}
+    size = len(names)
+    numbered = flat.select(F.monotonically_increasing_id().alias("id"), *[F.expr(f"cast({quote(n)} as double)").alias(f"v{i}") for i, n in enumerate(names)])
+    rows = materialize(numbered)
+    values: dict[tuple[int, int], float | None] = {(i, j): None for i in range(size) for j in range(i, size)}
+    n = gramian(rows.drop("id"), size).n
+    masks = _masks(n)
+    cells = {cell: pair for pair, cell in reversed(masks.items())}
+    made = [
+        F.when(F.col(f"v{j}").isNotNull(), F.struct(F.lit(cell).alias("cell"), F.col(f"v{i}").alias("value")))
+        for cell, (i, j) in sorted(cells.items())
+    ]
+    long = rows.select("id", F.explode(F.array(*made)).alias("c")).where("c.value is not null").select("id", "c.cell", "c.value")
+    counted = long.groupBy("cell", "value").agg(F.count("*").alias("n"))
+    ranks = materialize(average_ranks(counted, "cell"))
+    # At most HOT_SHARE values of a ranking are hot, so this table is small; the others are shuffled evenly.
+    total = {cell: int(n[i, j]) for cell, (i, j) in cells.items()}
+    of_cell = F.element_at(F.array(*[F.lit(total[c]) for c in range(len(cells))]), F.col("cell") + 1)
+    hot = ranks.where(F.col("n") * HOT_SHARE >= of_cell).select("cell", "value", F.col("rank").alias("hot_rank"))
+    looked = long.join(F.broadcast(hot), ["cell", "value"], "left")
+    cold = looked.where("hot_rank is null").select("id", "cell", "value").join(ranks.select("cell", "value", "rank"), ["cell", "value"])
+    placed = looked.where("hot_rank is not null").select("id", "cell", F.col("hot_rank").alias("rank")).unionByName(cold.select("id", "cell", "rank"))
+    gathered = placed.groupBy("id").agg(F.collect_list("cell").alias("cells"), F.collect_list("rank").alias("ranks"))
+    width = len(cells)
+
+    def dense(batch: pa.RecordBatch) -> np.ndarray:
+        out = np.full((batch.num_rows, width), np.nan)
+        lists = batch.column(0)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        out[row, lists.flatten().to_numpy()] = batch.column(1).flatten().to_numpy()
+        return out
+
+    sums = gramian(gathered.select("cells", "ranks"), width, dense)
+    for i in range(size):
+        for j in range(i, size):
+            a, b = masks[i, j], masks[j, i]
+            if n[i, j]:
+                # Both rankings cover the same rows, so each is centred on its own mean.
+                value = _ratio(sums.product[a, b], sums.second[a, a], sums.second[b, b])
+                values[i, j] = None if value is None else float(value)
+    return values

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from gritstone.functions.values import is_number, is_real, is_text, number_literal, quote, text_literal
 from gritstone.operators import frequency
-from gritstone.operators.correlation import _pair_moments, _ratio
+from gritstone.operators.correlation import pair_moments, _ratio
 from gritstone.operators.normalize import normalize, text_columns, types_of
 from gritstone.runtime import small_frame
 
@@ -181,7 +181,7 @@ def variance_select(df: DataFrame, columns: list[str] | None = None, limit: int
 def drop_correlated(df: DataFrame, columns: list[str], limit: float = MAX_CORRELATION) -> list[str]:
     """Columns left after dropping the later one of every strongly correlated pair."""
     flat = normalize(df.select(*[quote(c) for c in columns]))
-    moments = _pair_moments(flat, columns)
+    moments = pair_moments(flat, columns)
     dropped = set()
     for i, j in combinations(range(len(columns)), 2):
         _, cov, vx, vy = moments[(i, j)]

@@ -388,18 +388,15 @@ def _(spark, sf_dir):
     return found.withColumn("value", F.round("value", 2))
 
 
-SPEARMAN_COLUMNS = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"]
-
-
 def spearman_sql() -> str:
     """Each pair is ranked on its complete rows; ties get the average rank."""
     parts = []
     position = list(DIRTY_LINEITEM_COLUMNS).index
-    for x in SPEARMAN_COLUMNS:
-        for y in SPEARMAN_COLUMNS:
+    for x in numbers(DIRTY_LINEITEM_COLUMNS):
+        for y in numbers(DIRTY_LINEITEM_COLUMNS):
             parts.append(
                 f"select cast({position(x)} as int) as x_position, cast({position(y)} as int) as y_position,"
-                f" '{x}' as x, '{y}' as y, round(corr(rx, ry), 4) as value from (select"
+                f" '{x}' as x, '{y}' as y, case when min(rx) < max(rx) and min(ry) < max(ry) then round(corr(rx, ry), 4) end as value from (select"
                 f" rank() over (order by {x}) + (count(*) over (partition by {x}) - 1) / 2.0 as rx,"
                 f" rank() over (order by {y}) + (count(*) over (partition by {y}) - 1) / 2.0 as ry"
                 f" from src where {x} is not null and {y} is not null)"
@@ -409,7 +406,7 @@ def spearman_sql() -> str:
 
 @case("spearman", spearman_sql())
 def _(spark, sf_dir):
-    return correlation(dirty_lineitem(spark, sf_dir), "spearman", SPEARMAN_COLUMNS)
+    return correlation(dirty_lineitem(spark, sf_dir), "spearman")
 
 
 @case(
