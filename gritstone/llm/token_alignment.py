@@ -3,13 +3,13 @@
 Tokenizer A is a byte-level BPE, B a sentence-piece BPE with byte fallback. Both
 encode a whole text (A with the space in front that B adds itself). Where tokens
 of both end at the same byte, the text is cut into groups; the two tokens that end
-there are linked.
+there are linked; no token is empty, so every group has one link.
 
 After the full tokenisation, the bytes at which a token marked with a space begins
 in both are anchors, once the tokens before them are verified to end there. Anchors
-split a document into windows of token ids. Ids determine bytes, so a window's groups
-and links follow from its two tuples of ids: they are worked out once and remembered
-by these tuples (a bounded number at a time; very long windows are not kept).
+split a document into windows of token ids. Ids determine bytes, so a window's
+alignment follows from its two tuples of ids: it is written out once and remembered by
+these tuples (a bounded number in each worker; very long windows are not kept).
 
 Tasks tokenise and align where they read and write one row per document: its counts
 and digest, and the distinct linked pairs of ids with their numbers. Pairs are summed
@@ -38,9 +38,9 @@ from gritstone.llm.tokens import VOCABULARY, Encoder
 from gritstone.runtime import batch_rows, materialize, share_package
 
 PIECES = "piece_bpe_32k.model"
-#: Windows remembered at once, and the tokens of the longest that is.
-KEPT_WINDOWS = 300_000
-KEPT_TOKENS = 48
+#: Windows remembered at once (some 250 bytes each), and the ids of the longest that is.
+KEPT_WINDOWS = 250_000
+KEPT_TOKENS = 32
 #: Pairs that every task holds for the lookup (17 bytes each).
 COMMON_PAIRS = 1_000_000
 #: Distinct pairs that a counting task sums before it passes them on.
@@ -50,10 +50,8 @@ BATCH = 512
 DOCUMENT_SCHEMA = "number long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
 RESULT = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 B_BITS = 32
-
-
-def pair_code(a: int, b: int) -> int:
-    return a << B_BITS | b
+#: Stands between the ids of A and B of a window; no id is that large.
+MARK = 0xFFFFFFFF
 
 
 def _byte_of_sign() -> dict[str, int]:
@@ -71,11 +69,16 @@ class PlainEncoder(Encoder):
         self._slow.encode_special_tokens = True
         self._special = None
 
+    def joined(self, ids: list[int]) -> bytes:
+        """What the tokens spell."""
+        return self._plain.decode_bytes(ids) if self._plain else b"".join([self._spelled[i] for i in ids])
+
     def spelled(self) -> list[bytes]:
         signs = _byte_of_sign()
         size = self._slow.get_vocab_size()
         entries = [self._slow.id_to_token(i) for i in range(size)]
-        return [bytes(signs[c] for c in e) if e is not None and all(c in signs for c in e) else b"" for e in entries]
+        self._spelled = [bytes(signs[c] for c in e) if e is not None and all(c in signs for c in e) else b"" for e in entries]
+        return self._spelled
 
 
 class PieceEncoder:
@@ -104,67 +107,73 @@ class Aligner:
         self.bytes_a, self.bytes_b = self.a.spelled(), self.b.spelled()
         self.length_a, self.length_b = (np.array([len(t) for t in side], np.int64) for side in (self.bytes_a, self.bytes_b))
         self.marked_a, self.marked_b = (np.array([t[:1] == b" " for t in side]) for side in (self.bytes_a, self.bytes_b))
-        self.windows: dict[tuple, tuple[str, int, list[int]]] = {}
-
-    def _aligned(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, int, list[int]]:
-        """Groups as text, their number, and the linked pairs of one window."""
-        groups, links = [], []
-        i = k = first_a = first_b = 0
-        end_a = end_b = 0
-        while i < len(a) or k < len(b):
-            if end_a <= end_b and i < len(a):
-                end_a += len(self.bytes_a[a[i]])
-                i += 1
-            else:
-                end_b += len(self.bytes_b[b[k]])
-                k += 1
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:k]))}")
-                links.append(pair_code(a[i - 1], b[k - 1]))
-                first_a, first_b = i, k
-        return ";".join(groups), len(groups), links
-
-    def _window(self, a: list[int], b: list[int]) -> tuple[str, int, list[int]]:
-        key = (tuple(a), tuple(b))
-        known = self.windows.get(key)
-        if known is None:
-            known = self._aligned(*key)
-            if len(a) + len(b) <= KEPT_TOKENS:
-                if len(self.windows) >= KEPT_WINDOWS:
-                    self.windows.clear()
-                self.windows[key] = known
-        return known
-
-    def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-        """Token numbers in A and B at which windows begin, the end included."""
+        self.named_a, self.named_b = ([str(i) for i in range(len(side))] for side in (self.bytes_a, self.bytes_b))
+        self.windows: dict[bytes, str] = {}
+        self.asked = self.missed = 0
+
+    def start(self) -> None:
+        """At the start of a task: forget the windows if they are full and of little use."""
+        if len(self.windows) >= KEPT_WINDOWS and 2 * self.missed > self.asked:
+            self.windows.clear()
+        self.asked = self.missed = 0
+
+    def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token numbers in A and B at which groups begin, the end included, and the numbers of the groups that begin
+        windows: those whose start is a shared end before a token that both mark with a space."""
         ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        at_a, at_b = np.flatnonzero(self.marked_a[a[1:]]) + 1, np.flatnonzero(self.marked_b[b[1:]]) + 1
-        before_a, before_b = ends_a[at_a - 1], ends_b[at_b - 1]
-        shared = np.zeros((2, ends_a[-1] + 1), bool)
-        shared[0, before_a] = True
-        shared[1, before_b] = True
-        return [0, *at_a[shared[1, before_a]].tolist(), len(a)], [0, *at_b[shared[0, before_b]].tolist(), len(b)]
-
-    def document(self, text: str | None) -> tuple[int, int, int, str, list[int]]:
-        """Numbers of A tokens, B tokens and groups, the groups as text, and the linked pairs."""
+        ended = np.zeros((2, ends_a[-1] + 1), bool)
+        ended[0, ends_a] = True
+        ended[1, ends_b] = True
+        at_a = np.concatenate(([0], np.flatnonzero(ended[1, ends_a]) + 1))
+        at_b = np.concatenate(([0], np.flatnonzero(ended[0, ends_b]) + 1))
+        anchors = np.flatnonzero(self.marked_a[a[at_a[1:-1]]] & self.marked_b[b[at_b[1:-1]]]) + 1
+        return at_a, at_b, np.concatenate(([0], anchors, [len(at_a) - 1]))
+
+    def _aligned(self, a: list[str], b: list[str], at_a: list[int], at_b: list[int]) -> str:
+        """The groups of one window as text."""
+        return ";".join([f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in zip(at_a, at_a[1:], at_b, at_b[1:], strict=False)])
+
+    def _windows(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, cuts: np.ndarray) -> list[str]:
+        """The groups of every window; known windows are found by their ids, A's and B's with a mark between."""
+        cut_a, cut_b = at_a[cuts], at_b[cuts]
+        size_a, size_b = np.diff(cut_a), np.diff(cut_b)
+        size = size_a + size_b + 1
+        start = np.cumsum(size) - size
+        ids = np.full(start[-1] + size[-1], MARK, "<u4")
+        ids[np.arange(len(a)) + np.repeat(start - cut_a[:-1], size_a)] = a
+        ids[np.arange(len(b)) + np.repeat(start + size_a + 1 - cut_b[:-1], size_b)] = b
+        packed = ids.tobytes()
+        edges = [*(4 * start).tolist(), len(packed)]
+        keys = [packed[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+        found = list(map(self.windows.get, keys))
+        new = [w for w, known in enumerate(found) if known is None]
+        if new:
+            names_a, names_b = [self.named_a[i] for i in a.tolist()], [self.named_b[i] for i in b.tolist()]
+            list_a, list_b, bounds = at_a.tolist(), at_b.tolist(), cuts.tolist()
+            for w in new:
+                low, high = bounds[w], bounds[w + 1] + 1
+                found[w] = self._aligned(names_a, names_b, list_a[low:high], list_b[low:high])
+                # The most frequent windows come early.
+                if len(self.windows) < KEPT_WINDOWS and len(keys[w]) <= 4 * KEPT_TOKENS:
+                    self.windows[keys[w]] = found[w]
+        self.asked += len(keys)
+        self.missed += len(new)
+        return found
+
+    def document(self, text: str | None) -> tuple[int, int, str, np.ndarray]:
+        """Numbers of A and B tokens, the groups as text, and the linked pair of each group."""
+        none = np.empty(0, "<i8")
         if not text:
-            return 0, 0, 0, "", []
+            return 0, 0, "", none
         spaced = " " + text
         target = spaced.encode("utf-8", "surrogatepass")
         a, b = self.a.ids(spaced), self.b.ids(text)
-        list_a, list_b = a.tolist(), b.tolist()
-        if b"".join([self.bytes_a[i] for i in list_a]) != target or b"".join([self.bytes_b[i] for i in list_b]) != target:
-            return 0, 0, 0, "", []
-        cuts_a, cuts_b = self.cuts(a, b)
-        texts: list[str] = []
-        links: list[int] = []
-        count = 0
-        for i, j, k, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:], strict=False):
-            groups, n, linked = self._window(list_a[i:j], list_b[k:m])
-            texts.append(groups)
-            count += n
-            links += linked
-        return len(a), len(b), count, ";".join(texts), links
+        spelled_b = self.bytes_b
+        if b"".join([spelled_b[i] for i in b.tolist()]) != target or self.a.joined(a.tolist()) != target:
+            return 0, 0, "", none
+        at_a, at_b, cuts = self.groups(a, b)
+        links = a[at_a[1:] - 1].astype("<i8") << B_BITS | b[at_b[1:] - 1]
+        return len(a), len(b), ";".join(self._windows(a, b, at_a, at_b, cuts)), links
 
 
 @lru_cache(maxsize=1)
@@ -182,13 +191,14 @@ def aligned_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(vocabulary, pieces)
+        both.start()
         for batch in batches:
             out = []
             for number, doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                n_a, n_b, n_groups, groups, links = both.document(text)
-                pairs, times = np.unique(np.array(links, "<i8"), return_counts=True)
+                n_a, n_b, groups, links = both.document(text)
+                pairs, times = np.unique(links, return_counts=True)
                 digest = hashlib.sha256(groups.encode()).hexdigest() if n_a else ""
-                out.append((number, doc, n_a, n_b, n_groups, len(links), digest, pairs.tobytes(), times.astype("<i4").tobytes(), groups)[: len(names)])
+                out.append((number, doc, n_a, n_b, len(links), len(links), digest, pairs.tobytes(), times.astype("<i4").tobytes(), groups)[: len(names)])
             columns = zip(*out, strict=True) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 

@@ -89,20 +89,21 @@ def test_long_texts_and_clashing_names(spark, edge_docs, prose):
     rows = align_tokens(edge_docs).collect()
     assert len(rows) == edge_docs.count() and sum(r.n_groups for r in rows if r.doc_id == 10) > 6000
     both = aligner("byte_bpe_50k", "piece_bpe_32k.model")
-    n_a, n_b, n_groups, groups, links = both.document("x" * 60_000)
-    assert n_groups == len(links) == len(groups.split(";")) and n_a and n_b
+    n_a, n_b, groups, links = both.document("x" * 60_000)
+    assert len(links) == len(groups.split(";")) and n_a and n_b
 
 
 def test_windows_end_together_and_are_remembered(spark, prose):
     both = aligner("byte_bpe_50k", "piece_bpe_32k.model")
     text = "\n".join(" ".join(prose(i, 40)) for i in range(5))
     a, b = both.a.ids(" " + text), both.b.ids(text)
-    cuts_a, cuts_b = both.cuts(a, b)
-    assert len(cuts_a) == len(cuts_b) > 150
-    for i, k in zip(cuts_a[1:-1], cuts_b[1:-1]):
+    at_a, at_b, cuts = both.groups(a, b)
+    assert len(cuts) > 150
+    for i, k in zip(at_a[cuts[1:-1]].tolist(), at_b[cuts[1:-1]].tolist()):
         assert both.length_a[a[:i]].sum() == both.length_b[b[:k]].sum() and both.marked_a[a[i]] and both.marked_b[b[k]]
     first, kept = both.document(text), len(both.windows)
-    assert both.document(text) == first and len(both.windows) == kept > 0
+    again = both.document(text)
+    assert again[:3] == first[:3] and (again[3] == first[3]).all() and len(both.windows) == kept > 0
 
 
 def test_groups_on_request(spark, edge_docs):
