@@ -1,15 +1,18 @@
 """Mixing documents to target weights by soft domain membership.
 
-A classifier over hashed words is counted from a labelled table and gives every
-document a posterior over domains. A word speaks for a domain by the log ratio of
-its count there to the count expected from the labelled texts of the same group
-(a language, say), so a domain's mix of groups tells nothing. Ratios are shrunk
-towards none by a prior count and by one standard error: rare words are silent.
-Their sum over a text is divided by the root of its length, and the slope and
-intercept of every domain are fitted on the labelled documents. Documents fall in
-two halves by a hash of their id, and each half is scored by counts of the other,
-so no document is judged by its own words. The table of buckets grows with the
-number of distinct labelled words, up to ``MAX_BUCKETS``.
+A classifier over words is counted from a labelled table and gives every document a
+posterior over domains. A word speaks for a domain by the log ratio of its count there
+to the count expected from the labelled texts of the same group (a language, say), so a
+domain's mix of groups tells nothing. Ratios are shrunk towards none by a prior count
+and by one standard error: rare words are silent. Their sum over a text is divided by
+the root of its length, and the slope and intercept of every domain are fitted on the
+labelled documents. Documents fall in two halves by a hash of their id, and each half is
+scored by counts of the other, so no document is judged by its own words.
+
+Words are counted by a 64-bit hash; the table of those that tell something grows with
+the labelled words and has no cap. The words of all documents are joined with it, and
+sums go back to the documents by a number of their own: what is shuffled is one short
+row for each document, and the posteriors are written once.
 
 Nonnegative rates are then fitted so that the expected tokens of each domain, the
 sum over documents of rate times tokens times posterior, meet the targets. The fit
@@ -40,8 +43,6 @@ from pyspark.sql import functions as F
 from gritstone.llm import text as T
 from gritstone.runtime import materialize
 
-MIN_BUCKETS = 1 << 14
-MAX_BUCKETS = 1 << 19
 #: Prior count of every word, and the standard errors by which a log ratio is shrunk.
 PRIOR_COUNT = 3.0
 SHRINK = 1.0
@@ -50,6 +51,8 @@ NEWTON_STEPS = 12
 RIDGE = 0.1
 #: Labelled documents that the classifier is fitted on, at most (about): their ids are broadcast.
 LABELLED_DOCUMENTS = 250_000
+#: Telling words up to which their table is broadcast (some 40 bytes each); a larger one is joined by a shuffle.
+BROADCAST_WORDS = 2_000_000
 STEPS = 30
 #: Misfit that is as good as none, and the least gain of a step, both as shares.
 TOLERANCE = 1e-6
@@ -67,57 +70,45 @@ def _half(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("half"), doc_id), F.lit(2)).cast("int")
 
 
-def word_buckets(words: Column, half: Column, size: int) -> Column:
-    """Bucket of every word for one half; ``half`` is a column, as it is used in a lambda."""
-    return F.transform(words, lambda w: F.pmod(F.xxhash64(w, half), F.lit(size)).cast("int"))
+def _key(word: Column, half: Column) -> Column:
+    """What a word counts under for one half; null for no word."""
+    return F.when(word.isNotNull(), F.xxhash64(word, half))
 
 
-def table_size(marked: DataFrame) -> int:
-    """Buckets for the words of ``marked`` in both halves: a power of two above twice their number, within bounds."""
-    words = marked.select(F.explode(T.words(F.col("text"))).alias("w")).agg(F.approx_count_distinct("w")).first()[0] or 0
-    return min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << (2 * words).bit_length()))
-
-
-def _adder(numbers: Column):
-    return lambda total, place: total + F.get(numbers, place)
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with a ``number`` of their own, written so that it stays."""
+    return materialize(rows.withColumn("number", F.monotonically_increasing_id()))
 
 
 class DomainClassifier:
-    """Shrunk log ratios of hash buckets of words, crosswise over two halves of the labelled documents."""
+    """Shrunk log ratios of words, crosswise over two halves of the labelled documents."""
 
-    def __init__(self, domains: list[str], priors: np.ndarray, buckets: int, weights: np.ndarray):
+    def __init__(self, domains: list[str], priors: np.ndarray, telling: DataFrame):
         self.domains = domains
         self.priors = priors  # logarithms
-        self.buckets = buckets
-        self.weights = weights  # domains x buckets
+        self.telling = telling  # key, r1, r2, ...: ratios of the other domains less that of the first
+        self.words = telling.count()
         self.intercepts = priors - priors[0]
         self.slopes = np.zeros(len(domains))
 
     @classmethod
-    def fit(
-        cls, docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int | None = None, group: Column | None = None
-    ) -> DomainClassifier:
+    def fit(cls, docs: DataFrame, labelled: DataFrame, domains: list[str], group: Column | None = None) -> DomainClassifier:
         """``docs`` has ``doc_id, text``; ``labelled`` has ``doc_id, domain``."""
         known = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
         n = known.count()
         chosen = known.where(T.hash_share(F.col("doc_id"), n, LABELLED_DOCUMENTS)).select("doc_id", "domain").distinct()
         named = F.lit("") if group is None else F.coalesce(group.cast("string"), F.lit(""))
-        marked = materialize(docs.select("doc_id", "text", named.alias("group")).join(F.broadcast(chosen), "doc_id"))
-        buckets = buckets or table_size(marked)
+        marked = numbered(docs.select("doc_id", "text", named.alias("group")).join(F.broadcast(chosen), "doc_id"))
         sums = [F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n{i}") for i, d in enumerate(domains)]
-        # Words count in the buckets that the other half is scored by.
-        split = T.computed(marked, ["group", "domain"], words=T.words(F.col("text")), half=1 - _half(F.col("doc_id")))
-        by_group = materialize(
-            split.select("group", "domain", "half", F.explode(word_buckets(F.col("words"), F.col("half"), buckets)).alias("bucket"))
-            .groupBy("group", "half", "bucket")
-            .agg(F.count("*").alias("n"), *sums)
-        )
+        # Words count under the keys that the other half is scored by.
+        split = marked.select("group", "domain", (1 - _half(F.col("doc_id"))).alias("half"), F.explode(T.words(F.col("text"))).alias("word"))
+        by_group = materialize(split.groupBy("group", "half", _key(F.col("word"), F.col("half")).alias("key")).agg(F.count("*").alias("n"), *sums))
         totals = by_group.groupBy("group", "half").agg(
             F.sum("n").alias("t"), *[F.sum(f"n{i}").alias(f"t{i}") for i in range(len(domains))]
         )
         counts = (
             by_group.join(F.broadcast(totals), ["group", "half"])
-            .groupBy("bucket")
+            .groupBy("key")
             .agg(*[c for i in range(len(domains)) for c in (
                 F.sum(f"n{i}").alias(f"n{i}"), F.sum(F.col("n") * F.col(f"t{i}") / F.col("t")).alias(f"e{i}"))])
         )
@@ -126,36 +117,25 @@ class DomainClassifier:
             ratio = F.log((F.col(f"n{i}") + PRIOR_COUNT) / (F.col(f"e{i}") + PRIOR_COUNT))
             size = F.greatest(F.lit(0.0), F.abs(ratio) - SHRINK / F.sqrt(F.col(f"e{i}") + PRIOR_COUNT))
             shrunk.append((F.signum(ratio) * size).alias(f"w{i}"))
-        telling = counts.select("bucket", *shrunk).where(F.greatest(*[F.abs(f"w{i}") for i in range(len(domains))], F.lit(0.0)) > 0)
-        weights = np.zeros((len(domains), buckets))
-        for row in telling.collect():  # at most one row per bucket
-            weights[:, row.bucket] = row[1:]
+        ratios = [(F.col(f"w{i}") - F.col("w0")).alias(f"r{i}") for i in range(1, len(domains))]
+        some = F.greatest(*[F.abs(f"r{i}") for i in range(1, len(domains))], F.lit(0.0), F.lit(0.0)) > 0
+        telling = materialize(counts.select("key", *shrunk).select("key", *ratios).where(some))
         priors = np.ones(len(domains))
         for row in chosen.groupBy("domain").count().collect():
             priors[domains.index(row[0])] += row[1]
-        found = cls(domains, np.log(priors / priors.sum()), buckets, weights)
+        found = cls(domains, np.log(priors / priors.sum()), telling)
         found.calibrate(marked)
         return found
 
-    def scored(self, rows: DataFrame, keep: list[str]) -> DataFrame:
-        """``keep``, the number of words as ``tokens`` and scores ``s1, ...`` of ``rows`` (``doc_id, text``)."""
-        telling = np.flatnonzero((self.weights != self.weights[0]).any(axis=0))
-        places: list[int | None] = [None] * self.buckets
-        for i, bucket in enumerate(telling):
-            places[bucket] = i
-        # Most buckets say nothing; only the others' places are kept.
-        table = T.constant_array(places, "array<int>")
-        split = T.computed(rows, keep, words=T.words(F.col("text")), half=_half(F.col("doc_id")))
-        grams = T.computed(
-            split, keep, tokens=F.size("words").cast("double"),
-            grams=F.filter(F.transform("words", lambda w: F.get(table, F.pmod(F.xxhash64(w, F.col("half")), F.lit(self.buckets)).cast("int"))), lambda i: i.isNotNull()),
-        )
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """``number``, the number of words as ``tokens`` and scores ``s1, ...`` of ``rows`` (``number, doc_id, text``)."""
+        words = rows.select("number", _half(F.col("doc_id")).alias("half"), F.explode_outer(T.words(F.col("text"))).alias("word"))
+        table = F.broadcast(self.telling) if self.words <= BROADCAST_WORDS else self.telling
+        joined = words.select("number", _key(F.col("word"), F.col("half")).alias("key")).join(table, "key", "left")
+        others = range(1, len(self.domains))
+        sums = joined.groupBy("number").agg(F.count("key").cast("double").alias("tokens"), *[F.coalesce(F.sum(f"r{i}"), F.lit(0.0)).alias(f"t{i}") for i in others])
         root = F.sqrt(F.greatest(F.col("tokens"), F.lit(1.0)))
-        scores = {}
-        for i in range(1, len(self.domains)):
-            ratios = T.constant_array((self.weights[i] - self.weights[0])[telling].tolist())
-            scores[f"s{i}"] = F.aggregate("grams", F.lit(0.0), _adder(ratios)) / root
-        return T.computed(grams, [*keep, "tokens"], **scores)
+        return sums.select("number", "tokens", *[(F.col(f"t{i}") / root).alias(f"s{i}") for i in others])
 
     def logits(self) -> dict[str, Column]:
         """Columns ``l0, ...`` from the scores; without words the prior counts alone."""
@@ -166,11 +146,11 @@ class DomainClassifier:
         return out
 
     def calibrate(self, marked: DataFrame) -> None:
-        """Fit intercepts and slopes on labelled documents (``doc_id, text, domain``) by damped Newton steps."""
+        """Fit intercepts and slopes on labelled documents (``number, doc_id, text, domain``) by damped Newton steps."""
         k = len(self.domains) - 1
         if not k:
             return
-        table = materialize(self.scored(marked, ["domain"]).where("tokens > 0"))
+        table = materialize(self.scored(marked).where("tokens > 0").join(marked.select("number", "domain"), "number"))
         at, step, before, state = np.concatenate([self.intercepts[1:], self.slopes[1:]]), None, math.inf, None
         for _ in range(NEWTON_STEPS):
             self.intercepts[1:], self.slopes[1:] = at[:k], at[k:]
@@ -217,12 +197,11 @@ def _softmax(df: DataFrame, n: int) -> DataFrame:
     return total.select(*others, *[(F.col(c) / F.col("all")).alias(f"p{i}") for i, c in enumerate(names)])
 
 
-def with_posteriors(docs: DataFrame, classifier: DomainClassifier) -> DataFrame:
-    """``row, tokens, p0, p1, ...`` for every row of ``docs``."""
-    packed = T.packed(docs, doc_id=F.col("doc_id"), text=F.col("text"))
-    scored = classifier.scored(packed, ["row"])
+def posteriors(rows: DataFrame, classifier: DomainClassifier) -> DataFrame:
+    """``number, tokens, p0, p1, ...`` of ``rows`` (``number, doc_id, text``), written once."""
     logits = classifier.logits()
-    return _softmax(scored.select("row", "tokens", *[c.alias(n) for n, c in logits.items()]), len(logits))
+    scored = classifier.scored(rows)
+    return materialize(_softmax(scored.select("number", "tokens", *[c.alias(n) for n, c in logits.items()]), len(logits)))
 
 
 def rate_after(steps: list[np.ndarray], n: int, max_rate: float | None) -> Column:
@@ -271,24 +250,23 @@ def soft_mixing(
     targets: dict[str, float],
     budget: float | None = None,
     max_rate: float | None = None,
-    buckets: int | None = None,
     group: Column | None = None,
 ) -> DataFrame:
     """Rows of ``docs`` in ``row`` with ``tokens``, ``posteriors`` by domain, ``rate`` and ``copies``.
 
     ``targets`` gives the domains' shares of ``budget`` tokens (default: the corpus' own). ``copies`` is the rate
     rounded up or down by a fixed hash of ``doc_id``, so that totals are met on average and reruns agree. ``group`` is
-    the group that words are compared within; ``buckets`` is the size of the classifier's table (default: by the words).
+    the group that words are compared within.
     """
     domains = list(targets)
     shares = np.array([max(0.0, targets[d]) for d in domains])
-    classifier = DomainClassifier.fit(docs, labelled, domains, buckets, group)
-    rows = with_posteriors(docs, classifier)
-    table = materialize(rows.drop("row"))
+    classifier = DomainClassifier.fit(docs, labelled, domains, group)
+    rows = numbered(T.packed(docs, doc_id=F.col("doc_id"), text=F.col("text")))
+    table = posteriors(rows, classifier)
     if budget is None:
         budget = table.agg(F.sum("tokens")).first()[0] or 0.0
     steps = fit_steps(table, shares / max(shares.sum(), 1e-12) * budget, max_rate)
-    rated = rows.withColumn("rate", rate_after(steps, len(domains), max_rate))
+    rated = rows.select("number", "row").join(table, "number").withColumn("rate", rate_after(steps, len(domains), max_rate))
     chance = F.pmod(F.xxhash64(F.lit("copies"), F.col("row.doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     named = F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.col(f"p{i}"))])
     return rated.select(
