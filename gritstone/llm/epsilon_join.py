@@ -14,8 +14,10 @@ spanning forest, so a dense cluster of ``n`` vectors yields ``n`` rows, not n².
 
 Null and empty vectors, zero vectors and vectors with null, NaN or infinite
 components link with nothing. Shorter vectors count as padded with zeros. Equal
-rows with one ``vec_id`` are separate vectors that link to each other. An empty
-table gives an empty result. Extra columns are not read.
+rows with one ``vec_id`` are separate vectors that link to each other, and different
+vectors with one id are judged each for itself. A vector without id links like any
+other; its component is the smallest id there is in it, null if there is none, and it
+is kept only then. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -171,7 +173,9 @@ def epsilon_join(vectors: DataFrame, min_cosine: float = MIN_COSINE, block_vecto
     share_package(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = rows.where(usable(F.col("embedding")))
-    classes = materialize(good.groupBy("embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies")))
+    # Ids may be null or repeated, so a class has a number of its own, and its smallest id beside it.
+    equal = materialize(good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")))
+    classes = materialize(equal.withColumn("class_id", F.monotonically_increasing_id()))
     size = classes.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
     alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not size.n:
@@ -215,16 +219,14 @@ def epsilon_join(vectors: DataFrame, min_cosine: float = MIN_COSINE, block_vecto
     )
     counts = found.groupBy("class_id").agg(F.sum("n").alias("n"))
     together = components(found.select("class_id", "root"))
-    summary = (
-        classes.select("embedding", "class_id", "copies")
+    named = (
+        classes.select("embedding", "class_id", "least", "copies")
         .join(counts, "class_id", "left")
         .join(together.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .select(
-            "embedding",
-            (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "class_id").alias("component_id"),
-        )
+        .withColumn("component", F.coalesce("component", "class_id"))
     )
-    linked = good.join(summary, "embedding").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    summary = named.join(smallest, "component").select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    linked = good.join(summary, "embedding").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
     bad = rows.where(~usable(F.col("embedding"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     return linked.unionByName(bad)

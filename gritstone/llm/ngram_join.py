@@ -16,8 +16,9 @@ are compared.
 
 A set is empty for null text and text without words, and one shingle of all
 words when there are fewer than ``width``; empty sets link with nothing. Equal
-texts link, repeated rows too. An empty table gives an empty result. Extra
-columns are not read.
+texts link, repeated rows too. A row without id links like any other; its component
+is the smallest id there is in it, null if there is none. An empty table gives an
+empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -305,7 +306,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     spots = [F.shiftrightunsigned(F.xxhash64(F.lit(i), "doc_id"), 64 - BLOOM_BITS).alias(f"h{i}") for i in (0, 1)]
     found = docs.select("doc_id", "text", *spots).mapInArrow(compute, "doc_id long, cls long, tokens binary")
     # Several rows may carry one id; the digest tells which of them the class is.
-    return found.join(wanted, ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"]).select("cls", "tokens")
+    named = wanted.select(F.col("cls").alias("wanted_cls"), F.col("doc_id").alias("wanted_id"))
+    same = (F.col("cls") == F.col("wanted_cls")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
+    return found.join(named, same).dropDuplicates(["cls"]).select("cls", "tokens")
 
 
 @F.pandas_udf(BooleanType())

@@ -4,7 +4,9 @@ Equal texts form an atomic group. Groups stand in the order of their smallest
 document id; the cuts between shards are chosen so that the largest shard is as
 small as any contiguous partition into that many shards allows: the smallest
 capacity for which filling shards greedily in order needs no more than the
-given number of shards is found by binary search.
+given number of shards is found by binary search. Under that capacity each cut is
+made where the running size is nearest to an equal share of what is left, so that
+shards are near equal and none is left with the rest.
 
 The search looks groups up in two levels. The driver holds the running sizes of
 at most ``BLOCKS`` blocks of groups; the sizes inside a block are fetched for
@@ -83,9 +85,28 @@ class GroupSizes:
         inside = self._inside[b]
         return inside[bisect_right(inside, (size, float("inf"), 0)) - 1]
 
-    def cuts(self, capacity: int, shards: int) -> list[tuple[int, int, int]] | None:
-        """First groups of the second and later shards filled greedily; None if more shards are needed."""
-        found, start = [], 0
+    def around(self, size: float) -> list[tuple[int, int, int]]:
+        """The last group that begins at or before a running size, and the next one if there is one."""
+        b = self.block_of(size)
+        self.fetch({b, b + 1})
+        inside = self._inside[b] + self._inside.get(b + 1, [])
+        at = bisect_right(inside, (size, float("inf"), 0)) - 1
+        return inside[max(at, 0) : at + 2]
+
+    def blocks_suffice(self, start: int, capacity: int, shards: int) -> bool:
+        """Whether what follows a running size fits into shards that end with whole blocks."""
+        for _ in range(shards):
+            if start + capacity >= self.total:
+                return True
+            end = self.before[bisect_right(self.before, start + capacity) - 1]
+            if end <= start:
+                return False
+            start = end
+        return False
+
+    def cuts(self, capacity: int, shards: int, start: int = 0) -> list[tuple[int, int, int]] | None:
+        """First groups of the second and later shards filled greedily from ``start``; None if more are needed."""
+        found = []
         while start + capacity < self.total:
             if len(found) == shards - 1:
                 return None
@@ -131,6 +152,29 @@ def smallest_capacity(sizes: GroupSizes, shards: int) -> int:
     return low
 
 
+def even_cuts(sizes: GroupSizes, capacity: int, shards: int) -> list[tuple[int, int, int]]:
+    """First groups of the second and later shards, each cut nearest to an equal share of what is left; no shard is
+    above the capacity."""
+    found: list[tuple[int, int, int]] = []
+    start = 0
+    near = {sizes.block_of(sizes.total * i / shards) for i in range(1, shards)}
+    sizes.fetch({b + step for b in near for step in (0, 1)})
+    for left in range(shards - 1, 0, -1):
+        share = start + (sizes.total - start) / (left + 1)
+        options = [c for c in sizes.around(share) if start < c[0] <= start + capacity]
+        for cut in sorted(options, key=lambda c: abs(c[0] - share)):
+            if sizes.blocks_suffice(cut[0], capacity, left) or sizes.cuts(capacity, left, cut[0]) is not None:
+                break
+        else:
+            rest = sizes.cuts(capacity, left + 1, start)
+            if not rest:
+                break
+            cut = rest[0]
+        found.append(cut)
+        start = cut[0]
+    return found
+
+
 def minimax_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row of ``docs`` (``doc_id, text``)."""
     spark = docs.sparkSession
@@ -166,7 +210,7 @@ def minimax_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     )
     sizes = GroupSizes(leaders)
     capacity = smallest_capacity(sizes, shards) if n else 0
-    cuts = sizes.cuts(capacity, shards) if n else []
+    cuts = even_cuts(sizes, capacity, shards) if n else []
     shard, first = F.lit(0), F.lit(0).cast("long")
     for i, (_, part, place) in enumerate(cuts, 1):
         reached = (F.col("part") > part) | ((F.col("part") == part) & (F.col("place") >= place))

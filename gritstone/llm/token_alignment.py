@@ -8,7 +8,7 @@ there are linked; no token is empty, so every group has one link.
 After the full tokenisation, the bytes at which a token marked with a space begins
 in both are anchors, once the tokens before them are verified to end there. Anchors
 split a document into windows of token ids. Ids determine bytes, so a window's
-alignment follows from its two tuples of ids: it is written out once and remembered by
+alignment follows from its two tuples of ids: it is worked out once and remembered by
 these tuples (a bounded number in each worker; very long windows are not kept).
 
 Tasks tokenise and align where they read and write one row per document: its counts
@@ -26,6 +26,7 @@ their own. An empty table gives no rows. Extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,8 +39,8 @@ from gritstone.llm.tokens import VOCABULARY, Encoder
 from gritstone.runtime import batch_rows, materialize, share_package
 
 PIECES = "piece_bpe_32k.model"
-#: Windows remembered at once (some 250 bytes each), and the ids of the longest that is.
-KEPT_WINDOWS = 250_000
+#: Windows remembered at once (some 220 bytes each), and the ids of the longest that is.
+KEPT_WINDOWS = 300_000
 KEPT_TOKENS = 32
 #: Pairs that every task holds for the lookup (17 bytes each).
 COMMON_PAIRS = 1_000_000
@@ -50,6 +51,9 @@ BATCH = 512
 DOCUMENT_SCHEMA = "number long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
 RESULT = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 B_BITS = 32
+#: Where one of two equal patterns is faster, and pieces whose tokenisation is left to the slower encoder; see ``tokens``.
+LONG_SPACE = re.compile(r"\s\s|\s$")
+LONG_PIECE = 2000
 #: Stands between the ids of A and B of a window; no id is that large.
 MARK = 0xFFFFFFFF
 
@@ -69,6 +73,12 @@ class PlainEncoder(Encoder):
         self._slow.encode_special_tokens = True
         self._special = None
 
+    def ids(self, text: str) -> np.ndarray:
+        if self._fast is None or max(map(len, text.split()), default=0) >= LONG_PIECE:
+            return super().ids(text)
+        chosen = self._fast if LONG_SPACE.search(text) else self._plain
+        return np.array(chosen.encode_ordinary(text), "<u4")
+
     def joined(self, ids: list[int]) -> bytes:
         """What the tokens spell."""
         return self._plain.decode_bytes(ids) if self._plain else b"".join([self._spelled[i] for i in ids])
@@ -107,8 +117,10 @@ class Aligner:
         self.bytes_a, self.bytes_b = self.a.spelled(), self.b.spelled()
         self.length_a, self.length_b = (np.array([len(t) for t in side], np.int64) for side in (self.bytes_a, self.bytes_b))
         self.marked_a, self.marked_b = (np.array([t[:1] == b" " for t in side]) for side in (self.bytes_a, self.bytes_b))
-        self.named_a, self.named_b = ([str(i) for i in range(len(side))] for side in (self.bytes_a, self.bytes_b))
-        self.windows: dict[bytes, str] = {}
+        # Each id as text with what follows it: a comma within a group; then a bar after A's ids, a semicolon after B's.
+        marks = [(len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")]
+        self.texts = [f"{i}{mark}" for size, pair in marks for i in range(size) for mark in pair]
+        self.windows: dict[bytes, bytes] = {}
         self.asked = self.missed = 0
 
     def start(self) -> None:
@@ -117,25 +129,30 @@ class Aligner:
             self.windows.clear()
         self.asked = self.missed = 0
 
-    def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token numbers in A and B at which groups begin, the end included, and the numbers of the groups that begin
-        windows: those whose start is a shared end before a token that both mark with a space."""
+    def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token numbers in A and B at which windows begin, the end included: where tokens that both mark with a space
+        begin at one byte, at which the tokens before them end."""
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        at_a, at_b = np.flatnonzero(self.marked_a[a[1:]]) + 1, np.flatnonzero(self.marked_b[b[1:]]) + 1
+        before_a, before_b = ends_a[at_a - 1], ends_b[at_b - 1]
+        ended = np.zeros((2, ends_a[-1] + 1), bool)
+        ended[0, before_a] = True
+        ended[1, before_b] = True
+        return np.concatenate(([0], at_a[ended[1, before_a]], [len(a)])), np.concatenate(([0], at_b[ended[0, before_b]], [len(b)]))
+
+    def aligned(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Numbers of A and B tokens of every group: a group ends where tokens of both do."""
         ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         ended = np.zeros((2, ends_a[-1] + 1), bool)
         ended[0, ends_a] = True
         ended[1, ends_b] = True
-        at_a = np.concatenate(([0], np.flatnonzero(ended[1, ends_a]) + 1))
-        at_b = np.concatenate(([0], np.flatnonzero(ended[0, ends_b]) + 1))
-        anchors = np.flatnonzero(self.marked_a[a[at_a[1:-1]]] & self.marked_b[b[at_b[1:-1]]]) + 1
-        return at_a, at_b, np.concatenate(([0], anchors, [len(at_a) - 1]))
-
-    def _aligned(self, a: list[str], b: list[str], at_a: list[int], at_b: list[int]) -> str:
-        """The groups of one window as text."""
-        return ";".join([f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in zip(at_a, at_a[1:], at_b, at_b[1:], strict=False)])
-
-    def _windows(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, cuts: np.ndarray) -> list[str]:
-        """The groups of every window; known windows are found by their ids, A's and B's with a mark between."""
-        cut_a, cut_b = at_a[cuts], at_b[cuts]
+        at_a, at_b = np.flatnonzero(ended[1, ends_a]) + 1, np.flatnonzero(ended[0, ends_b]) + 1
+        return np.stack([np.diff(at_a, prepend=0), np.diff(at_b, prepend=0)], axis=1).astype("<u4")
+
+    def groups(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The same from windows: known ones are found by their ids, A's and B's with a mark between; if there are
+        others, the document is aligned and theirs are remembered."""
+        cut_a, cut_b = self.cuts(a, b)
         size_a, size_b = np.diff(cut_a), np.diff(cut_b)
         size = size_a + size_b + 1
         start = np.cumsum(size) - size
@@ -147,18 +164,19 @@ class Aligner:
         keys = [packed[i:j] for i, j in zip(edges, edges[1:], strict=False)]
         found = list(map(self.windows.get, keys))
         new = [w for w, known in enumerate(found) if known is None]
-        if new:
-            names_a, names_b = [self.named_a[i] for i in a.tolist()], [self.named_b[i] for i in b.tolist()]
-            list_a, list_b, bounds = at_a.tolist(), at_b.tolist(), cuts.tolist()
-            for w in new:
-                low, high = bounds[w], bounds[w + 1] + 1
-                found[w] = self._aligned(names_a, names_b, list_a[low:high], list_b[low:high])
-                # The most frequent windows come early.
-                if len(self.windows) < KEPT_WINDOWS and len(keys[w]) <= 4 * KEPT_TOKENS:
-                    self.windows[keys[w]] = found[w]
         self.asked += len(keys)
         self.missed += len(new)
-        return found
+        if not new:
+            return np.frombuffer(b"".join(found), "<u4").reshape(-1, 2)
+        whole = self.aligned(a, b)
+        if len(self.windows) < KEPT_WINDOWS:
+            # The most frequent windows come early.
+            bounds = (8 * np.searchsorted(np.cumsum(whole[:, 0]), cut_a, side="right")).tolist()
+            data = whole.tobytes()
+            for w in new:
+                if len(keys[w]) <= 4 * KEPT_TOKENS:
+                    self.windows[keys[w]] = data[bounds[w] : bounds[w + 1]]
+        return whole
 
     def document(self, text: str | None) -> tuple[int, int, str, np.ndarray]:
         """Numbers of A and B tokens, the groups as text, and the linked pair of each group."""
@@ -171,9 +189,18 @@ class Aligner:
         spelled_b = self.bytes_b
         if b"".join([spelled_b[i] for i in b.tolist()]) != target or self.a.joined(a.tolist()) != target:
             return 0, 0, "", none
-        at_a, at_b, cuts = self.groups(a, b)
-        links = a[at_a[1:] - 1].astype("<i8") << B_BITS | b[at_b[1:] - 1]
-        return len(a), len(b), ";".join(self._windows(a, b, at_a, at_b, cuts)), links
+        groups = self.groups(a, b)
+        ends = np.cumsum(groups, axis=0, dtype=np.int64)
+        last_a, last_b = ends[:, 0] - 1, ends[:, 1] - 1
+        # A's ids of a group stand before B's.
+        coded_a, coded_b = 2 * a.astype(np.int64), 2 * (b.astype(np.int64) + len(self.bytes_a))
+        coded_a[last_a] += 1
+        coded_b[last_b] += 1
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.repeat(ends[:, 1] - groups[:, 1], groups[:, 0])] = coded_a
+        order[np.arange(len(b)) + np.repeat(ends[:, 0], groups[:, 1])] = coded_b
+        written = "".join(map(self.texts.__getitem__, order.tolist()))[:-1]
+        return len(a), len(b), written, a[last_a].astype("<i8") << B_BITS | b[last_b]
 
 
 @lru_cache(maxsize=1)

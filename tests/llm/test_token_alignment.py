@@ -97,10 +97,14 @@ def test_windows_end_together_and_are_remembered(spark, prose):
     both = aligner("byte_bpe_50k", "piece_bpe_32k.model")
     text = "\n".join(" ".join(prose(i, 40)) for i in range(5))
     a, b = both.a.ids(" " + text), both.b.ids(text)
-    at_a, at_b, cuts = both.groups(a, b)
-    assert len(cuts) > 150
-    for i, k in zip(at_a[cuts[1:-1]].tolist(), at_b[cuts[1:-1]].tolist()):
+    cuts_a, cuts_b = both.cuts(a, b)
+    assert len(cuts_a) == len(cuts_b) > 150
+    for i, k in zip(cuts_a[1:-1].tolist(), cuts_b[1:-1].tolist()):
         assert both.length_a[a[:i]].sum() == both.length_b[b[:k]].sum() and both.marked_a[a[i]] and both.marked_b[b[k]]
+    assert (both.groups(a, b) == both.aligned(a, b)).all()
+    both.aligned = None  # now all windows are known
+    assert len(both.groups(a, b)) > 150
+    del both.aligned
     first, kept = both.document(text), len(both.windows)
     again = both.document(text)
     assert again[:3] == first[:3] and (again[3] == first[3]).all() and len(both.windows) == kept > 0
