@@ -7,12 +7,18 @@ literals, so the table is rewritten once however many steps apply.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import re
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gritstone.functions.values import (
     BLANK_MARKERS,
@@ -223,6 +229,8 @@ class CleanResult:
     df: DataFrame
     operations: list[tuple]
     staged: bool = False
+    run_id: str | None = None
+    error: str | None = None
 
     @cached_property
     def manifest(self) -> DataFrame:
@@ -257,6 +265,8 @@ class CleanResult:
 
     @cached_property
     def checks(self) -> list[tuple[str, bool]]:
+        if self.error:
+            return [("batches_succeeded", False)]
         m = self.measures
         if self.staged:
             return [
@@ -276,7 +286,7 @@ class CleanResult:
     def status(self) -> str:
         if all(passed for _, passed in self.checks):
             return "passed"
-        return "failed" if self.staged else "warning"
+        return "failed" if self.staged or self.error else "warning"
 
     @cached_property
     def validation(self) -> DataFrame:
@@ -306,7 +316,7 @@ class CleanResult:
     def approve(self, store, dataset_id: str, label: str | None = None):
         """Promote the cleaned table to the next version if validation did not fail."""
         if self.status == "failed":
-            raise ValueError("Only a successful run can be approved.")
+            raise ValueError("Only a successful run can be approved." + (f" {self.error}" if self.error else ""))
         return store.promote(self.df, dataset_id, label or "Approved cleaning run")
 
     def write(self, path: str) -> None:
@@ -406,3 +416,37 @@ def clean_staged(df: DataFrame, row_filter: Filter | None = None, outliers: bool
 def apply_transform(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> CleanResult:
     """Run a caller's transformation and validate its result like a cleaning run."""
     return CleanResult(df, df.transform(fn), [("custom_transform", [], 0, {})])
+
+
+def apply_batches(
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str, columns: list[str] | None = None
+) -> CleanResult:
+    """Run a caller's function on Arrow batches of the rows, in tasks, and validate the result like a cleaning run.
+
+    The function gets the named columns and returns those of ``schema``, in any order; other types are cast if nothing
+    is lost. The result is written before it is validated, so the function runs once. A batch that fails makes the run
+    a failed one, which cannot be approved; its error names the run and the batch.
+    """
+    run = f"run_{uuid.uuid4().hex[:10]}"
+    struct = T.StructType.fromDDL(schema)
+    wanted = to_arrow_schema(struct)
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in enumerate(batches):
+            try:
+                made = fn(batch)
+                table = made if isinstance(made, pa.Table) else pa.Table.from_batches([made])
+                table = table.select(wanted.names).cast(wanted)
+            except Exception as error:
+                part = TaskContext.get().partitionId()
+                raise ValueError(f"{run}: batch {number} of part {part} failed: {type(error).__name__}: {error}") from error
+            yield from table.to_batches()
+
+    source = df if columns is None else df.select(*[quote(c) for c in columns])
+    operations: list[tuple] = [("custom_transform", list(columns or []), 0, {"run": run})]
+    try:
+        made = materialize(source.mapInArrow(per_batch, struct))
+    except PySparkException as error:
+        told = re.search(rf"{run}: .*", str(error))
+        return CleanResult(df, small_frame(df.sparkSession, [], struct), operations, run_id=run, error=told.group() if told else f"{run}: {error}")
+    return CleanResult(df, made, operations, run_id=run)

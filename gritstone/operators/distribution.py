@@ -17,7 +17,7 @@ from gritstone.runtime import chunks, reliable_checkpoint, small_frame
 HISTOGRAM_SCHEMA = (
     "position int, column string, bin int, label string, low double, high double, count bigint"
 )
-COLUMNS_PER_PASS = 8
+COLUMNS_PER_PASS = 4
 
 
 def default_bins(n: int) -> int:
@@ -29,11 +29,14 @@ def bin_edges(low: float, high: float, bins: int) -> list[float]:
     return [low + i * step for i in range(bins)] + [high]
 
 
-def bin_index(cell: str, low: float, high: float, bins: int) -> str:
-    """Bin of a value among edges ``low + i * step``; the last bin is closed."""
+def bin_guess(cell: str, low: float, high: float, bins: int) -> str:
+    return f"least(cast(floor(({cell} - {lit(low)}) / {lit((high - low) / bins)}) as int), {bins - 1})"
+
+
+def bin_index(cell: str, guess: str, low: float, high: float, bins: int) -> str:
+    """Bin of a value among edges ``low + i * step``, corrected from a guess; the last bin is closed."""
     step = lit((high - low) / bins)
     start = lit(low)
-    guess = f"least(cast(floor(({cell} - {start}) / {step}) as int), {bins - 1})"
     # least() skips nulls, so a missing cell has to be kept out of the last bin.
     return (
         f"if({cell} is null, null, {guess} - if({cell} < {start} + {guess} * {step}, 1, 0)"
@@ -77,12 +80,11 @@ def histogram_rows(flat: DataFrame, measured: list, bins: int | None = None) ->
     counts: dict[tuple[int, int], int] = {}
     parts = []
     for chunk in chunks([r for r in measured if r.position in sizes], COLUMNS_PER_PASS):
-        wide = flat.selectExpr(
-            *[
-                f"{bin_index(f'cast({quote(r.column)} as double)', r.low, r.high, sizes[r.position])}"
-                f" as `{r.position}`"
-                for r in chunk
-            ]
+        # Cells and guesses are columns of their own, so that generated code holds each once.
+        cells = flat.selectExpr(*[f"cast({quote(r.column)} as double) as c{r.position}" for r in chunk])
+        guessed = cells.selectExpr("*", *[f"{bin_guess(f'c{r.position}', r.low, r.high, sizes[r.position])} as g{r.position}" for r in chunk])
+        wide = guessed.selectExpr(
+            *[f"{bin_index(f'c{r.position}', f'g{r.position}', r.low, r.high, sizes[r.position])} as `{r.position}`" for r in chunk]
         )
         cells = wide.unpivot([], wide.columns, "key", "bin")
         parts.append(cells.where("bin is not null").groupBy("key", "bin").count())

@@ -26,6 +26,9 @@ INTERACTION_COLUMNS = 4
 TARGET_VALUES = 20
 TARGET_SHARE = 0.5
 CLASS_VALUES = 20
+# Where an estimated distinct count, with a standard error of 2 %, is not trusted.
+ESTIMATE_MARGIN = 0.2
+FEW = 10
 CLASS_SHARE = 0.2
 
 
@@ -35,9 +38,18 @@ def choose_target(df: DataFrame, hint: str | None = None) -> str | None:
         return hint
     rows = df.count()
     limit = max(TARGET_VALUES, int(rows * TARGET_SHARE))
-    counted = {r.column: r.distinct_count for r in frequency.distinct_counts(df).collect()}
-    fitting = [c for c in df.columns if 1 < counted[c] <= limit]
-    return fitting[-1] if fitting else (df.columns[-1] if df.columns else None)
+    # Estimates decide where they can; only columns near a limit are counted exactly, from the last on.
+    estimates = frequency.near_distinct(df, df.columns)
+    for c in reversed(df.columns):
+        about = estimates[c]
+        if about > limit * (1 + ESTIMATE_MARGIN) + FEW:
+            continue
+        if FEW < about < limit * (1 - ESTIMATE_MARGIN):
+            return c
+        counted = frequency.distinct_counts(df.select(quote(c))).first()
+        if 1 < counted.distinct_count <= limit:
+            return c
+    return df.columns[-1] if df.columns else None
 
 
 def infer_task(df: DataFrame, target: str, mode: str = "model_lab") -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from gritstone.functions.values import as_text, is_number, quote, text_literal
+from gritstone.operators.long_text import SHOWN, Pick, by_count, has_text, key_of, native, pick
 from gritstone.operators.normalize import normalize
 from gritstone.operators.per_column import per_column
 from gritstone.runtime import small_frame
@@ -15,6 +16,7 @@ from gritstone.runtime import small_frame
 # Distinct-count estimates evaluated together.
 ESTIMATES_PER_PASS = 50
 
+MODE = Pick("mode", 1, "n desc, real, whole, ", native)
 # Ascending native order of one column's values within a frequency table.
 NATIVE_ORDER = "real, whole, value"
 
@@ -26,10 +28,11 @@ def _family(dtype: T.DataType) -> T.DataType:
     return T.StringType() if isinstance(dtype, (T.CharType, T.VarcharType)) else dtype
 
 
-def frequency_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Long table (position, column, value, whole, real, n) of non-null values.
+def frequency_table(df: DataFrame, columns: list[str] | None = None, keyed: bool = True) -> DataFrame:
+    """Long table (position, column, value, whole, real, n, hashed) of non-null values.
 
-    Cells are counted in their own type and only distinct values become text.
+    Cells are counted in their own type and only distinct values become text. Unless ``keyed`` is off, a long text is
+    counted by its key, see ``long_text``; such rows are ``hashed``.
     Counts are combined before the shuffle, so a value that fills a third of the
     rows leaves each task as one record. ``real`` and ``whole`` carry the native
     sort order of numbers.
@@ -40,7 +43,7 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None) -> DataFram
         return small_frame(
             df.sparkSession,
             [],
-            "position int, column string, value string, whole bigint, real double, n bigint",
+            "position int, column string, value string, whole bigint, real double, n bigint, hashed boolean",
         )
     position = {name: i for i, name in enumerate(df.columns)}
     families: dict[T.DataType, list[str]] = {}
@@ -54,6 +57,9 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None) -> DataFram
         real = "cell" if is_number(dtype) and not isinstance(dtype, T.LongType) else "null"
         wide = df.selectExpr(*[f"cast({quote(n)} as {kind}) as `{position[n]}`" for n in members])
         cells = wide.unpivot([], wide.columns, "key", "cell")
+        short = keyed and isinstance(dtype, T.StringType)
+        if short:
+            cells = cells.selectExpr("key", f"{key_of('cell')} as cell")
         counted = cells.where("cell is not null").groupBy("key", "cell").count()
         label = " ".join(f"when '{position[n]}' then {text_literal(n)}" for n in members)
         parts.append(
@@ -64,11 +70,20 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None) -> DataFram
                 f"cast({whole} as bigint) as whole",
                 f"cast({real} as double) as real",
                 "count as n",
+                f"length(cell) > {SHOWN} as hashed" if short else "false as hashed",
             )
         )
     return reduce(DataFrame.unionByName, parts)
 
 
+def top_pick(k: int) -> Pick:
+    return Pick("top", k, "n desc, ", by_count)
+
+
+def rare_pick(k: int) -> Pick:
+    return Pick("rare", k, where="n = 1")
+
+
 def distinct_counts(
     df: DataFrame, columns: list[str] | None = None, approx: bool = False
 ) -> DataFrame:
@@ -104,9 +119,8 @@ def values_up_to(df: DataFrame, columns: list[str], limit: int) -> dict[str, dic
     likely = [c for c in columns if estimates[c] <= 2 * limit + 50]
     values: dict[str, dict[str, int]] = {c: {} for c in likely}
     if likely:
-        few = ranked_values(frequency_table(df, likely), limit + 1, "value")
-        for r in sorted(few.collect(), key=lambda r: (r.position, r["rank"])):
-            values[r.column][r.value] = r.n
+        for _, column, _, value, n in pick(df, frequency_table(df, likely), [Pick("few", limit + 1)])["few"]:
+            values[column][value] = n
     return {c: v for c, v in values.items() if len(v) <= limit}
 
 
@@ -135,6 +149,9 @@ def modes(
 ) -> DataFrame:
     """Most frequent value per column; the smallest in native order among ties."""
     freq = frequency_table(df, columns) if freq is None else freq
+    if has_text(df, columns or df.columns):
+        rows = [(p, c, value, n) for p, c, _, value, n in pick(df, freq, [MODE])["mode"]]
+        return small_frame(df.sparkSession, rows, "position int, column string, mode string, mode_count bigint")
     ranked = freq.selectExpr("position", "column", f"struct(-n as rank, {NATIVE_ORDER}) as entry")
     best = ranked.groupBy("position", "column").agg({"entry": "min"})
     return best.selectExpr(
@@ -153,6 +170,9 @@ def top_values(
 ) -> DataFrame:
     """The ``k`` most frequent values per column, ties by value."""
     freq = frequency_table(df, columns) if freq is None else freq
+    if has_text(df, columns or df.columns):
+        found = pick(df, freq, [top_pick(k)])["top"]
+        return small_frame(df.sparkSession, found, "position int, column string, rank int, value string, n bigint")
     top = ranked_values(freq, k, "n desc, value")
     return top.select("position", "column", "rank", "value", "n")
 
@@ -162,4 +182,7 @@ def rare_values(
 ) -> DataFrame:
     """Up to ``k`` values per column that occur exactly once, smallest first."""
     freq = frequency_table(df, columns) if freq is None else freq
+    if has_text(df, columns or df.columns):
+        found = [row[:4] for row in pick(df, freq, [rare_pick(k)])["rare"]]
+        return small_frame(df.sparkSession, found, "position int, column string, rank int, value string")
     return ranked_values(freq.where("n = 1"), k, "value").select("position", "column", "rank", "value")

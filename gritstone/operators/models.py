@@ -32,7 +32,7 @@ from gritstone.operators.metrics import (
     review_gate,
 )
 from gritstone.operators.normalize import normalize, require_columns, types_of
-from gritstone.operators.preparation import FOLD, HASHED_WIDTH, Preparation, prepare_views
+from gritstone.operators.preparation import FOLD, Preparation, prepare_views
 from gritstone.operators.split import Split, train_test_split
 from gritstone.operators.tuning import MAX_FOLDS, STORAGE, GridSearch, grid_points, grid_search, score
 from gritstone.runtime import small_frame
@@ -41,6 +41,8 @@ MIN_ROWS = 5
 # Depth that stands for "unlimited"; trees double in size with every level.
 DEFAULT_DEPTH = 12
 MAX_CLASSES = 1_000
+# One-vs-rest fits that run side by side.
+CLASSES_AT_ONCE = 16
 
 # Default and allowed parameters, tuning grids.
 ALLOWED = {
@@ -130,7 +132,8 @@ def _estimator(model_type: str, task: str, params: dict, classes: int, rows: int
         if task == "regression":
             return GBTRegressor(**boosted)
         classifier = GBTClassifier(**boosted)
-        return classifier if classes <= 2 else OneVsRest(classifier=classifier, **common)
+        # Classes are fitted side by side on one persisted table.
+        return classifier if classes <= 2 else OneVsRest(classifier=classifier, parallelism=min(classes, CLASSES_AT_ONCE), **common)
     forest = {
         "numTrees": trees, "maxDepth": depth, "seed": 42,
         "minInstancesPerNode": int(params.get("min_samples_leaf", 1)), **common,
@@ -145,12 +148,14 @@ def _penalty(strength: float, rows: int) -> float:
     return 1.0 / (float(strength) * max(rows, 1))
 
 
-def _feature_names(plan: Preparation | None, features: list[str]) -> list[str]:
-    if plan is None:
-        return features
-    names = [f"pca_{i + 1}" for i in range(plan.components)] if plan.components else list(plan.numbers)
-    names += [f"{c}_{v}" for c in plan.categories for v in plan.labels[c]]
-    return names + [f"hashed_{i}" for i in range(HASHED_WIDTH if plan.hashed else 0)]
+def feature_names(vectors: DataFrame, plan: Preparation | None) -> list[str]:
+    """Names of the entries of ``features``, from the metadata that the stages attached to the column."""
+    attached = vectors.schema["features"].metadata["ml_attr"]
+    names = [str(i) for i in range(attached["num_attrs"])]
+    for group in attached.get("attrs", {}).values():
+        for a in group:
+            names[a["idx"]] = a.get("name", names[a["idx"]])
+    return names if plan is None else [plan.shown(n) for n in names]
 
 
 def _importances(model, names: list[str], top: int) -> list[tuple[str, float]]:
@@ -253,7 +258,8 @@ def train(
         search = grid_search(rows, pipelines[1:], weigh, build, kind, list(points.values()))
         used = {**used, **search.points[search.best]}
     # Iterative learners read the vectors many times; lost blocks are rebuilt from the source.
-    ready = weigh(prepare.transform(rows).select("features", "label")).persist(STORAGE)
+    vectors = prepare.transform(rows).select("features", "label")
+    ready = weigh(vectors).persist(STORAGE)
     try:
         fitted = build({}, train_rows).fit(ready)
         train_score = score(fitted.transform(ready), kind)
@@ -279,7 +285,7 @@ def train(
     if search:
         run.metrics["tuning_score"] = search.scores[search.best]
         run.search = search
-    run.importances = _importances(fitted, _feature_names(views[0], chosen), top)
+    run.importances = _importances(fitted, feature_names(vectors, views[0]), top)
     run.seconds = round(time.perf_counter() - started, 4)
     return run
 
@@ -292,7 +298,10 @@ def _label_sql(target: str, data: DataFrame, labels: list[str]) -> str:
 
 
 def predict(run: ModelRun, df: DataFrame) -> DataFrame:
-    """Every row with ``prediction``, plus ``actual`` and a binary ``score`` where known."""
+    """Every row with ``prediction``, plus ``actual`` and a binary ``score`` where known.
+
+    Columns of the input with one of these names go on as ``<name>_input``.
+    """
     source = normalize(df)
     types = types_of(source)
     if run.target not in source.columns:
@@ -302,7 +311,7 @@ def predict(run: ModelRun, df: DataFrame) -> DataFrame:
     actual = quote(run.target)
     if run.task == "classification":
         actual = as_text(actual, types[run.target])
-    columns = [F.expr(quote(c)) for c in source.columns if c not in {"actual", "prediction", "score"}]
+    columns = [F.expr(quote(c)).alias(f"{c}_input" if c in {"actual", "prediction", "score"} else c) for c in source.columns]
     columns += [F.expr(actual).alias("actual"), F.col("predicted").alias("prediction")]
     if "probability" in out.columns:
         columns.append(vector_to_array("probability")[1].alias("score"))

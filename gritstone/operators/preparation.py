@@ -10,6 +10,7 @@ view ``f + 1`` the complement of fold ``f``.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import PCA, FeatureHasher, OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
@@ -64,8 +65,9 @@ class Preparation:
         if self.categories:
             raw, index, onehot = ([f"__{kind}_{i}" for i in range(len(self.categories))] for kind in ("cat", "index", "onehot"))
             # An unseen value takes the extra last index, which the encoder drops: all zeros.
-            arrays = [self.labels[c] for c in self.categories]
-            stages.append(StringIndexerModel.from_arrays_of_labels(arrays, inputCols=raw, outputCols=index, handleInvalid="keep"))
+            # One indexer for each column: label lists of different lengths in one would be filled up with nulls.
+            for c, i, o in zip(self.categories, raw, index, strict=True):
+                stages.append(StringIndexerModel.from_labels(self.labels[c], inputCol=i, outputCol=o, handleInvalid="keep"))
             stages.append(OneHotEncoder(inputCols=index, outputCols=onehot, dropLast=True))
             parts += onehot
         if self.hashed:
@@ -76,6 +78,16 @@ class Preparation:
         return stages
 
 
+    def shown(self, name: str) -> str:
+        """The name of a vector entry for readers: that of its column, with its value, component or hash."""
+        stage, place, rest = re.fullmatch(r"__(?:numbers___)?(num|onehot|components|hashed)_(\d+)(?:_(.*))?", name, re.DOTALL).groups()
+        if stage == "num":
+            return self.numbers[int(place)]
+        if stage == "onehot":
+            return f"{self.categories[int(place)]}_{rest}"
+        return f"pca_{int(place) + 1}" if stage == "components" else f"hashed_{place}"
+
+
 def merged(parts: list[tuple[int, float, float]]) -> tuple[float, float]:
     """Mean and population deviation of parts given as count, mean and sum of squared deviations."""
     n, mean, squares = 0, 0.0, 0.0

@@ -15,9 +15,10 @@ from pyspark.sql import types as T
 from gritstone.functions.values import is_email, is_real, is_text, quote, text_literal
 from gritstone.operators import distribution, frequency, rows, stats
 from gritstone.operators.correlation import correlation
+from gritstone.operators.long_text import pick
 from gritstone.operators.normalize import normalize, numeric_columns, text_columns, types_of
 from gritstone.operators.per_column import per_column
-from gritstone.runtime import small_frame
+from gritstone.runtime import materialize, small_frame
 
 # Quality penalties per unit rate.
 NULL_PENALTY = 45
@@ -156,7 +157,7 @@ def invalid_emails(df: DataFrame, columns: list[str] | None = None, examples: in
     """Count and up to ``examples`` distinct malformed addresses per e-mail column."""
     if columns is None:
         columns = [n for n, k in infer_kinds(df).items() if k == "email"]
-    freq = frequency.frequency_table(df, columns)
+    freq = frequency.frequency_table(df, columns, keyed=False)
     bad = freq.where(f"not {is_email('value')}")
     totals = bad.groupBy("position", "column").sum("n").withColumnRenamed("sum(n)", "invalid_count")
     shown = frequency.ranked_values(bad, examples, "value")
@@ -255,32 +256,18 @@ def list_problems(summary: dict, columns: list[dict], limit: int | None = None)
 
 
 def _value_facts(flat: DataFrame) -> dict[str, dict]:
-    """Distinct count, mode, top and rare values per column from one frequency table.
-
-    All results are read in one job, so the frequency shuffle runs once.
-    """
-    freq = frequency.frequency_table(flat)
-
-    ranked = freq.selectExpr("column", f"struct(-n as rank, {frequency.NATIVE_ORDER}) as entry")
-    wide = ranked.groupBy("column").agg(F.count("*").alias("distinct"), F.min("entry").alias("best"))
-
-    def part(df: DataFrame, kind: str, rank: str, n: str) -> DataFrame:
-        return df.selectExpr("column", f"'{kind}' as kind", f"cast({rank} as int) as rank", "value", f"{n} as n")
-
-    merged = (
-        part(wide.selectExpr("column", "best.value as value", "distinct"), "whole", "0", "distinct")
-        .unionByName(part(frequency.top_values(flat, freq=freq), "top", "rank", "n"))
-        .unionByName(part(frequency.rare_values(flat, freq=freq), "rare", "rank", "1L"))
-    )
+    """Distinct count, mode, top and rare values per column from one frequency table, written once."""
+    freq = materialize(frequency.frequency_table(flat))
     facts = {n: {"distinct": 0, "mode": None, "top": [], "rare": []} for n in flat.columns}
-    for r in sorted(merged.collect(), key=lambda r: (r.column, r.kind, r["rank"])):
-        entry = facts[r.column]
-        if r.kind == "whole":
-            entry["distinct"], entry["mode"] = r.n, r.value
-        elif r.kind == "top":
-            entry["top"].append({"value": r.value, "count": r.n})
-        else:
-            entry["rare"].append(r.value)
+    for r in freq.groupBy("column").count().collect():
+        facts[r.column]["distinct"] = r["count"]
+    found = pick(flat, freq, [frequency.MODE, frequency.top_pick(8), frequency.rare_pick(8)])
+    for _, column, _, value, _ in found["mode"]:
+        facts[column]["mode"] = value
+    for _, column, _, value, n in found["top"]:
+        facts[column]["top"].append({"value": value, "count": n})
+    for _, column, _, value, _ in found["rare"]:
+        facts[column]["rare"].append(value)
     return facts
 
 

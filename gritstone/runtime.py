@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
@@ -85,6 +87,35 @@ def discard(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def put_if_absent(spark: SparkSession, path: str, content: str) -> bool:
+    """Write a small file unless there is one of its name; of several writers exactly one gets True.
+
+    The content is complete before the name appears: a hidden file is linked, or renamed where the store has no links.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    target = system.makeQualified(hadoop.Path(path))
+    hidden = hadoop.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    system.mkdirs(target.getParent())
+    if system.getUri().getScheme() == "file":
+        source, final = Path(hidden.toUri().getPath()), Path(target.toUri().getPath())
+        source.write_text(content, encoding="utf-8")
+        try:
+            final.hardlink_to(source)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            source.unlink()
+    stream = system.create(hidden, False)
+    stream.write(bytearray(content.encode()))
+    stream.close()
+    if not system.exists(target) and system.rename(hidden, target):
+        return True
+    system.delete(hidden, False)
+    return False
+
+
 @contextmanager
 def batch_rows(spark: SparkSession, rows: int):
     """Hand workers at most so many rows at once for jobs run inside, for rows that hold long values."""

@@ -80,18 +80,20 @@ def probe_text(spark: SparkSession, path: str) -> tuple[str, bool]:
 
 
 def type_columns(raw: DataFrame, schema: str | None = None) -> DataFrame:
-    """Turn missing-value texts into null and cast each column to the type all its cells share."""
+    """Turn missing-value texts into null and cast each text column to the type all its cells share."""
     listed = ", ".join(text_literal(t) for t in MISSING_TEXTS)
     names = raw.columns
-    texts = raw.selectExpr(*[f"if({quote(c)} in ({listed}), null, {quote(c)}) as {quote(c)}" for c in names])
+    typed = {f.name for f in raw.schema.fields if not isinstance(f.dataType, T.StringType)}
+    texts = raw.selectExpr(*[quote(c) if c in typed else f"if({quote(c)} in ({listed}), null, {quote(c)}) as {quote(c)}" for c in names])
     if schema:
         fields = T.StructType.fromDDL(schema).fields
         return texts.selectExpr(
             *[f"try_cast({quote(c)} as {f.dataType.simpleString()}) as {quote(f.name)}" for c, f in zip(names, fields)]
         )
-    if not names:
+    untyped = [c for c in names if c not in typed]
+    if not untyped:
         return texts
-    text_type = raw.schema[names[0]].dataType
+    text_type = raw.schema[untyped[0]].dataType
     booleans = ", ".join(text_literal(t) for t in TRUE_TEXTS + FALSE_TEXTS)
     evidence = {
         "filled": lambda c: f"count({quote(c)})",
@@ -99,8 +101,8 @@ def type_columns(raw: DataFrame, schema: str | None = None) -> DataFrame:
         "wholes": lambda c: f"count(if(trim({quote(c)}) rlike '{WHOLE_PATTERN}', try_cast(trim({quote(c)}) as bigint), null))",
         "booleans": lambda c: f"count_if({quote(c)} in ({booleans}))",
     }
-    columns = {}
-    for r in per_column(texts, names, evidence).collect():
+    columns = {c: quote(c) for c in typed}
+    for r in per_column(texts, untyped, evidence).collect():
         cell = quote(r.column)
         if not r.filled:
             columns[r.column] = "cast(null as double)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from gritstone.operators import cleaning
@@ -17,6 +19,7 @@ from suite.base import (
     dirty_customer,
     dirty_lineitem,
     duck_number,
+    table,
 )
 from suite.profile_cases import duplicates_sql, null_cells_sql
 
@@ -299,18 +302,13 @@ def _(spark, sf_dir):
     "select l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) as net from lineitem",
 )
 def _(spark, sf_dir):
-    from suite.base import table
-
-    def per_batch(batches):
-        for batch in batches:
-            batch["net"] = batch["l_extendedprice"] * (1 - batch["l_discount"])
-            yield batch[["l_orderkey", "l_linenumber", "net"]]
-
-    def change(df):
-        columns = df.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
-        return columns.mapInPandas(per_batch, "l_orderkey bigint, l_linenumber int, net double")
+    def per_batch(batch):
+        net = pc.multiply(batch["l_extendedprice"], pc.subtract(1.0, batch["l_discount"]))
+        return pa.RecordBatch.from_arrays([net, batch["l_orderkey"], batch["l_linenumber"]], ["net", "l_orderkey", "l_linenumber"])
 
-    return cleaning.apply_transform(table(spark, sf_dir, "lineitem"), change).df
+    columns = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"]
+    schema = "l_orderkey bigint, l_linenumber int, net double"
+    return cleaning.apply_batches(table(spark, sf_dir, "lineitem"), per_batch, schema, columns).df
 
 
 PLAN_ROWS = [

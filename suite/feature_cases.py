@@ -80,6 +80,28 @@ def _(spark, sf_dir):
     return features.pca_90(features.one_hot(numbers)).variance
 
 
+@case(
+    "pca_two",
+    """with c as (select abs(corr(l_quantity, l_extendedprice)) as r from lineitem)
+    select cast(1 as int) as component, round((1 + r) / 2, 6) as explained_variance, round((1 + r) / 2, 6) as cumulative from c
+    union all select 2, round((1 - r) / 2, 6), 1.0 from c""",
+)
+def _(spark, sf_dir):
+    found = features.pca_90(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], share=1.0)
+    return found.variance.selectExpr("component", "round(explained_variance, 6) as explained_variance", "round(cumulative, 6) as cumulative")
+
+
+@case(
+    "pca_scores",
+    """with z as (select l_orderkey, l_linenumber, (l_quantity - avg(l_quantity) over ()) / stddev_pop(l_quantity) over () as a,
+      (l_extendedprice - avg(l_extendedprice) over ()) / stddev_pop(l_extendedprice) over () as b from lineitem)
+    select round(abs(a + b) / sqrt(2), 4) as score, count(*) as n from z group by 1""",
+)
+def _(spark, sf_dir):
+    found = features.pca_90(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"]).df
+    return found.selectExpr("round(abs(pca_1), 4) as score").groupBy("score").agg(F.count("*").alias("n"))
+
+
 @case("pca_components")
 def _(spark, sf_dir):
     return features.pca_90(table(spark, sf_dir, "lineitem")).df

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gritstone.operators import metrics, models
-from gritstone.runtime import scratch_path
+from gritstone.runtime import scratch_path, small_frame
 from suite.base import case, table
 
 
@@ -135,31 +135,62 @@ def _(spark, sf_dir):
     return models.accuracy_report(run, comparison)
 
 
+@case("model_tuned_forest")
+def _(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    run = models.train(part, "p_retailprice", ["p_partkey", "p_size", "p_type"], "regression", tune=True, key="p_partkey")
+    return evaluated(run, spark)
+
+
+@case("model_tuned_boosting")
+def _(spark, sf_dir):
+    supplier = table(spark, sf_dir, "supplier")
+    run = models.train(
+        supplier, "s_acctbal", ["s_suppkey", "s_nationkey"], "regression", "gradient_boosting", tune=True, key="s_suppkey"
+    )
+    return evaluated(run, spark)
+
+
 HASH = "cast(('0x' || left(md5(concat_ws('|', '42', cast(p_partkey as varchar))), 13)) as bigint)"
 
 
+# A line fitted on the training rows, those that the hash of the key puts last, and all rows with its prediction.
+LINE = f"""with s as (select *, rank() over (order by {HASH}) <= ceil(round(count(*) over () * 0.2, 9)) as held from part),
+    line as (select regr_slope(p_retailprice, p_partkey) as slope, regr_intercept(p_retailprice, p_partkey) as base from s where not held),
+    p as (select p_partkey, held, p_retailprice as actual, base + slope * p_partkey as prediction from s, line)"""
+
+
+def fitted_line(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return part, models.train(part, "p_retailprice", ["p_partkey"], "regression", "linear_regression", key="p_partkey")
+
+
+@case("predict", f"{LINE} select p_partkey, actual, round(prediction, 4) as prediction from p where held")
+def _(spark, sf_dir):
+    run = fitted_line(spark, sf_dir)[1]
+    return run.predictions.selectExpr("p_partkey", "actual", "round(prediction, 4) as prediction")
+
+
 @case(
-    "predict",
-    f"""select p_partkey, p_retailprice as actual from (select *, rank() over (order by {HASH}) as r, count(*) over () as n from part)
-    where r <= ceil(round(n * 0.2, 9))""",
+    "model_line",
+    f"""{LINE}, f as (select * from p where held)
+    select 'rmse' as metric, round(sqrt(avg((actual - prediction) ** 2)), 4) as value from f
+    union all select 'mae', round(avg(abs(actual - prediction)), 4) from f
+    union all select 'r2', round(1 - sum((actual - prediction) ** 2) / (var_pop(actual) * count(*)), 4) from f
+    union all select 'train_r2', round((select 1 - sum((actual - prediction) ** 2) / (var_pop(actual) * count(*)) from p where not held), 4)""",
 )
 def _(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    run = models.train(part, "p_retailprice", ["p_partkey", "p_size"], model="linear_regression", key="p_partkey")
-    return run.predictions.select("p_partkey", "actual")
+    run = fitted_line(spark, sf_dir)[1]
+    more = small_frame(spark, [("train_r2", run.train_score)], "metric string, value double")
+    return run.metric_table(spark).unionByName(more).selectExpr("metric", "round(value, 4) as value")
 
 
-@case("model_roundtrip", "select count(*) as n, cast(0 as double) as difference from part")
+@case("model_roundtrip", f"{LINE} select p_partkey, round(prediction, 4) as prediction from p")
 def _(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    run = models.train(part, "p_retailprice", ["p_partkey", "p_size"], model="linear_regression", key="p_partkey")
+    part, run = fitted_line(spark, sf_dir)
     root = scratch_path(spark, "runs")
     again = models.load_run(root, models.save_run(run, root, spark), spark)
-    first = models.predict(run, part).select("p_partkey", "prediction")
-    second = models.predict(again, part).selectExpr("p_partkey", "prediction as stored")
-    return first.join(second, "p_partkey").selectExpr(
-        "count(*) as n", "max(abs(prediction - stored)) as difference"
-    )
+    return models.predict(again, part).selectExpr("p_partkey", "round(prediction, 4) as prediction")
 
 
 # Two label columns and a score that both engines derive from the whole orders table.

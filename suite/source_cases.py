@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from datetime import datetime, timedelta
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -14,7 +15,7 @@ from gritstone.runtime import materialize, scratch_path, share_package
 from gritstone.sources.reader import export, read_dataset, type_columns
 from gritstone.sources.versions import VersionStore
 from gritstone.sources.workbook import workbook_rows
-from suite.base import CUSTOMER_SQL, case, dirty_customer, table
+from suite.base import CUSTOMER_SQL, DIRTY_CUSTOMER_COLUMNS, case, dirty_customer, per_column_sql, table
 
 # Texts that a delimited reader takes for missing values.
 GAPS = "case when c_mktsegment in ('', 'n/a') then null else c_mktsegment end as c_mktsegment"
@@ -81,8 +82,10 @@ def _(spark, sf_dir):
 
 
 def workbook(names: list[str], rows) -> bytes:
-    """A minimal workbook with one sheet of inline texts and numbers."""
+    """A minimal workbook with one sheet of inline texts, numbers and date-times."""
     def cell(value) -> str:
+        if isinstance(value, datetime):
+            return f'<c s="1"><v>{(value - datetime(1899, 12, 30)) / timedelta(days=1)!r}</v></c>'
         if isinstance(value, str):
             return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
         return f"<c><v>{value!r}</v></c>"
@@ -94,6 +97,11 @@ def workbook(names: list[str], rows) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
         book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{lines}</sheetData></worksheet>')
+        book.writestr(
+            "xl/styles.xml",
+            f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm\\-dd&quot; at &quot;hh:mm"/></numFmts>'
+            '<cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs></styleSheet>',
+        )
         book.writestr(
             "xl/workbook.xml",
             f'<workbook xmlns="{main}" xmlns:r="{relations}"><sheets><sheet name="s" sheetId="1" r:id="r1"/></sheets></workbook>',
@@ -135,6 +143,12 @@ def _(spark, sf_dir):
     return type_columns(workbook_rows(first.unionByName(second))).select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
 
 
+@case("scan_xlsx_dates", "select o_orderkey, cast(o_orderdate as timestamp) as o_orderdate, o_totalprice, o_orderstatus from orders")
+def _(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return type_columns(workbook_rows(books(spark, orders, "o", ["o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus"])))
+
+
 def stored(spark, sf_dir):
     """A dataset with its cleaned table promoted to version 2."""
     store = VersionStore(spark, scratch_path(spark, "store"))
@@ -163,10 +177,24 @@ def _(spark, sf_dir):
     return store.read(dataset, 1)
 
 
-@case("version_list", "select unnest(['Approved cleaning run', 'Original upload']) as label, unnest([2, 1]) as version")
+@case(
+    "version_list",
+    f"""select 'Original upload' as label, cast(1 as int) as version, count(*) as row_count, cast(7 as bigint) as column_count from {CUSTOMER_SQL}
+    union all select 'Approved cleaning run', 2, count(*), 8 from (select distinct * from {CUSTOMER_SQL})""",
+)
 def _(spark, sf_dir):
     store, _ = stored(spark, sf_dir)
-    return store.list().select("label", "version")
+    return store.list().select("label", "version", "row_count", "column_count")
+
+
+@case(
+    "version_profile",
+    per_column_sql(CUSTOMER_SQL, DIRTY_CUSTOMER_COLUMNS, lambda n, k: f"count(*) - count({n}) as null_count, count(distinct {n}) as unique_count"),
+)
+def _(spark, sf_dir):
+    store = VersionStore(spark, scratch_path(spark, "store"))
+    dataset = store.create(dirty_customer(spark, sf_dir), "customer.parquet", profiled=True)
+    return store.profile(dataset, 1).select("position", "column", "null_count", "unique_count")
 
 
 @case(

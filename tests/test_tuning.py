@@ -105,3 +105,45 @@ def test_merged_moments():
     found = merged([(len(p), p.mean() if len(p) else 0.0, ((p - p.mean()) ** 2).sum()) for p in parts])
     assert found == pytest.approx((whole.mean(), whole.std(ddof=0)))
     assert merged([]) == (0.0, 0.0)
+
+
+@pytest.mark.parametrize("options", [{}, {"pca": 2}, {"hash_above": 3}, {"pca": 1, "hash_above": 3}])
+def test_names_come_from_the_vector(spark, table, options):
+    """Names equal those of a list made by hand, for numbers, categories, hashed columns and components."""
+    folded = table.withColumn(FOLD, F.lit(0)).withColumn("label", F.lit(0.0))
+    plan = prepare_views(folded, ["amount", "colour", "flag", "kind"], 0, options.get("pca"), options.get("hash_above"))[0]
+    vectors = models.Pipeline(stages=plan.stages()).fit(folded).transform(folded).select("features", "label")
+    names = models.feature_names(vectors, plan)
+    numbers = [f"pca_{i + 1}" for i in range(options["pca"])] if "pca" in options else ["amount", "flag"]
+    colours = [] if "hash_above" in options else [f"colour_{c}" for c in ("blue", "green", "red", "teal")]
+    hashed = [f"hashed_{i}" for i in range(4096)] if "hash_above" in options else []
+    assert names == [*numbers, *colours, *[f"kind_{k}" for k in "abc"], *hashed]
+    assert len(names) == vectors.first().features.size
+
+
+def test_odd_category_names(spark):
+    rows = [(i, ["a_1", "x y", "é\nü", "__num_0"][i % 4], i % 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, c string, y int")
+    run = models.train(df, "y", ["c"], "classification", params={"n_estimators": 2}, key="id")
+    assert sorted(n for n, _ in run.importances) == sorted(f"c_{v}" for v in ["a_1", "x y", "é\nü", "__num_0"])
+
+
+def test_boosting_over_many_classes(spark):
+    import time
+
+    def fitted(classes: int) -> float:
+        rows = [(i, float(i % classes) + (i % 7) / 10, str(i % classes)) for i in range(400)]
+        df = spark.createDataFrame(rows, "id long, x double, y string")
+        start = time.perf_counter()
+        run = models.train(df, "y", ["x"], "classification", "gradient_boosting", {"n_estimators": 4, "max_depth": 2}, key="id")
+        assert run.metrics["accuracy"] > 0.8
+        return time.perf_counter() - start
+
+    fitted(3)
+    assert fitted(20) < 4 * fitted(3)
+
+
+def test_categories_of_different_sizes(spark, table):
+    wide = table.selectExpr("id", "colour", "concat('k', id % 9) as other", "kind")
+    run = models.train(wide, "kind", ["colour", "other"], "classification", "logistic_regression", {"class_weight": "balanced"}, key="id", top=50)
+    assert len(run.importances) in (12, 13) and any(n.startswith("other_k") for n, _ in run.importances)
