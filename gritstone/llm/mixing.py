@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.llm import text as T
-from gritstone.runtime import materialize
+from gritstone.runtime import discard, materialize, written
 
 #: Prior count of every word, and the standard errors by which a log ratio is shrunk.
 PRIOR_COUNT = 3.0
@@ -75,9 +75,20 @@ def _key(word: Column, half: Column) -> Column:
     return F.when(word.isNotNull(), F.xxhash64(word, half))
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """Rows with a ``number`` of their own, written so that it stays."""
-    return materialize(rows.withColumn("number", F.monotonically_increasing_id()))
+def numbered(docs: DataFrame, group: Column | None = None) -> DataFrame:
+    """Rows with a ``number`` of their own, written so that it stays: ``number, group`` and the columns as ``c0, c1, ...``.
+
+    Columns are not packed in a struct, so that later joins carry only those that are used.
+    """
+    named = F.lit("") if group is None else F.coalesce(group.cast("string"), F.lit(""))
+    columns = [F.col(T.quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    return materialize(docs.select(F.monotonically_increasing_id().alias("number"), named.alias("group"), *columns))
+
+
+def _texts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``number, group, doc_id, text`` of numbered rows."""
+    place = {c.lower(): f"c{i}" for i, c in enumerate(columns)}
+    return rows.select("number", "group", F.col(place["doc_id"]).alias("doc_id"), F.col(place["text"]).alias("text"))
 
 
 class DomainClassifier:
@@ -92,17 +103,16 @@ class DomainClassifier:
         self.slopes = np.zeros(len(domains))
 
     @classmethod
-    def fit(cls, docs: DataFrame, labelled: DataFrame, domains: list[str], group: Column | None = None) -> DomainClassifier:
-        """``docs`` has ``doc_id, text``; ``labelled`` has ``doc_id, domain``."""
+    def fit(cls, texts: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[DomainClassifier, DataFrame]:
+        """The classifier and the scores of all ``texts`` (``number, group, doc_id, text``); ``labelled`` has ``doc_id, domain``."""
         known = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
         n = known.count()
         chosen = known.where(T.hash_share(F.col("doc_id"), n, LABELLED_DOCUMENTS)).select("doc_id", "domain").distinct()
-        named = F.lit("") if group is None else F.coalesce(group.cast("string"), F.lit(""))
-        marked = numbered(docs.select("doc_id", "text", named.alias("group")).join(F.broadcast(chosen), "doc_id"))
+        marked = texts.join(F.broadcast(chosen), "doc_id")
         sums = [F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n{i}") for i, d in enumerate(domains)]
         # Words count under the keys that the other half is scored by.
         split = marked.select("group", "domain", (1 - _half(F.col("doc_id"))).alias("half"), F.explode(T.words(F.col("text"))).alias("word"))
-        by_group = materialize(split.groupBy("group", "half", _key(F.col("word"), F.col("half")).alias("key")).agg(F.count("*").alias("n"), *sums))
+        by_group, path = written(split.groupBy("group", "half", _key(F.col("word"), F.col("half")).alias("key")).agg(F.count("*").alias("n"), *sums))
         totals = by_group.groupBy("group", "half").agg(
             F.sum("n").alias("t"), *[F.sum(f"n{i}").alias(f"t{i}") for i in range(len(domains))]
         )
@@ -120,12 +130,14 @@ class DomainClassifier:
         ratios = [(F.col(f"w{i}") - F.col("w0")).alias(f"r{i}") for i in range(1, len(domains))]
         some = F.greatest(*[F.abs(f"r{i}") for i in range(1, len(domains))], F.lit(0.0), F.lit(0.0)) > 0
         telling = materialize(counts.select("key", *shrunk).select("key", *ratios).where(some))
+        discard(texts.sparkSession, path)
         priors = np.ones(len(domains))
         for row in chosen.groupBy("domain").count().collect():
             priors[domains.index(row[0])] += row[1]
         found = cls(domains, np.log(priors / priors.sum()), telling)
-        found.calibrate(marked)
-        return found
+        scores = materialize(found.scored(texts))
+        found.calibrate(scores.join(marked.select("number", "domain"), "number"))
+        return found, scores
 
     def scored(self, rows: DataFrame) -> DataFrame:
         """``number``, the number of words as ``tokens`` and scores ``s1, ...`` of ``rows`` (``number, doc_id, text``)."""
@@ -146,11 +158,11 @@ class DomainClassifier:
         return out
 
     def calibrate(self, marked: DataFrame) -> None:
-        """Fit intercepts and slopes on labelled documents (``number, doc_id, text, domain``) by damped Newton steps."""
+        """Fit intercepts and slopes on scores of labelled documents (``tokens, s1, ..., domain``) by damped Newton steps."""
         k = len(self.domains) - 1
         if not k:
             return
-        table = materialize(self.scored(marked).where("tokens > 0").join(marked.select("number", "domain"), "number"))
+        table = materialize(marked.where("tokens > 0"))
         at, step, before, state = np.concatenate([self.intercepts[1:], self.slopes[1:]]), None, math.inf, None
         for _ in range(NEWTON_STEPS):
             self.intercepts[1:], self.slopes[1:] = at[:k], at[k:]
@@ -197,10 +209,9 @@ def _softmax(df: DataFrame, n: int) -> DataFrame:
     return total.select(*others, *[(F.col(c) / F.col("all")).alias(f"p{i}") for i, c in enumerate(names)])
 
 
-def posteriors(rows: DataFrame, classifier: DomainClassifier) -> DataFrame:
-    """``number, tokens, p0, p1, ...`` of ``rows`` (``number, doc_id, text``), written once."""
+def posteriors(scored: DataFrame, classifier: DomainClassifier) -> DataFrame:
+    """``number, tokens, p0, p1, ...`` from scores, written once."""
     logits = classifier.logits()
-    scored = classifier.scored(rows)
     return materialize(_softmax(scored.select("number", "tokens", *[c.alias(n) for n, c in logits.items()]), len(logits)))
 
 
@@ -260,13 +271,14 @@ def soft_mixing(
     """
     domains = list(targets)
     shares = np.array([max(0.0, targets[d]) for d in domains])
-    classifier = DomainClassifier.fit(docs, labelled, domains, group)
-    rows = numbered(T.packed(docs, doc_id=F.col("doc_id"), text=F.col("text")))
-    table = posteriors(rows, classifier)
+    rows = numbered(docs, group)
+    classifier, scores = DomainClassifier.fit(_texts(rows, docs.columns), labelled, domains)
+    table = posteriors(scores, classifier)
     if budget is None:
         budget = table.agg(F.sum("tokens")).first()[0] or 0.0
     steps = fit_steps(table, shares / max(shares.sum(), 1e-12) * budget, max_rate)
-    rated = rows.select("number", "row").join(table, "number").withColumn("rate", rate_after(steps, len(domains), max_rate))
+    whole = F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    rated = rows.join(table, "number").withColumn("row", whole).withColumn("rate", rate_after(steps, len(domains), max_rate))
     chance = F.pmod(F.xxhash64(F.lit("copies"), F.col("row.doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     named = F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.col(f"p{i}"))])
     return rated.select(

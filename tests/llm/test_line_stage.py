@@ -27,5 +27,4 @@ def test_the_stage_takes_effect_on_the_given_tables(spark):
     out = pipeline.drop_boilerplate_lines(spark, docs, sf)
     changed = out.join(docs.selectExpr("doc_id", "n_chars as n"), "doc_id").where("n_chars < n")
     row = changed.selectExpr("count(*) as docs", "sum(n - n_chars) as chars", "sum(cast(n_chars = 0 as int)) as emptied").first()
-    print(row, before)
     assert row.docs > 500 and row.chars < 0.05 * before and row.emptied == 0

@@ -3,7 +3,7 @@
 import math
 
 import corpus_pipeline as pipeline
-from gritstone.llm.mixing import DomainClassifier, label_domains, soft_mixing
+from gritstone.llm.mixing import DomainClassifier, _texts, label_domains, numbered, soft_mixing
 from gritstone.runtime import materialize
 
 SF = "/root/testdata/sf0.1"
@@ -31,7 +31,8 @@ def test_a_group_is_no_sign_of_a_domain(spark, prose):
         rows.append((i, " ".join(words), lang, "toxic" if bad else "clean"))
     docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, domain string")
-    found = DomainClassifier.fit(docs, labels, ["clean", "toxic"], group=docs.lang)
+    found, scores = DomainClassifier.fit(_texts(numbered(docs, docs.lang), docs.columns), labels, ["clean", "toxic"])
+    assert scores.count() == 200
     assert 0 < found.words <= 400
     mixed = soft_mixing(docs, labels, {"clean": 1.0, "toxic": 1.0}, group=docs.lang).select("row.doc_id", "posteriors")
     truth = {r[0]: r[3] for r in rows}
