@@ -40,7 +40,7 @@ from gritstone.runtime import batch_rows, materialize, share_package
 
 PIECES = "piece_bpe_32k.model"
 #: Windows remembered at once (some 220 bytes each), and the ids of the longest that is.
-KEPT_WINDOWS = 300_000
+KEPT_WINDOWS = 100_000
 KEPT_TOKENS = 32
 #: Pairs that every task holds for the lookup (17 bytes each).
 COMMON_PAIRS = 1_000_000
@@ -117,9 +117,11 @@ class Aligner:
         self.bytes_a, self.bytes_b = self.a.spelled(), self.b.spelled()
         self.length_a, self.length_b = (np.array([len(t) for t in side], np.int64) for side in (self.bytes_a, self.bytes_b))
         self.marked_a, self.marked_b = (np.array([t[:1] == b" " for t in side]) for side in (self.bytes_a, self.bytes_b))
-        # Each id as text with what follows it: a comma within a group; then a bar after A's ids, a semicolon after B's.
-        marks = [(len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")]
-        self.texts = [f"{i}{mark}" for size, pair in marks for i in range(size) for mark in pair]
+        # The digits of every id, filled up with zero bytes that leave room for a mark.
+        names = [str(i).encode() for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        width = len(names[-1]) + 1
+        self.digits = np.frombuffer(b"".join(n.ljust(width, b"\0") for n in names), np.uint8).reshape(-1, width)
+        self.n_digits = np.array([len(n) for n in names], np.int64)
         self.windows: dict[bytes, bytes] = {}
         self.asked = self.missed = 0
 
@@ -192,14 +194,16 @@ class Aligner:
         groups = self.groups(a, b)
         ends = np.cumsum(groups, axis=0, dtype=np.int64)
         last_a, last_b = ends[:, 0] - 1, ends[:, 1] - 1
-        # A's ids of a group stand before B's.
-        coded_a, coded_b = 2 * a.astype(np.int64), 2 * (b.astype(np.int64) + len(self.bytes_a))
-        coded_a[last_a] += 1
-        coded_b[last_b] += 1
-        order = np.empty(len(a) + len(b), np.int64)
-        order[np.arange(len(a)) + np.repeat(ends[:, 1] - groups[:, 1], groups[:, 0])] = coded_a
-        order[np.arange(len(b)) + np.repeat(ends[:, 0], groups[:, 1])] = coded_b
-        written = "".join(map(self.texts.__getitem__, order.tolist()))[:-1]
+        # A's ids of a group stand before B's; commas follow them, a bar A's last and a semicolon B's last.
+        at_a = np.arange(len(a)) + np.repeat(ends[:, 1] - groups[:, 1], groups[:, 0])
+        at_b = np.arange(len(b)) + np.repeat(ends[:, 0], groups[:, 1])
+        ids = np.empty(len(a) + len(b), np.int64)
+        ids[at_a], ids[at_b] = a, b
+        marks = np.full(len(ids), ord(","), np.uint8)
+        marks[at_a[last_a]], marks[at_b[last_b]] = ord("|"), ord(";")
+        shown = self.digits[ids]
+        shown[np.arange(len(ids)), self.n_digits[ids]] = marks
+        written = shown[shown != 0].tobytes()[:-1].decode("ascii")
         return len(a), len(b), written, a[last_a].astype("<i8") << B_BITS | b[last_b]
 
 
