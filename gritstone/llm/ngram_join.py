@@ -31,7 +31,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from gritstone.llm.bytehash import mix, shingles
 from gritstone.llm.components import components
@@ -47,9 +46,11 @@ BLOOM_BITS = 25
 REMEMBERED = 200_000
 LIST_ROWS = 200_000
 STAR_ROUNDS = 3
-#: Rows that workers get at once where a row holds a text, or two whole sets.
+#: Rows that workers get at once where a row holds a text or a whole set.
 BATCH_TEXTS = 1_000
-BATCH_PAIRS = 300
+#: Ends of pairs up to which they are broadcast to the sets (32 bytes each), and those compared in one task.
+BROADCAST_ENDS = 1_000_000
+PART_ENDS = 4_000
 U64 = np.uint64
 
 
@@ -279,12 +280,16 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return table
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``cls, tokens`` of the wanted classes (``cls, doc_id``); a Bloom filter spares most other texts the join."""
-    table = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
+def _sets(docs: DataFrame, needed: DataFrame, n_needed: int, width: int) -> DataFrame:
+    """``a, b, cls, tokens`` for both ends of every pair in ``needed`` (``cls, doc_id, a, b``).
+
+    A Bloom filter spares most other texts the work. Few pairs are broadcast to the sets, so that a set is sent only
+    where it is compared; several rows of one id and text may send it twice.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(_bloom(needed))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = table.value
+        bits, seen = table.value, set()
         for batch in batches:
             hit = np.ones(batch.num_rows, bool)
             for name in ("h0", "h1"):
@@ -293,46 +298,55 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             at = np.flatnonzero(hit)
             for s in range(0, len(at), 200):
                 part = batch.take(pa.array(at[s : s + 200]))
-                sets = [shingles(t.as_py(), width) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([_digest(x) if len(x) else None for x in sets], pa.int64()),
-                        pa.array([x.tobytes() for x in sets], pa.binary()),
-                    ],
-                    ["doc_id", "cls", "tokens"],
-                )
+                rows = []
+                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    tokens = shingles(text, width)
+                    cls = _digest(tokens) if len(tokens) else None
+                    if cls is None or (doc, cls) in seen:
+                        continue
+                    if len(seen) < REMEMBERED:
+                        seen.add((doc, cls))
+                    rows.append((doc, cls, tokens.tobytes()))
+                columns = list(zip(*rows, strict=True)) or [(), (), ()]
+                kinds = (pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "cls", "tokens"])
 
     spots = [F.shiftrightunsigned(F.xxhash64(F.lit(i), "doc_id"), 64 - BLOOM_BITS).alias(f"h{i}") for i in (0, 1)]
     found = docs.select("doc_id", "text", *spots).mapInArrow(compute, "doc_id long, cls long, tokens binary")
     # Several rows may carry one id; the digest tells which of them the class is.
-    named = wanted.select(F.col("cls").alias("wanted_cls"), F.col("doc_id").alias("wanted_id"))
+    named = needed.select(F.col("cls").alias("wanted_cls"), F.col("doc_id").alias("wanted_id"), "a", "b")
     same = (F.col("cls") == F.col("wanted_cls")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
-    return found.join(named, same).dropDuplicates(["cls"]).select("cls", "tokens")
+    return found.join(F.broadcast(named) if n_needed <= BROADCAST_ENDS else named, same).select("a", "b", "cls", "tokens")
 
 
-@F.pandas_udf(BooleanType())
-def _similar(a: pd.Series, b: pd.Series, percent: pd.Series) -> pd.Series:
-    out = []
-    for x, y, p in zip(a, b, percent, strict=True):
-        x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(100 * common >= int(p) * (len(x) + len(y) - common))
-    return pd.Series(out, dtype=bool)
+def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The similar pairs of a stream of ``a, b, cls, tokens`` sorted by pair and class; two sets are held at a time."""
+    pair, first, done = None, None, False
+    for batch in batches:
+        out = []
+        for a, b, cls, tokens in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (a, b) != pair:
+                pair, first, done = (a, b), (cls, np.frombuffer(tokens, U64)), False
+            elif not done and cls != first[0]:
+                x, y = first[1], np.frombuffer(tokens, U64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                done = True
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    out.append(pair)
+        columns = list(zip(*out, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (``a, b``) whose whole sets reach the similarity."""
     pairs, pairs_path = written(pairs.select("a", "b"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = materialize(classes.join(ends, "cls").select("cls", "doc_id"))
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("cls"))
+    needed, needed_path = written(ends.join(classes, "cls").select("cls", "doc_id", "a", "b"))
+    n = needed.count()
     with batch_rows(docs.sparkSession, BATCH_TEXTS):
-        sets, sets_path = written(_sets(docs, wanted, width))
-    with_a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a")
-    with_both = with_a.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
-    with batch_rows(docs.sparkSession, BATCH_PAIRS):
-        found = materialize(with_both.where(_similar("ta", "tb", F.lit(percent))).select("a", "b"))
-    discard(docs.sparkSession, pairs_path, sets_path)
+        sets = _sets(docs, needed, n, width).repartition(n // PART_ENDS + 1, "a", "b").sortWithinPartitions("a", "b", "cls")
+        found = materialize(sets.mapInArrow(lambda batches: _compared(batches, percent), "a long, b long"))
+    discard(docs.sparkSession, pairs_path, needed_path)
     return found
 
 
