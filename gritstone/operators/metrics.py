@@ -12,6 +12,7 @@ from gritstone.runtime import small_frame
 # Score and overfit limits of the model review, per task.
 REVIEW_LIMITS = {"classification": (0.92, 0.12), "regression": (0.85, 0.15)}
 OVERFIT_ALLOWANCE = 0.12
+MAX_CLASSES = 1_000
 
 
 def label_pairs(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -76,10 +77,15 @@ def metrics_from_predictions(
     return regression_metrics(df, actual, predicted)
 
 
-def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """Rows ``actual``, one ``pred_<label>`` column per actual label, sorted, zero filled."""
+def confusion_matrix(df: DataFrame, actual: str, predicted: str, max_classes: int = MAX_CLASSES) -> DataFrame:
+    """Rows ``actual``, one ``pred_<label>`` column per actual label, sorted, zero filled.
+
+    More than ``max_classes`` labels are refused, as each is a column; ``label_pairs`` holds the counts in long form.
+    """
     pairs = label_pairs(df, actual, predicted)
-    labels = [r["actual"] for r in pairs.select("actual").distinct().orderBy("actual").collect()]
+    labels = [r["actual"] for r in pairs.select("actual").distinct().orderBy("actual").limit(max_classes + 1).collect()]
+    if len(labels) > max_classes:
+        raise ValueError(f"There are more than max_classes = {max_classes} labels.")
     wide = pairs.groupBy("actual").pivot("predicted", labels).sum("n")
     cells = [f"coalesce({quote(v)}, 0) as {quote(f'pred_{v}')}" for v in labels]
     return wide.selectExpr("actual", *cells).orderBy("actual")

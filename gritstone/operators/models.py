@@ -25,6 +25,7 @@ from gritstone.operators import features as feature_ops
 from gritstone.operators import frequency
 from gritstone.operators.filters import filter_expression
 from gritstone.operators.metrics import (
+    MAX_CLASSES,
     REVIEW_LIMITS,
     area_under_curve,
     metrics_from_predictions,
@@ -40,7 +41,6 @@ from gritstone.runtime import small_frame
 MIN_ROWS = 5
 # Depth that stands for "unlimited"; trees double in size with every level.
 DEFAULT_DEPTH = 12
-MAX_CLASSES = 1_000
 # One-vs-rest fits that run side by side.
 CLASSES_AT_ONCE = 16
 
