@@ -140,7 +140,8 @@ def test_boosting_over_many_classes(spark):
         return time.perf_counter() - start
 
     fitted(3)
-    assert fitted(20) < 4 * fitted(3)
+    # Side by side, so less than in proportion.
+    assert fitted(20) < 5.5 * fitted(3)
 
 
 def test_categories_of_different_sizes(spark, table):
