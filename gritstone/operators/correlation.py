@@ -20,6 +20,10 @@ MATRIX_SCHEMA = "x_position int, y_position int, x string, y string, value doubl
 NOISE = 1e-20
 # A value that fills one in so many rows is looked up in a small table instead of being shuffled.
 HOT_SHARE = 1_000
+# Values, of all rankings together, whose ranks every task holds to look them up; rankings of few values come first.
+KNOWN_VALUES = 500_000
+# Rankings up to which the ranks of a row are gathered in a column each, not in a list.
+GATHERED_COLUMNS = 64
 
 
 def pair_moments(flat: DataFrame, names: list[str]) -> dict[tuple[int, int], tuple]:
@@ -88,44 +92,101 @@ def _masks(n: np.ndarray) -> dict[tuple[int, int], int]:
     return {(i, j): numbers.setdefault((i, i if n[i, j] == n[i, i] else alike[j]), len(numbers)) for i in range(size) for j in range(size)}
 
 
+def _filled_pairs(rows: DataFrame, size: int) -> np.ndarray:
+    """Rows that both columns of a pair fill; only pairs of columns with gaps need products."""
+    total, *counts = rows.agg(F.count(F.lit(1)), *[F.count(f"v{i}") for i in range(size)]).first()
+    n = np.minimum.outer(counts, counts).astype(np.float64)
+    gaps = [i for i in range(size) if counts[i] < total]
+    if len(gaps) > 1:
+        n[np.ix_(gaps, gaps)] = gramian(rows.select(*[f"v{i}" for i in gaps]), len(gaps)).n
+    return n
+
+
+def _gathered(rows: DataFrame, placed: DataFrame, many: list[int]) -> DataFrame:
+    """The rows with the ranks (``id, cell, rank``) that were joined: ``r<cell>`` for each ranking, or lists of ``cells`` and ``ranks``."""
+    names = [c for c in rows.columns if c != "id"]
+    if len(many) > GATHERED_COLUMNS:
+        lists = placed.groupBy("id").agg(F.collect_list("cell").alias("cells"), F.collect_list("rank").alias("ranks"))
+        joined = rows.join(lists, "id", "left")
+        return joined.select(*names, F.coalesce("cells", F.array().cast("array<int>")).alias("cells"), F.coalesce("ranks", F.array().cast("array<double>")).alias("ranks"))
+    columns = [F.when(F.col("cell") == c, F.col("rank")).alias(f"r{c}") for c in many]
+    both = rows.unionByName(placed.select("id", *columns), allowMissingColumns=True)
+    # Sent by row first, so that nothing is grouped before the shuffle, where a row's cells are apart.
+    return both.repartition("id").groupBy("id").agg(*[F.max(c).alias(c) for c in both.columns if c != "id"]).drop("id")
+
+
 def _spearman(flat: DataFrame, names: list[str]) -> dict[tuple[int, int], float | None]:
     """Pearson correlation of average ranks over the rows that both columns of a pair fill.
 
-    All rankings are made in one long table of cells: it is counted by value, ranked by range, joined once with its
-    ranks and gathered by row again. Jobs do not grow with the columns or their pairs.
+    All rankings are made in one long table of cells, which is counted by value and ranked by range. Tasks look up
+    the ranks of rankings with few values, and of hot values, where they read the rows; only the other cells are
+    joined with their ranks and gathered by row again. Jobs do not grow with the columns or their pairs.
     """
     size = len(names)
     numbered = flat.select(F.monotonically_increasing_id().alias("id"), *[F.expr(f"cast({quote(n)} as double)").alias(f"v{i}") for i, n in enumerate(names)])
     rows = materialize(numbered)
     values: dict[tuple[int, int], float | None] = {(i, j): None for i in range(size) for j in range(i, size)}
-    n = gramian(rows.drop("id"), size).n
+    n = _filled_pairs(rows, size)
     masks = _masks(n)
     cells = {cell: pair for pair, cell in reversed(masks.items())}
-    made = [
-        F.when(F.col(f"v{j}").isNotNull(), F.struct(F.lit(cell).alias("cell"), F.col(f"v{i}").alias("value")))
+    made = {
+        cell: F.when(F.col(f"v{j}").isNotNull(), F.struct(F.lit(cell).alias("cell"), F.col(f"v{i}").alias("value")))
         for cell, (i, j) in sorted(cells.items())
-    ]
-    long = rows.select("id", F.explode(F.array(*made)).alias("c")).where("c.value is not null").select("id", "c.cell", "c.value")
-    counted = long.groupBy("cell", "value").agg(F.count("*").alias("n"))
+    }
+
+    def cells_of(chosen: list[int]) -> DataFrame:
+        exploded = rows.select("id", F.explode(F.array(*[made[c] for c in chosen])).alias("c"))
+        return exploded.where("c.value is not null").select("id", "c.cell", "c.value")
+
+    counted = cells_of(list(made)).groupBy("cell", "value").agg(F.count("*").alias("n"))
     ranks = materialize(average_ranks(counted, "cell"))
-    # At most HOT_SHARE values of a ranking are hot, so this table is small; the others are shuffled evenly.
+    few, held = [], 0
+    distinct = {r.cell: r["count"] for r in ranks.groupBy("cell").count().collect()}
+    for cell in sorted(distinct, key=distinct.get):
+        held += distinct[cell]
+        if held > KNOWN_VALUES:
+            break
+        few.append(cell)
+    many = sorted(distinct.keys() - few)
+    # At most HOT_SHARE values of a ranking are hot; the others are shuffled evenly.
     total = {cell: int(n[i, j]) for cell, (i, j) in cells.items()}
     of_cell = F.element_at(F.array(*[F.lit(total[c]) for c in range(len(cells))]), F.col("cell") + 1)
-    hot = ranks.where(F.col("n") * HOT_SHARE >= of_cell).select("cell", "value", F.col("rank").alias("hot_rank"))
-    looked = long.join(F.broadcast(hot), ["cell", "value"], "left")
-    cold = looked.where("hot_rank is null").select("id", "cell", "value").join(ranks.select("cell", "value", "rank"), ["cell", "value"])
-    placed = looked.where("hot_rank is not null").select("id", "cell", F.col("hot_rank").alias("rank")).unionByName(cold.select("id", "cell", "rank"))
-    gathered = placed.groupBy("id").agg(F.collect_list("cell").alias("cells"), F.collect_list("rank").alias("ranks"))
+    hot = ranks.where(F.col("cell").isin(many) & (F.col("n") * HOT_SHARE >= of_cell))
+    known = ranks.where(F.col("cell").isin(few)).unionByName(hot).select("cell", "value", "rank").toArrow()
+    of_known = {name: known.column(name).to_numpy() for name in known.column_names}
+    order = np.lexsort((of_known["value"], of_known["cell"]))
+    of_known = {name: column[order] for name, column in of_known.items()}
+    tables = {}
+    for cell in distinct:
+        own = slice(*np.searchsorted(of_known["cell"], [cell, cell + 1]))
+        tables[cell] = (of_known["value"][own], of_known["rank"][own])
+    base = rows.drop("id")
+    if many:
+        cold = cells_of(many).join(F.broadcast(hot.select("cell", "value")), ["cell", "value"], "left_anti")
+        placed = cold.join(ranks.where(F.col("cell").isin(many)).select("cell", "value", "rank"), ["cell", "value"])
+        base = _gathered(rows, placed, many)
     width = len(cells)
 
     def dense(batch: pa.RecordBatch) -> np.ndarray:
         out = np.full((batch.num_rows, width), np.nan)
-        lists = batch.column(0)
-        row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-        out[row, lists.flatten().to_numpy()] = batch.column(1).flatten().to_numpy()
+        columns = [batch.column(f"v{i}").to_numpy(zero_copy_only=False).astype(np.float64) for i in range(size)]
+        for cell, (values_of, ranks_of) in tables.items():
+            if len(values_of):
+                i, j = cells[cell]
+                at = np.minimum(np.searchsorted(values_of, columns[i]), len(values_of) - 1)
+                hit = (values_of[at] == columns[i]) & ~np.isnan(columns[j])
+                out[hit, cell] = ranks_of[at[hit]]
+        if many and "cells" in batch.schema.names:
+            lists = batch.column("cells")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            out[row, lists.flatten().to_numpy()] = batch.column("ranks").flatten().to_numpy()
+        elif many:
+            for cell in many:
+                rank = batch.column(f"r{cell}").to_numpy(zero_copy_only=False).astype(np.float64)
+                out[:, cell] = np.where(np.isnan(rank), out[:, cell], rank)
         return out
 
-    sums = gramian(gathered.select("cells", "ranks"), width, dense)
+    sums = gramian(base, width, dense)
     for i in range(size):
         for j in range(i, size):
             a, b = masks[i, j], masks[j, i]

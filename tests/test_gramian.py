@@ -98,3 +98,29 @@ def test_parts_add_up_in_any_order():
     for sums in (forward.centred(), backward.centred()):
         covariance = sums.product / sums.n - sums.first / sums.n * (sums.first / sums.n).T
         assert covariance == pytest.approx((plain.cov() * (1 - 1 / sums.n)).to_numpy(), rel=1e-6)
+
+
+@pytest.mark.parametrize("known", [0, 60, 500_000])
+@pytest.mark.parametrize("gathered", [0, 64])
+def test_ranks_looked_up_or_joined(spark, holes, monkeypatch, known, gathered):
+    """Rankings of few values are looked up in tasks, others joined: in a column each, or in lists."""
+    from gritstone.operators import correlation as corr
+
+    monkeypatch.setattr(corr, "KNOWN_VALUES", known)
+    monkeypatch.setattr(corr, "GATHERED_COLUMNS", gathered)
+    monkeypatch.setattr(corr, "HOT_SHARE", 10)
+    found, plain = matrix(correlation(frame(spark, holes), "spearman")), holes.corr("spearman")
+    for x in holes:
+        for y in holes:
+            wanted = np.nan if "c5" in (x, y) else plain.loc[x, y]
+            assert (found[x, y] is None) == bool(np.isnan(wanted)), (x, y)
+            assert found[x, y] is None or found[x, y] == pytest.approx(wanted, abs=6e-5), (x, y)
+
+
+def test_few_values_are_not_sent_by_row(spark, holes, monkeypatch):
+    from gritstone.operators import correlation as corr
+
+    plans, plain = [], corr.gramian
+    monkeypatch.setattr(corr, "gramian", lambda base, *rest: plans.append(base._jdf.queryExecution().optimizedPlan().toString()) or plain(base, *rest))
+    correlation(frame(spark, holes), "spearman")
+    assert plans and not any("Join" in p or "Aggregate" in p for p in plans)
