@@ -118,11 +118,12 @@ def books(spark, df, name: str, columns: list[str]):
     share_package(spark)
 
     def pack(batches):
-        for i, batch in enumerate(batches):
+        for i, batch in enumerate(b for b in batches if len(b)):
             rows = batch[columns].astype(object).where(batch[columns].notna(), "").values.tolist()
             yield pd.DataFrame({"path": [f"{name}-{rows[0][0]}-{i}"], "content": [workbook(columns, rows)]})
 
-    return materialize(df.repartition(2, df.columns[0]).mapInPandas(pack, "path string, content binary"))
+    tasks = max(2, spark.sparkContext.defaultParallelism)
+    return materialize(df.repartition(tasks, df.columns[0]).mapInPandas(pack, "path string, content binary"))
 
 
 @case("scan_xlsx", "select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, c_acctbal, c_mktsegment from customer")

@@ -64,3 +64,10 @@ def test_each_file_is_read_once(spark, tmp_path):
     found = book.read_workbook(spark, str(tmp_path))
     assert "binaryFile" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["id"] for r in found.collect()) == ["0", "1", "2"]
+
+
+def test_files_of_one_partition_are_dealt_out(spark):
+    files = spark.createDataFrame([(f"{i}", workbook(["id"], [[i]])) for i in range(12)], "path string, content binary").coalesce(1)
+    rows = book._stream(files)
+    assert len(rows.inputFiles()) > 4
+    assert sorted(r.cells[0] for r in rows.where("place = 1").collect()) == sorted(map(str, range(12)))
