@@ -52,7 +52,7 @@ def native(r) -> tuple:
     return (-r.n, r.real is not None, r.real or 0.0, r.whole is not None, r.whole or 0)
 
 
-def _cells(df: DataFrame, columns: dict[int, str]) -> DataFrame:
+def long_cells(df: DataFrame, columns: dict[int, str]) -> DataFrame:
     """(position, cell, value) of the long texts of some columns, ``value`` being their key."""
     wide = df.selectExpr(*[f"cast({quote(n)} as string) as `{p}`" for p, n in columns.items()])
     cells = wide.unpivot([], wide.columns, "position", "cell").where(f"length(cell) > {SHOWN}")
@@ -65,14 +65,14 @@ def fetch_texts(df: DataFrame, wanted: dict[int, set[str]], columns: dict[int, s
     if not keys:
         return {}
     listed = small_frame(df.sparkSession, keys, "position int, value string")
-    found = _cells(df, {p: columns[p] for p in wanted}).join(F.broadcast(listed), ["position", "value"])
+    found = long_cells(df, {p: columns[p] for p in wanted}).join(F.broadcast(listed), ["position", "value"])
     texts = found.groupBy("position", "value").agg(F.first("cell").alias("text"))
     return {(r.position, r.value): r.text for r in texts.collect()}
 
 
 def _ascending(df: DataFrame, freq: DataFrame, position: int, column: str, shown: str, n: int, need: int) -> list[str]:
     """The smallest ``need`` texts of a beginning that occur ``n`` times, in portions of growing size."""
-    texts = _cells(df, {position: column}).where(F.col("cell").substr(1, SHOWN) == F.lit(shown)).select("cell")
+    texts = long_cells(df, {position: column}).where(F.col("cell").substr(1, SHOWN) == F.lit(shown)).select("cell")
     hits: list[str] = []
     bound, size = None, PORTION
     while True:

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gritstone.functions.values import is_email, is_real, is_text, quote, text_literal
+from gritstone.functions.values import is_email, is_real, is_text, numeric, parse_date, quote, strip, text_literal
 from gritstone.operators import distribution, frequency, rows, stats
 from gritstone.operators.correlation import correlation
-from gritstone.operators.long_text import pick
+from gritstone.operators.long_text import long_cells, pick
 from gritstone.operators.normalize import normalize, numeric_columns, text_columns, types_of
 from gritstone.operators.per_column import per_column
 from gritstone.runtime import materialize, small_frame
@@ -255,8 +255,44 @@ def list_problems(summary: dict, columns: list[dict], limit: int | None = None)
     return found[:limit]
 
 
-def _value_facts(flat: DataFrame) -> dict[str, dict]:
-    """Distinct count, mode, top and rare values per column from one frequency table, written once."""
+def _text_facts(flat: DataFrame, freq: DataFrame) -> dict[str, dict]:
+    """What plain aggregation tells about text columns, read from their distinct values instead of every cell.
+
+    Long texts stand in the frequency table as keys; their cells are read one by one.
+    """
+    types = types_of(flat)
+    places = {i: n for i, n in enumerate(flat.columns) if is_text(types[n])}
+    facts = {
+        n: {"position": i, "column": n, "filled": 0, "n": 0, "low_text": None, "high_text": None, "low": None, "high": None,
+            "date_count": 0, "email_count": 0, **{k: None for k in stats.MOMENTS if k != "numeric_count"}}
+        for i, n in places.items()
+    }
+    if not places:
+        return facts
+    texts = freq.where(F.col("position").isin(list(places)))
+    cells = texts.where("not hashed").select("position", "value", "n")
+    if not texts.where("hashed").isEmpty():
+        cells = cells.unionByName(long_cells(flat, places).selectExpr("position", "cell as value", "1L as n"))
+    read = cells.selectExpr("*", f"{strip('value')} as text")
+    read = read.selectExpr(
+        "position", "value", "n", f"{numeric('text', T.StringType(), stripped=True)} as number",
+        f"{parse_date('text', stripped=True)} is not null as is_date", f"{is_email('text', stripped=True)} as is_email",
+    )
+    found = read.groupBy("position").agg(
+        F.sum("n").alias("filled"), F.expr("sum(if(number is null, 0, n))").alias("n"),
+        F.min("value").alias("low_text"), F.max("value").alias("high_text"), F.min("number").alias("low"), F.max("number").alias("high"),
+        F.expr("sum(if(is_date, n, 0))").alias("date_count"), F.expr("sum(if(is_email, n, 0))").alias("email_count"),
+    )
+    for r in found.collect():
+        facts[places[r.position]].update(r.asDict())
+    numbers = [n for n in facts if facts[n]["n"]]
+    for r in stats.moment_rows(flat, numbers).collect() if numbers else ():
+        facts[r.column].update({k: r[k] for k in stats.MOMENTS if k != "numeric_count"})
+    return facts
+
+
+def _value_facts(flat: DataFrame) -> tuple[dict[str, dict], dict[str, dict]]:
+    """Distinct count, mode, top and rare values per column from one frequency table, written once; and facts of texts."""
     freq = materialize(frequency.frequency_table(flat))
     facts = {n: {"distinct": 0, "mode": None, "top": [], "rare": []} for n in flat.columns}
     for r in freq.groupBy("column").count().collect():
@@ -268,19 +304,20 @@ def _value_facts(flat: DataFrame) -> dict[str, dict]:
         facts[column]["top"].append({"value": value, "count": n})
     for _, column, _, value, _ in found["rare"]:
         facts[column]["rare"].append(value)
-    return facts
+    return facts, _text_facts(flat, freq)
 
 
 def _first_pass(flat: DataFrame) -> dict[str, dict]:
-    """Everything plain aggregation can tell about each column."""
+    """Everything plain aggregation can tell about each column that is not text."""
     types = types_of(flat)
-    measured = set(stats.measurable(flat))
-    base = stats.readings(flat, [n for n in flat.columns if n in measured])
-
-    texts = [n for n in flat.columns if is_text(types[n])]
+    names = [n for n in flat.columns if not is_text(types[n])]
+    if not names:
+        return {}
+    measured = set(stats.measurable(flat)) & set(names)
+    base = stats.readings(flat, [n for n in names if n in measured])
 
     def bound(pick: str):
-        return lambda n: "cast(null as string)" if n in texts else f"cast({pick}({quote(n)}) as string)"
+        return lambda n: f"cast({pick}({quote(n)}) as string)"
 
     def number(build):
         return lambda n: build(stats.number_of(flat, n)) if n in measured else "cast(null as double)"
@@ -294,19 +331,11 @@ def _first_pass(flat: DataFrame) -> dict[str, dict]:
         "high_text": bound("max"),
         "low": number(lambda v: f"min({v})"),
         "high": number(lambda v: f"max({v})"),
-        **stats.match_fields(flat),
+        "date_count": lambda n: "count(null)",
+        "email_count": lambda n: "count(null)",
         **{k: number(b) for k, b in moments.items()},
     }
-    # Reading texts is bulky code; typed columns stay in passes of their own.
-    groups = [[n for n in flat.columns if n not in texts], texts]
-    parts = [per_column(base, g, fields, flat.columns, width=3) for g in groups if g]
-    found = {r.column: r.asDict() for r in reduce(DataFrame.unionByName, parts).collect()}
-    if texts:
-        # Text bounds keep an aggregation out of generated code, so they get their own.
-        ends = {k: (lambda n, k=k: f"{k}({quote(n)})") for k in ("min", "max")}
-        for r in per_column(flat, texts, ends).collect():
-            found[r.column].update(low_text=r["min"], high_text=r["max"])
-    return found
+    return {r.column: r.asDict() for r in per_column(base, names, fields, flat.columns, width=3).collect()}
 
 
 def profile(df: DataFrame) -> Profile:
@@ -317,7 +346,10 @@ def profile(df: DataFrame) -> Profile:
     # The three parts share nothing, so their jobs run side by side.
     with ThreadPoolExecutor(3) as pool:
         parts = [pool.submit(part, flat) for part in (_first_pass, _value_facts, dataset_summary)]
-        first, facts, summary = [part.result() for part in parts]
+        first, (facts, texts), summary = [part.result() for part in parts]
+    for found in texts.values():
+        found.update(row_count=summary["row_count"], null_count=summary["row_count"] - found["filled"])
+    first = {n: (texts if n in texts else first)[n] for n in flat.columns}
     counts = {n: first[n]["n"] for n in flat.columns if first[n]["n"]}
     quartiles = stats.quartile_values(flat, list(counts), counts)
     outliers = {}

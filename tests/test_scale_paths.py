@@ -97,3 +97,33 @@ def test_split_reports_the_rows_it_holds(spark, copies, target):
     equal = df.select("k", "y")
     split = train_test_split(equal, None, target)
     assert split.test.count() == split.rows_test and split.train.count() == 1000 - split.rows_test
+
+
+def test_profile_reads_texts_by_distinct_value(spark):
+    from gritstone.operators import profile
+
+    long_mail = "x" * 70 + "@example.org"
+    texts = ["a", "12", " 7.5 ", "2024-05-17", "ann@b.org", None, long_mail, "y" * 80 + " no mail", "1" + "0" * 70]
+    df = spark.createDataFrame([(i, texts[i % 9], None, float(i % 4)) for i in range(90)], "id long, t string, e string, v double")
+    freq = frequency_table(df)
+    found = profile._text_facts(df, freq)
+    t = found["t"]
+    assert (t["filled"], t["n"], t["date_count"], t["email_count"]) == (80, 30, 10, 20)
+    assert (t["low_text"], t["high_text"], t["low"], t["high"]) == (" 7.5 ", "y" * 80 + " no mail", 7.5, 1e70)
+    assert found["e"]["filled"] == 0 and found["e"]["mean"] is None and t["mean"] is not None
+    columns = {c["column"]: c for c in profile.profile(df).columns}
+    assert columns["t"]["null_count"] == 10 and columns["e"]["null_percentage"] == 100.0 and columns["v"]["mean"] == pytest.approx(1.4778, abs=0.1)
+    only = profile.profile(df.select("t")).columns
+    assert [c["null_count"] for c in only] == [10]
+
+
+def test_fingerprint_adds_whole_numbers(spark):
+    from gritstone.operators.rows import fingerprint
+
+    df = spark.range(300).selectExpr("id", "if(id % 9 = 0, null, concat('t', id)) as t")
+    plan = fingerprint(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(cast(conv" not in plan and "shiftright" in plan
+    import hashlib
+
+    lines = ["\x1f".join((str(i), "\0" if i % 9 == 0 else f"t{i}")) for i in range(300)]
+    assert fingerprint(df).first()[0] == f"300-{sum(int(hashlib.md5(x.encode()).hexdigest()[:12], 16) for x in lines)}"
