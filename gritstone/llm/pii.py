@@ -10,12 +10,12 @@ probable stays.
 No table holds labels for personal data, so the trees learn from the base spans of the
 corpus: as they are, respelled, and with invented data in their place they are
 positive; failing candidates of the corpus and things of like form put in their place
-(broken check digits, dates, parts above 255) are negative. The sample is bounded: the ``sample`` smallest content hashes of each
-kind and label. A fifth of it is held out, and each kind gets the lowest threshold that
+(broken check digits, dates, parts above 255) are negative. All spans of the corpus are used, those of equal content and surroundings
+once. A fifth of them is held out, and each kind gets the lowest threshold that
 reaches the wanted precision there; a kind that never reaches it adds nothing.
 
-Texts are scanned whole, where they are read, twice: for the sample and for the result.
-Nothing is shuffled but the sample.
+Texts are scanned whole, where they are read, twice: for the spans and for the result.
+Only spans, their examples' scores and what fitting trees needs are shuffled.
 
 Offsets are code points. Null text is an empty one, without spans. Repeated documents
 are rows of their own with the same spans. Where the corpus holds no base span (or no
@@ -37,8 +37,8 @@ from gritstone.llm.boosted_trees import Trees, fit_trees
 from gritstone.llm.pii_candidates import CONTEXT, KINDS, Span, digest, features, scan, views, written
 from gritstone.runtime import batch_rows, materialize, share_package
 
-#: Spans of each kind and label that the trees learn from, at most; a task passes on no more.
-SAMPLE = 500
+#: Spans that one task spells out and fits, about.
+SPANS_AT_ONCE = 5_000
 PRECISION = 0.995
 SCORED_AT_ONCE = 10_000
 BATCH = 512
@@ -48,12 +48,12 @@ def _around(text: str, start: int, end: int) -> tuple[str, str, str]:
     return text[max(0, start - CONTEXT) : start], text[start:end], text[end : end + CONTEXT]
 
 
-def _sampled(docs: DataFrame, sample: int) -> DataFrame:
-    """At most ``sample`` base spans and other candidates of each kind with their surroundings."""
+def _spans(docs: DataFrame) -> DataFrame:
+    """All base spans and other candidates of the corpus with their surroundings, equal ones once."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bool], dict[int, tuple]] = {(k, b): {} for k in range(len(KINDS)) for b in (True, False)}
         for batch in batches:
+            rows = []
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
@@ -62,23 +62,17 @@ def _sampled(docs: DataFrame, sample: int) -> DataFrame:
                     for kind, start, end in spans:
                         found = _around(text, start, end)
                         key = int.from_bytes(hashlib.blake2b("|".join(found).encode("utf-8", "surrogatepass"), digest_size=7).digest())
-                        kept = held[kind, is_base]
-                        kept[key] = found
-                        if len(kept) > 4 * sample:
-                            held[kind, is_base] = dict(sorted(kept.items())[:sample])
-        rows = [(k, b, key, *found) for (k, b), kept in held.items() for key, found in sorted(kept.items())[:sample]]
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["kind", "base", "key", "before", "span", "after"])
+                        rows.append((kind, is_base, key, *found))
+            columns = list(zip(*dict.fromkeys(rows), strict=True)) or [()] * 6
+            kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["kind", "base", "key", "before", "span", "after"])
 
     found = docs.select("text").mapInArrow(collect, "kind int, base boolean, key long, before string, span string, after string")
-    once = found.dropDuplicates(["kind", "base", "key"])
-    place = F.row_number().over(Window.partitionBy("kind", "base").orderBy("key"))
-    return once.withColumn("place", place).where(F.col("place") <= sample).drop("place")
+    return found.dropDuplicates(["kind", "base", "key"])
 
 
-def _examples(sampled: DataFrame) -> DataFrame:
-    """Features and labels of the sample in all its spellings; spans of one content share a fold."""
+def _examples(spans: DataFrame) -> DataFrame:
+    """Features and labels of the spans in all their spellings; spans of one content share a fold."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +84,7 @@ def _examples(sampled: DataFrame) -> DataFrame:
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["kind", "fold", "label", "features"])
 
-    return sampled.mapInArrow(spell, "kind int, fold int, label int, features array<double>")
+    return spans.mapInArrow(spell, "kind int, fold int, label int, features array<double>")
 
 
 def threshold(scores: np.ndarray, labels: np.ndarray, precision: float) -> float:
@@ -103,22 +97,54 @@ def threshold(scores: np.ndarray, labels: np.ndarray, precision: float) -> float
     return float(scores[fitting[-1]]) if len(fitting) else 2.0
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> tuple[Trees, list[float]] | None:
+def thresholds(scored: DataFrame, precision: float) -> list[float]:
+    """:func:`threshold` of every kind of a table ``kind, score, label``; the driver gets one number for each.
+
+    Different scores are range partitioned and written; each part adds up its own and the totals of the parts before it.
+    """
+    counted = scored.groupBy("kind", "score").agg(F.count("*").alias("n"), F.sum("label").alias("good"))
+    fixed = materialize(counted.repartitionByRange("kind", F.desc("score")).withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # At most one row for each kind and part.
+    totals = fixed.groupBy("kind", "part").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    offsets = totals.select("kind", "part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "good")])
+    inside = Window.partitionBy("kind", "part").orderBy(F.desc("score"))
+    running = fixed.select("kind", "part", "score", *[F.sum(c).over(inside).alias(c) for c in ("n", "good")])
+    placed = running.join(F.broadcast(offsets), ["kind", "part"])
+    reached = placed.where(F.col("good") + F.col("good_before") >= F.lit(precision) * (F.col("n") + F.col("n_before")))
+    found = {r.kind: r.score for r in reached.groupBy("kind").agg(F.min("score").alias("score")).collect()}
+    return [found.get(k, 2.0) for k in range(len(KINDS))]
+
+
+def _scored(examples: DataFrame, trees: Trees) -> DataFrame:
+    """``kind, score, label`` of the examples."""
+    shared = examples.sparkSession.sparkContext.broadcast(trees)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matrix = np.array(batch.column("features").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            scores = shared.value.probability(matrix) if batch.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(scores, pa.float64()), batch.column("label")], ["kind", "score", "label"])
+
+    return examples.select("kind", "label", "features").mapInArrow(judge, "kind int, score double, label int")
+
+
+def fit(docs: DataFrame, precision: float = PRECISION) -> tuple[Trees, list[float]] | None:
     """Trees and a threshold for each kind; ``None`` if the corpus gives no example of either label."""
-    share_package(docs.sparkSession)
-    with batch_rows(docs.sparkSession, BATCH):
-        sampled = materialize(_sampled(docs, sample))
-    examples = materialize(_examples(sampled))
+    spark = docs.sparkSession
+    share_package(spark)
+    with batch_rows(spark, BATCH):
+        spans = materialize(_spans(docs))
+    # Every span becomes some hundred examples. In a fixed order, or two runs would fit different trees.
+    parts = max(spark.sparkContext.defaultParallelism, spans.count() // SPANS_AT_ONCE + 1)
+    ordered = spans.repartition(parts, "key").sortWithinPartitions("kind", "base", "key")
+    with batch_rows(spark, BATCH):
+        examples = materialize(_examples(ordered))
     learned = examples.where("fold <> 0")
     if learned.select("label").distinct().count() < 2:
         return None
     trees = fit_trees(learned)
-    # At most a fifth of the bounded sample.
-    held = examples.where("fold = 0").toArrow()
-    kind, label = held.column("kind").to_numpy(), held.column("label").to_numpy()
-    matrix = np.array(held.column("features").to_pylist(), np.float64).reshape(len(kind), -1)
-    scores = trees.probability(matrix) if len(kind) else np.empty(0)
-    return trees, [threshold(scores[kind == k], label[kind == k], precision) for k in range(len(KINDS))]
+    return trees, thresholds(_scored(examples.where("fold = 0"), trees), precision)
 
 
 def select_spans(spans: list[Span], scores: np.ndarray, thresholds: list[float]) -> list[Span]:

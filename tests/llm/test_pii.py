@@ -119,3 +119,19 @@ def test_edges(spark, edge_docs, no_docs, model):
     assert got == {(1, 3, 0, 0), (1, 0, 0, 0), (None, 1, 0, 0), (2, 0, 3000, 0)}
     with_model = pii.find_personal_data(some, model, with_text=True).collect()
     assert {r.redacted for r in with_model if r.doc_id == 1} == {"mail [EMAIL] or [EMAIL], [EMAIL]", ""}
+
+
+def test_every_span_is_learned_from(spark):
+    rows = [(i, f"word{i} a{i}@b{i}.org and 10.0.{i % 256}.{i // 256}") for i in range(1300)] + [(2000, "word7 a7@b7.org and 10.0.7.0"), (2001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(r.kind, r.base): r["count"] for r in pii._spans(docs).groupBy("kind", "base").count().collect()}
+    assert found[0, True] == found[1, True] == 1300
+
+
+def test_thresholds_of_a_table(spark):
+    r = np.random.default_rng(8)
+    kind, score = r.integers(0, 3, 3000), r.integers(0, 400, 3000) / 400
+    label = (r.random(3000) < score + 0.2 * kind).astype(int)
+    scored = spark.createDataFrame([(int(k), float(s), int(x)) for k, s, x in zip(kind, score, label)], "kind int, score double, label int").repartition(5)
+    for precision in (0.5, 0.8, 0.995, 1.1):
+        assert pii.thresholds(scored, precision) == [pii.threshold(score[kind == k], label[kind == k], precision) for k in range(4)]
