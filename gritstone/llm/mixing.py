@@ -49,8 +49,8 @@ SHRINK = 1.0
 NEWTON_STEPS = 12
 #: Penalty on the squared slopes of the calibration, so that separable domains get finite ones.
 RIDGE = 0.1
-#: Labelled documents that the classifier is fitted on, at most (about): their ids are broadcast.
-LABELLED_DOCUMENTS = 250_000
+#: Labelled documents up to which their ids are broadcast; more meet the texts by a shuffle.
+BROADCAST_IDS = 250_000
 #: Telling words up to which their table is broadcast (some 40 bytes each); a larger one is joined by a shuffle.
 BROADCAST_WORDS = 2_000_000
 STEPS = 30
@@ -107,8 +107,8 @@ class DomainClassifier:
         """The classifier and the scores of all ``texts`` (``number, group, doc_id, text``); ``labelled`` has ``doc_id, domain``."""
         known = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
         n = known.count()
-        chosen = known.where(T.hash_share(F.col("doc_id"), n, LABELLED_DOCUMENTS)).select("doc_id", "domain").distinct()
-        marked = texts.join(F.broadcast(chosen), "doc_id")
+        chosen = known.select("doc_id", "domain").distinct()
+        marked = texts.join(F.broadcast(chosen) if n <= BROADCAST_IDS else chosen.hint("shuffle_hash"), "doc_id")
         sums = [F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n{i}") for i, d in enumerate(domains)]
         # Words count under the keys that the other half is scored by.
         split = marked.select("group", "domain", (1 - _half(F.col("doc_id"))).alias("half"), F.explode(T.words(F.col("text"))).alias("word"))

@@ -7,7 +7,9 @@ so length does not decide. A document is kept when no base rule fails and its
 score reaches the threshold.
 
 Only DataFrame expressions are used. The corpus is read twice, once to count and
-once to score; what is shuffled and broadcast has one number per bucket.
+once to score; all trusted texts are counted. What is shuffled and broadcast has one
+number per bucket, beside the trusted ids, which are broadcast while they are few;
+beyond that the texts are shuffled once to meet them.
 
 Null text has no words. Texts under ``min_words`` words fail a base rule; texts
 without n-grams score 0. With no trusted text every score is 0. Repeated rows
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from gritstone.llm import text as T
 
 BUCKETS = 1 << 14
-#: Trusted documents that the target multinomial is fitted on, at most (about): their ids are broadcast.
-TARGET_DOCUMENTS = 250_000
+#: Trusted documents up to which their ids are broadcast; more meet the texts by a shuffle.
+BROADCAST_IDS = 250_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 THRESHOLD = -0.04
@@ -70,9 +72,9 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
 
     ``docs`` has ``doc_id, text``; ``trusted`` has ``doc_id`` of the trusted documents.
     """
-    n = trusted.count()
-    ids = trusted.where(T.hash_share(F.col("doc_id"), n, TARGET_DOCUMENTS)).select("doc_id").distinct()
-    marked = docs.join(F.broadcast(ids.withColumn("trusted", F.lit(1))), "doc_id", "left")
+    ids = trusted.select("doc_id").distinct().withColumn("trusted", F.lit(1))
+    few = trusted.count() <= BROADCAST_IDS
+    marked = docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left")
     counts = (
         marked.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), T.words(F.col("text")).alias("words"))
         .select("trusted", F.explode(T.buckets(F.col("words"), buckets)).alias("bucket"))

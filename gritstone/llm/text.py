@@ -48,13 +48,6 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def hash_share(key: Column, rows: int, wanted: int) -> Column:
-    """True for about ``wanted`` of ``rows`` keys, always the same ones; for all when there are no more than that."""
-    if rows <= wanted:
-        return F.lit(True)
-    return F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(int(1_000_000 * wanted / rows))
-
-
 def constant_array(numbers: list, kind: str = "array<double>") -> Column:
     """A short list of numbers as a constant that the optimizer folds."""
     return F.from_json(F.lit(json.dumps(numbers)), kind)

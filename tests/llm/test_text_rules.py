@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from gritstone.llm import mixing
 from gritstone.llm import quality_rules as rules
 from gritstone.llm.line_dedup import site_line_dedup
 from gritstone.llm.mixing import label_domains, soft_mixing
@@ -135,3 +136,18 @@ def test_statistics_and_isotonic():
     assert len(statistics("A b, c! 1")) == N_STATISTICS
     at, value = isotonic(np.array([0.0, 1, 2, 3]), np.array([0.2, 0.8, 0.4, 1.0]), np.array([1.0, 1, 1, 2]))
     assert at.tolist() == pytest.approx([0, 1.5, 3]) and value.tolist() == pytest.approx([0.2, 0.6, 1.0])
+
+
+def test_all_trusted_texts_count(spark, edge_docs, monkeypatch):
+    """More trusted documents than are broadcast give the same weights: none is left out."""
+    trusted = edge_docs.where("doc_id between 20 and 40").select("doc_id")
+    known = label_domains(spark.createDataFrame([(i, i % 2, 0) for i in range(20, 44)], "doc_id long, quality int, toxic int"))
+    docs = edge_docs.select("doc_id", "text")
+    goal = {"clean": 0.8, "low": 0.2}
+    some = rules.bucket_weights(docs, trusted)
+    mixed = {r.number: r.posteriors for r in soft_mixing(docs, known, goal).selectExpr("xxhash64(row.doc_id, row.text) as number", "posteriors").collect()}
+    monkeypatch.setattr(rules, "BROADCAST_IDS", 3)
+    monkeypatch.setattr(mixing, "BROADCAST_IDS", 3)
+    assert rules.bucket_weights(docs, trusted) == some
+    for r in soft_mixing(docs, known, goal).selectExpr("xxhash64(row.doc_id, row.text) as number", "posteriors").collect():
+        assert all(r.posteriors[d] == pytest.approx(mixed[r.number][d], abs=1e-9) for d in goal)
