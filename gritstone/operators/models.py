@@ -11,6 +11,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -36,7 +37,7 @@ from gritstone.operators.normalize import normalize, require_columns, types_of
 from gritstone.operators.preparation import FOLD, Preparation, prepare_views
 from gritstone.operators.split import Split, train_test_split
 from gritstone.operators.tuning import MAX_FOLDS, STORAGE, GridSearch, grid_points, grid_search, score
-from gritstone.runtime import small_frame
+from gritstone.runtime import small_frame, spread
 
 MIN_ROWS = 5
 # Depth that stands for "unlimited"; trees double in size with every level.
@@ -203,6 +204,8 @@ def train(
     keys = [key] if isinstance(key, str) else list(key or [])
     data = normalize(data).select(*[quote(c) for c in dict.fromkeys([*chosen, target, *keys])])
     data = data.where(f"{quote(target)} is not null")
+    if split is None and not prepared:
+        data = spread(data)
     kind = feature_ops.infer_task(data, target) if task == "auto" else task
     if kind == "regression" and not is_number(types_of(data)[target]):
         raise ValueError("Regression needs a numeric target.")
@@ -332,6 +335,7 @@ def auto_train(
     flat = normalize(df).where(f"{quote(goal)} is not null")
     task = feature_ops.infer_task(flat, goal, "staged")
     prepared, names = feature_ops.prepare_features(flat, goal, keys)
+    prepared = spread(prepared)
     names = [n for n in names if n not in keys]
     linear = "logistic_regression" if task == "classification" else "linear_regression"
     defaults = {linear: {"max_iter": 500}, "random_forest": {"n_estimators": 120}, "gradient_boosting": {}}
@@ -339,11 +343,17 @@ def auto_train(
     rows, best, best_score = [], None, None
     for loop, (label, table, columns, _) in enumerate(feature_ops.feature_variants(prepared, names), start=1):
         champion = None
-        for family, base in defaults.items():
-            run = train(
-                table, goal, columns, task, family, {**base, **(params or {}).get(family, {})},
+
+        def trained(family: str, table=table, columns=columns) -> ModelRun:
+            return train(
+                table, goal, columns, task, family, {**defaults[family], **(params or {}).get(family, {})},
                 tune=grids.get(family, False), key=keys or None, top=12, prepared=True,
             )
+
+        # The families share nothing, so their jobs run side by side.
+        with ThreadPool(len(defaults)) as pool:
+            runs = pool.map(trained, defaults, chunksize=1)
+        for run in runs:
             test = run.metrics["accuracy" if task == "classification" else "r2"]
             gap = run.train_score - test
             value = penalized_score(run.train_score, test)

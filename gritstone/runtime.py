@@ -16,6 +16,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+# Rows that are worth a task of their own where a table is read many times, and the most that such a task gets.
+TASK_ROWS = 20_000
+MOST_TASK_ROWS = 1_000_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
@@ -80,6 +85,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return written(df)[0]
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows in as many tasks as there are cores, if they are worth it and too few for files to be split by size.
+
+    Files are split by bytes, so a small compressed file goes through one or two tasks however many rows it holds.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rows = df.count()
+    tasks = min(cores, rows // TASK_ROWS)
+    return df.repartition(tasks) if tasks > 1 and rows <= cores * MOST_TASK_ROWS else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read many times, written once in as many files as its rows are worth; see :func:`dealt`."""
+    parts = dealt(df)
+    return df if parts is df else materialize(parts)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate tables that nothing reads any more."""
     for path in paths:

@@ -148,3 +148,39 @@ def test_categories_of_different_sizes(spark, table):
     wide = table.selectExpr("id", "colour", "concat('k', id % 9) as other", "kind")
     run = models.train(wide, "kind", ["colour", "other"], "classification", "logistic_regression", {"class_weight": "balanced"}, key="id", top=50)
     assert len(run.importances) in (12, 13) and any(n.startswith("other_k") for n, _ in run.importances)
+
+
+def test_shorter_boosted_models_are_scored_by_the_longest(spark, table, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+
+    ready = table.selectExpr("id", "coalesce(size, 0) as size", "coalesce(amount, 0) / 1e9 as amount", "cast(flag as int) as flag")
+    fits, plain = [], GBTRegressor._fit
+    monkeypatch.setattr(GBTRegressor, "_fit", lambda self, data: fits.append(self.getMaxIter()) or plain(self, data))
+    grid = {"n_estimators": [3, 7], "learning_rate": [0.1, 0.3], "max_depth": [2]}
+
+    def searched(grid):
+        fits.clear()
+        return models.train(ready, "size", ["amount", "flag"], "regression", "gradient_boosting", tune=grid, key="id", prepared=True).search
+
+    found = searched(grid)
+    # One fit for each fold and learning rate, and the final one.
+    assert len(fits) == 2 * MAX_FOLDS + 1
+    for i, point in enumerate(found.points):
+        alone = searched({k: [v] for k, v in point.items()})
+        for fold in range(MAX_FOLDS):
+            assert found.fold_scores[fold][i] == pytest.approx(alone.fold_scores[fold][0], rel=1e-9)
+
+
+def test_small_files_of_many_rows_are_dealt_out(spark, tmp_path, monkeypatch):
+    from gritstone import runtime
+    from gritstone.sources.versions import VersionStore
+
+    monkeypatch.setattr(runtime, "TASK_ROWS", 100)
+    df = spark.range(1000).coalesce(1).selectExpr("id", "id % 7 as x", "id % 5 as y")
+    assert len(runtime.spread(df).inputFiles()) == min(10, spark.sparkContext.defaultParallelism)
+    assert runtime.spread(df).exceptAll(df).isEmpty() and runtime.spread(df).count() == 1000
+    assert runtime.dealt(df.limit(150)) is not None and runtime.spread(df.where("id < 150")).count() == 150
+    store = VersionStore(spark, str(tmp_path))
+    assert len(store.read(store.create(df, "a.parquet")).inputFiles()) > 1
+    monkeypatch.setattr(runtime, "MOST_TASK_ROWS", 10)
+    assert runtime.spread(df) is df
