@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritstone.operators.profile import dataset_summary, profile
-from gritstone.runtime import discard, put_if_absent, small_frame
+from gritstone.runtime import dealt, discard, put_if_absent, small_frame
 
 CATALOG_SCHEMA = (
     "dataset_id string, filename string, version int, label string, path string, created_at timestamp_ntz,"
@@ -43,7 +43,8 @@ class VersionStore:
         # Every attempt writes a folder of its own; it becomes a version with its commit, so an attempt that is
         # interrupted in between leaves nothing that blocks the next one.
         path = f"{self.root.rstrip('/')}/{dataset_id}/version-{version}-{uuid.uuid4().hex[:8]}"
-        df.write.mode("error").parquet(path)
+        # Stages read a version many times.
+        dealt(df).write.mode("error").parquet(path)
         stored = self.spark.read.parquet(path)
         facts = dataset_summary(stored)
         if profiled:
