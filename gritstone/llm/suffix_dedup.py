@@ -51,7 +51,8 @@ U64 = np.uint64
 
 #: What a row says of a suffix: windows ``first`` to ``last`` are to be compared, or bytes ``first`` to ``last`` go.
 OPEN, SPAN = 0, 1
-#: ``doc`` and ``text_id`` (a hash of the text) name a row even if ids are repeated.
+#: ``doc`` and ``text_id`` name a row even if ids are repeated; ``text_id`` is then a hash of the text, else 0, which
+#: takes no room in the shuffles.
 SUFFIXES = "kind int, key long, context long, doc long, text_id long, at int, first int, last int"
 
 
@@ -259,7 +260,9 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, key: int = KEY, with_byt
     """
     spark = docs.sparkSession
     share_package(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("text_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), "text")
+    repeated = not docs.groupBy("doc").count().where("count > 1").isEmpty()
+    docs = docs.select("doc", (F.xxhash64("text") if repeated else F.lit(0).cast("long")).alias("text_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * size // (window - key + 2) // PARTITION_ROWS + 1)
     met = materialize(_settle(_suffixes(docs, window, key), parts, window))
