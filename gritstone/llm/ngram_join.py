@@ -51,6 +51,8 @@ BATCH_TEXTS = 1_000
 #: Ends of pairs up to which they are broadcast to the sets (32 bytes each), and those compared in one task.
 BROADCAST_ENDS = 1_000_000
 PART_ENDS = 4_000
+#: Pairs of one set, about, that are compared in one place; the set is sent there once.
+HUB_PAIRS = 64
 U64 = np.uint64
 
 
@@ -281,7 +283,7 @@ def _bloom(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, needed: DataFrame, n_needed: int, width: int) -> DataFrame:
-    """``a, b, cls, tokens`` for both ends of every pair in ``needed`` (``cls, doc_id, a, b``).
+    """``hub, bucket, place, cls, tokens`` of every set in ``needed`` (``cls, doc_id, hub, bucket, place``).
 
     A Bloom filter spares most other texts the work. Few pairs are broadcast to the sets, so that a set is sent only
     where it is compared; several rows of one id and text may send it twice.
@@ -314,37 +316,48 @@ def _sets(docs: DataFrame, needed: DataFrame, n_needed: int, width: int) -> Data
     spots = [F.shiftrightunsigned(F.xxhash64(F.lit(i), "doc_id"), 64 - BLOOM_BITS).alias(f"h{i}") for i in (0, 1)]
     found = docs.select("doc_id", "text", *spots).mapInArrow(compute, "doc_id long, cls long, tokens binary")
     # Several rows may carry one id; the digest tells which of them the class is.
-    named = needed.select(F.col("cls").alias("wanted_cls"), F.col("doc_id").alias("wanted_id"), "a", "b")
+    named = needed.select(F.col("cls").alias("wanted_cls"), F.col("doc_id").alias("wanted_id"), "hub", "bucket", "place")
     same = (F.col("cls") == F.col("wanted_cls")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
-    return found.join(F.broadcast(named) if n_needed <= BROADCAST_ENDS else named, same).select("a", "b", "cls", "tokens")
+    return found.join(F.broadcast(named) if n_needed <= BROADCAST_ENDS else named, same).select("hub", "bucket", "place", "cls", "tokens")
 
 
 def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The similar pairs of a stream of ``a, b, cls, tokens`` sorted by pair and class; two sets are held at a time."""
-    pair, first, done = None, None, False
+    """The similar pairs of a stream of ``hub, bucket, place, cls, tokens`` sorted by these: each set that comes after its
+    hub's is compared with it; two sets are held at a time."""
+    group, first, last = None, None, None
     for batch in batches:
         out = []
-        for a, b, cls, tokens in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if (a, b) != pair:
-                pair, first, done = (a, b), (cls, np.frombuffer(tokens, U64)), False
-            elif not done and cls != first[0]:
-                x, y = first[1], np.frombuffer(tokens, U64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                done = True
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    out.append(pair)
+        for hub, bucket, cls, tokens in zip(*[batch.column(c).to_pylist() for c in ("hub", "bucket", "cls", "tokens")], strict=True):
+            if (hub, bucket) != group:
+                group, first, last = (hub, bucket), np.frombuffer(tokens, U64) if cls == hub else None, cls
+            elif cls != last and first is not None:
+                last, other = cls, np.frombuffer(tokens, U64)
+                common = len(np.intersect1d(first, other, assume_unique=True))
+                if 100 * common >= percent * (len(first) + len(other) - common):
+                    out.append((min(hub, cls), max(hub, cls)))
         columns = list(zip(*out, strict=True)) or [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
 
+def _by_hub(pairs: DataFrame) -> DataFrame:
+    """``hub, bucket, place, cls``: the sets to compare. The end of a pair that more pairs have is its hub (place 0), which
+    meets the other ends (place 1) in buckets of about ``HUB_PAIRS``."""
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("pairs"))
+    both = pairs.join(degrees.toDF("a", "of_a"), "a").join(degrees.toDF("b", "of_b"), "b")
+    first = F.col("of_a") >= F.col("of_b")
+    buckets = F.floor(F.greatest("of_a", "of_b") / HUB_PAIRS) + 1
+    ends = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("cls"), buckets.alias("buckets"))
+    ends = ends.select("hub", F.pmod(F.xxhash64("cls"), F.col("buckets")).alias("bucket"), F.lit(1).alias("place"), "cls")
+    return ends.unionByName(ends.select("hub", "bucket", F.lit(0).alias("place"), F.col("hub").alias("cls")).distinct())
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (``a, b``) whose whole sets reach the similarity."""
     pairs, pairs_path = written(pairs.select("a", "b"))
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("cls"))
-    needed, needed_path = written(ends.join(classes, "cls").select("cls", "doc_id", "a", "b"))
+    needed, needed_path = written(_by_hub(pairs).join(classes, "cls").select("cls", "doc_id", "hub", "bucket", "place"))
     n = needed.count()
     with batch_rows(docs.sparkSession, BATCH_TEXTS):
-        sets = _sets(docs, needed, n, width).repartition(n // PART_ENDS + 1, "a", "b").sortWithinPartitions("a", "b", "cls")
+        sets = _sets(docs, needed, n, width).repartition(n // PART_ENDS + 1, "hub", "bucket").sortWithinPartitions("hub", "bucket", "place", "cls")
         found = materialize(sets.mapInArrow(lambda batches: _compared(batches, percent), "a long, b long"))
     discard(docs.sparkSession, pairs_path, needed_path)
     return found

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gritstone.llm import components as comp
 from gritstone.llm import epsilon_join, ngram_join
+from gritstone.llm import suffix_dedup as suffix
 from gritstone.llm.anchors import anchors, sliding_argmin
 from gritstone.llm.log_index import LogIndex
 from gritstone.llm.ngram_join import ngram_components
@@ -194,3 +195,33 @@ def test_epsilon_join_query(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
     found = entry.queries()["op5_epsilon_join"](spark, SF).collect()
     assert sorted(tuple(x) for x in found) == brute_links([(r.vec_id, r.embedding) for r in sorted(rows)])
+
+
+def test_a_hub_is_sent_once_for_its_pairs(spark, monkeypatch):
+    pairs = spark.createDataFrame([(1, i) for i in range(2, 12)] + [(20, 21), (11, 30)], "a long, b long")
+    rows = ngram_join._by_hub(pairs).collect()
+    assert sum(r.place for r in rows) == 12 and len(rows) == 12 + 3
+    assert {frozenset((r.hub, r.cls)) for r in rows if r.place} == {frozenset(tuple(r)) for r in pairs.collect()}
+    monkeypatch.setattr(ngram_join, "HUB_PAIRS", 2)
+    many = ngram_join._by_hub(pairs).collect()
+    places = {(r.hub, r.bucket) for r in many}
+    assert places == {(r.hub, r.bucket) for r in many if r.place == 0} and len([p for p in places if p[0] == 1]) > 1
+
+
+@pytest.mark.parametrize("buckets", [1, 64])
+def test_components_by_hubs_equal_brute_force(spark, edge_docs, monkeypatch, buckets):
+    monkeypatch.setattr(ngram_join, "HUB_PAIRS", buckets)
+    rows = sorted(((r.doc_id, r.text) for r in edge_docs.collect()), key=lambda r: (r[0] is not None, r[0]))
+    found = ngram_components(edge_docs).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(brute_components(rows), key=str)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_texts_are_hashed_for_repeated_ids_alone(spark, edge_docs, monkeypatch, repeated):
+    marks = []
+    plain = suffix.suffix_dedup.__globals__["_suffixes"]
+    monkeypatch.setattr(suffix, "_suffixes", lambda docs, *rest: marks.append(docs.select("text_id").distinct().count()) or plain(docs, *rest))
+    docs = edge_docs if repeated else edge_docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    found = suffix_dedup(docs).collect()
+    assert sorted((tuple(r)[:5] for r in found), key=str) == brute_removal(grouped(docs))
+    assert (marks[0] > 1) == repeated
