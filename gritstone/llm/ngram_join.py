@@ -14,6 +14,12 @@ with a leader of the posting lists that it shares with others, and contract what
 is linked; then only pairs from different components are left, and all of them
 are compared.
 
+A pair leaves its list only if three bounds allow the similarity: the sizes, the
+places of the shared token in both prefixes (a pair's first shared token leaves
+enough tokens behind it on both sides), and the bits in which two marks differ. A
+mark has the parity of the number of tokens of every bit, so two sets differ in as
+many tokens at least as their marks in bits.
+
 A set is empty for null text and text without words, and one shingle of all
 words when there are fewer than ``width``; empty sets link with nothing. Equal
 texts link, repeated rows too. A row without id links like any other; its component
@@ -42,9 +48,17 @@ ORDERS = 2
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 64
 BLOOM_BITS = 25
+#: 64-bit words of a set's mark.
+MARK_WORDS = 8
+#: Steps into which a token's place in its prefix is rounded down.
+PLACES = 16
+#: Rows of a posting list, in order of size, that a row is compared with before a list is kept.
+NEAR = 8
 #: Distinct sets that a task remembers so that copies are not sent twice.
 REMEMBERED = 200_000
 LIST_ROWS = 200_000
+#: Pairs of rows that are looked at in one go.
+PAIR_ROWS = 1_000_000
 STAR_ROUNDS = 3
 #: Rows that workers get at once where a row holds a text or a whole set.
 BATCH_TEXTS = 1_000
@@ -62,18 +76,28 @@ def _digest(tokens: np.ndarray) -> int:
         return int(mix(np.array([(mix(tokens) * (tokens | U64(1))).sum() ^ U64(len(tokens))], U64)).view(np.int64)[0])
 
 
+def _mark(tokens: np.ndarray) -> np.ndarray:
+    """The words of a set's mark."""
+    odd = np.bincount((tokens & U64(64 * MARK_WORDS - 1)).astype(np.int64), minlength=64 * MARK_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+MARK = [f"m{k}" for k in range(MARK_WORDS)]
+
+
 def _summaries(docs: DataFrame, width: int) -> DataFrame:
-    """One row per document (``doc_id, n, cls``) and sketch rows (``part, block, counts``) of each task."""
+    """One row per document (``doc_id, n, cls`` and its mark) and sketch rows (``part, block, counts``) of each task."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         seen: set[int] = set()
         for batch in batches:
-            rows, fresh = [], [np.empty(0, U64)]
+            rows, marks, fresh = [], [], [np.empty(0, U64)]
             for doc, text in zip(batch.doc_id, batch.text, strict=True):
                 tokens = shingles(text, width)
                 digest = _digest(tokens) if len(tokens) else None
                 rows.append((doc, len(tokens), digest))
+                marks.append(_mark(tokens))
                 if digest is not None and digest not in seen:
                     if len(seen) < REMEMBERED:
                         seen.add(digest)
@@ -83,6 +107,7 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
             yield pd.DataFrame({
                 "doc_id": pd.array([r[0] for r in rows], "Int64"), "n": [r[1] for r in rows],
                 "cls": pd.array([r[2] for r in rows], "Int64"), "part": 0, "block": -1, "counts": None,
+                **dict(zip(MARK, np.reshape(marks, (-1, MARK_WORDS)).T, strict=True)),
             })
         if seen:
             part = TaskContext.get().partitionId()
@@ -90,9 +115,10 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
             yield pd.DataFrame({
                 "doc_id": pd.array([None] * SKETCH_BLOCKS, "Int64"), "n": 0, "cls": pd.array([None] * SKETCH_BLOCKS, "Int64"),
                 "part": part, "block": range(SKETCH_BLOCKS), "counts": [p.tobytes() for p in pieces],
+                **dict.fromkeys(MARK, 0),
             })
 
-    schema = "doc_id long, n long, cls long, part int, block int, counts binary"
+    schema = "doc_id long, n long, cls long, part int, block int, counts binary, " + ", ".join(f"{m} long" for m in MARK)
     return docs.mapInPandas(summarise, schema)
 
 
@@ -126,19 +152,38 @@ def _ranks(sketch: np.ndarray) -> np.ndarray:
 def prefix(tokens: np.ndarray, ranks: np.ndarray, order: int, percent: int) -> np.ndarray:
     """Tokens of one order's prefix as signed keys; the two lowest bits tell the order."""
     keys = mix(tokens ^ U64(0x9E3779B97F4A7C15 * (order + 1) % 2**64))
-    n = len(tokens)
-    length = n - -(-percent * n // 100) + 1
-    first = np.lexsort((keys, ranks[(tokens >> U64(64 - SKETCH_BITS)).astype(np.int64)]))[:length]
-    return ((keys[first] & ~U64(3)) | U64(order)).view(np.int64)
+    length = int(_prefix_length(len(tokens), percent))
+    rank = ranks[(tokens >> U64(64 - SKETCH_BITS)).astype(np.int64)]
+    usual = keys[rank == 0]
+    first = np.sort(usual)[:length] if len(usual) >= length else keys[np.lexsort((keys, rank))[:length]]
+    return ((first & ~U64(3)) | U64(order)).view(np.int64)
+
+
+def _prefix_length(n, percent: int):
+    return n - -(-percent * n // 100) + 1
+
+
+def _least_common(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens that two sets of these sizes share at least if they link."""
+    return -(-percent * (na + nb) // (100 + percent))
+
+
+def _left(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of sets, and how many tokens there are at most from a token's place on, from what postings hold as ``size``."""
+    n, place = size.astype(np.int64) // PLACES, size % PLACES
+    return n, n - -(-place * _prefix_length(n, percent) // PLACES)
 
 
 def _postings(docs: DataFrame, ranks, width: int, percent: int, orders: int) -> DataFrame:
-    """``token, n, cls`` for every prefix token of every class; a task sends a class once."""
+    """``token, size, cls`` for every prefix token of every class; a task sends a class once.
+
+    ``size`` is the number of the set's tokens times ``PLACES``, plus the step of the token's place in the prefix.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = ranks.value, set()
         for batch in batches:
-            out: list[tuple[np.ndarray, int, int]] = []
+            out: list[tuple[np.ndarray, np.ndarray, int]] = []
             held = 0
             for text in batch.column(0):
                 tokens = shingles(text.as_py(), width)
@@ -150,7 +195,9 @@ def _postings(docs: DataFrame, ranks, width: int, percent: int, orders: int) ->
                 if len(seen) < REMEMBERED:
                     seen.add(digest)
                 found = np.concatenate([prefix(tokens, table, r, percent) for r in range(orders)])
-                out.append((found, len(tokens), digest))
+                length = len(found) // orders
+                places = np.tile(np.arange(length) * PLACES // length, orders)
+                out.append((found, len(tokens) * PLACES + places, digest))
                 held += len(found)
                 if held > 200_000:
                     yield _posting_batch(out)
@@ -158,18 +205,18 @@ def _postings(docs: DataFrame, ranks, width: int, percent: int, orders: int) ->
             if out:
                 yield _posting_batch(out)
 
-    return docs.select("text").mapInArrow(emit, "token long, n int, cls long")
+    return docs.select("text").mapInArrow(emit, "token long, size int, cls long")
 
 
-def _posting_batch(rows: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+def _posting_batch(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
     lengths = [len(r[0]) for r in rows]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate([r[0] for r in rows])),
-            pa.array(np.repeat(np.array([r[1] for r in rows], np.int32), lengths)),
+            pa.array(np.concatenate([r[1] for r in rows]).astype(np.int32)),
             pa.array(np.repeat(np.array([r[2] for r in rows], np.int64), lengths)),
         ],
-        ["token", "n", "cls"],
+        ["token", "size", "cls"],
     )
 
 
@@ -190,79 +237,103 @@ def _sorted_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         yield pd.concat(carried)
 
 
-def _lists(rows: DataFrame, parts: int, label: str) -> DataFrame:
-    """Rows of posting lists that hold at least two different values of ``label``; equal rows once."""
+def _lists(rows: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Rows of posting lists that may have a partner there, equal rows once.
+
+    A row stays if the sizes and places of it and of one of its neighbours, in order of size, allow a link, and in any
+    list with more rows than these.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in _sorted_lists(batches):
-            frame = frame.drop_duplicates(["token", "cls"])
-            spread = frame.groupby("token")[label].transform("nunique")
-            frame = frame[spread > 1]
-            if len(frame):
-                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+            frame = frame.sort_values(["token", "size", "cls"], kind="stable").drop_duplicates(["token", "cls"])
+            token = frame.token.to_numpy()
+            n, left = _left(frame["size"].to_numpy(), percent)
+            good = np.zeros(len(frame), bool)
+            for step in range(1, min(NEAR, len(frame) - 1) + 1):
+                fits = (token[step:] == token[:-step]) & (np.minimum(left[step:], left[:-step]) >= _least_common(n[step:], n[:-step], percent))
+                good[step:] |= fits
+                good[:-step] |= fits
+            start = np.searchsorted(token, token)
+            good |= np.searchsorted(token, token, "right") - start > NEAR + 1
+            if good.any():
+                yield pa.RecordBatch.from_pandas(frame[good], preserve_index=False)
 
     return rows.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(keep, rows.schema)
 
 
 def _pairs(lists: DataFrame, parts: int, percent: int, turn: int | None) -> DataFrame:
-    """Candidate pairs of classes from different components: ``a, na, b, nb, order``.
+    """Candidate pairs of classes from different components: ``a, b, order, votes``.
 
     With a ``turn`` every member is paired with the two members of the list that a hash of the turn puts first;
-    without, all pairs of the list are made. Sizes that differ too much are left out.
+    without, all members of different components are paired. Pairs whose sizes, places or marks rule a link out
+    stay in the list.
     """
 
-    def fits(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-        return 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-
     def leaders(tokens: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Every row with the first two rows of its list, in the order of the turn's hash."""
         order = np.lexsort((mix(cls.view(U64) ^ U64(turn * 2 + 1)), tokens))
         new = np.append(True, tokens[order][1:] != tokens[order][:-1])
         start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        end = np.append(np.flatnonzero(new)[1:], len(order))[np.cumsum(new) - 1]
         yield order[start], order
-        yield order[start + 1], order  # a list has two rows at least
-
-    def everything(tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All pairs of rows of a list, by growing distance."""
-        i, step = np.arange(len(tokens) - 1), 1
-        while len(i):
-            i = i[tokens[i] == tokens[i + step]]
-            yield i, i + step
-            step += 1
-            i = i[i + step < len(tokens)]
+        yield order[np.minimum(start + 1, end - 1)], order
+
+    def everything(tokens: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Every row with the rows of its list that come after its component; rows are sorted by token and component."""
+        new_list = np.append(True, tokens[1:] != tokens[:-1])
+        new_comp = new_list | np.append(True, comp[1:] != comp[:-1])
+        end = np.append(np.flatnonzero(new_list)[1:], len(tokens))[np.cumsum(new_list) - 1]
+        begin = np.append(np.flatnonzero(new_comp)[1:], len(tokens))[np.cumsum(new_comp) - 1]
+        total = np.cumsum(end - begin)
+        at = 0
+        while at < len(tokens):
+            done = total[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(total, done + PAIR_ROWS, "right")))
+            counts = (end - begin)[at:stop]
+            i = np.repeat(np.arange(at, stop), counts)
+            yield i, begin[i] + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
+            at = stop
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in _sorted_lists(batches):
-            tokens, cls, n, comp = (frame[c].to_numpy() for c in ("token", "cls", "n", "comp"))
+            if turn is None:
+                frame = frame.sort_values(["token", "comp"], kind="stable")
+            tokens, cls, comp = (frame[c].to_numpy() for c in ("token", "cls", "comp"))
+            n, left = _left(frame["size"].to_numpy(), percent)
+            marks = frame[MARK].to_numpy().view(U64)
             out, held = [], 0
-            for i, j in everything(tokens) if turn is None else leaders(tokens, cls):
-                good = (comp[i] != comp[j]) & fits(n[i], n[j])
+            for i, j in everything(tokens, comp) if turn is None else leaders(tokens, cls):
+                least = _least_common(n[i], n[j], percent)
+                good = (comp[i] != comp[j]) & (np.minimum(left[i], left[j]) >= least)
+                i, j, least = i[good], j[good], least[good]
+                apart = np.zeros(len(i), np.int64)
+                for k in range(MARK_WORDS):
+                    apart += np.bitwise_count(marks[i, k] ^ marks[j, k])
+                good = apart <= n[i] + n[j] - 2 * least
                 i, j = i[good], j[good]
-                first = cls[i] < cls[j]
-                i, j = np.where(first, i, j), np.where(first, j, i)
-                out.append(np.stack([cls[i], n[i], cls[j], n[j], tokens[i] & 3], axis=1))
+                out.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), tokens[i] & 3], axis=1))
                 held += len(i)
-                if held > 500_000:
+                if held > 200_000:
                     yield _pair_batch(out)
                     out, held = [], 0
             if held:
                 yield _pair_batch(out)
 
     rows = lists.repartition(parts, "token").sortWithinPartitions("token")
-    return rows.mapInArrow(make, "a long, na int, b long, nb int, order int, votes long")
+    return rows.mapInArrow(make, "a long, b long, order int, votes long")
 
 
 def _pair_batch(out: list[np.ndarray]) -> pa.RecordBatch:
-    found, votes = np.unique(np.concatenate(out), axis=0, return_counts=True)
-    kinds = (np.int64, np.int32, np.int64, np.int32, np.int32)
-    arrays = [pa.array(found[:, k].astype(kind)) for k, kind in enumerate(kinds)]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(votes.astype(np.int64))], ["a", "na", "b", "nb", "order", "votes"])
+    frame = pd.DataFrame(np.concatenate(out), columns=["a", "b", "order"])
+    found = frame.groupby(["a", "b", "order"], sort=False).size().reset_index(name="votes").astype({"order": np.int32})
+    return pa.RecordBatch.from_pandas(found, preserve_index=False)
 
 
 def _under_all_orders(pairs: DataFrame, orders: int) -> DataFrame:
     """Pairs that share a prefix token under every order, with the number of tokens shared."""
-    per_order = pairs.groupBy("a", "na", "b", "nb", "order").agg(F.sum("votes").alias("votes"))
-    return per_order.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("orders"), F.sum("votes").alias("votes")).where(F.col("orders") == orders)
+    seen = F.bit_or(F.expr("shiftleft(1, `order`)")).alias("orders")
+    return pairs.groupBy("a", "b").agg(seen, F.sum("votes").alias("votes")).where(F.col("orders") == (1 << orders) - 1)
 
 
 def _best_leaders(pairs: DataFrame) -> DataFrame:
@@ -372,32 +443,29 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
         summaries = materialize(_summaries(docs, width))
     rows = summaries.where("block < 0").select("doc_id", "n", "cls")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    marks = summaries.where("block < 0 and cls is not null").groupBy("cls").agg(*[F.min(m).alias(m) for m in MARK])
     ranks = spark.sparkContext.broadcast(_ranks(_sketch(summaries)))
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), total * orders * (100 - percent) // 100 // LIST_ROWS + 1)
     postings = _postings(docs, ranks, width, percent, orders)
     with batch_rows(spark, 5 * BATCH_TEXTS):
-        lists, lists_path = written(_lists(postings, parts, "cls"))  # tokens that several classes share
+        lists, lists_path = written(_lists(postings, parts, percent))  # tokens that several classes share
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, component long")
     small = max(1, parts // 4)
     turns: list[int | None] = [*range(STAR_ROUNDS), None]
     while turns:
         turn = turns.pop(0)
-        # Lists whose members are all in one component have nothing more to tell.
-        labelled = lists.select("token", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-        before = lists_path
-        lists, lists_path = written(_lists(labelled.select("token", "n", "cls", F.coalesce("component", "cls").alias("comp")), small, "comp"))
-        discard(spark, before)
-        if lists.isEmpty():
-            break
-        pairs = _under_all_orders(_pairs(lists, small, percent, turn), orders)
+        named = marks.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+        named = named.select("cls", F.coalesce("component", "cls").alias("comp"), *MARK)
+        pairs = _under_all_orders(_pairs(lists.join(named, "cls"), small, percent, turn), orders)
         found = _verified(pairs if turn is None else _best_leaders(pairs), docs, classes, width, percent)
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = components(links)
         else:
             turns = turns[-1:]  # leaders have nothing more to give
+    discard(spark, lists_path)
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     found = named.join(least, "component").select("cls", "component_id")

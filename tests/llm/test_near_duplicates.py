@@ -225,3 +225,51 @@ def test_texts_are_hashed_for_repeated_ids_alone(spark, edge_docs, monkeypatch,
     found = suffix_dedup(docs).collect()
     assert sorted((tuple(r)[:5] for r in found), key=str) == brute_removal(grouped(docs))
     assert (marks[0] > 1) == repeated
+
+
+def test_ngram_pairs_of_a_large_group(spark, prose, monkeypatch):
+    """Copies that all miss the similarity narrowly share frequent tokens; their pairs do not leave the lists."""
+    base, rows, made = prose(11, 100), [], []
+    for i in range(120):
+        words = base[:]
+        for at in ((7 * i) % 90, (7 * i + 45) % 90):
+            words[at : at + 3] = [f"own{i}x{at + k}" for k in range(3)]
+        rows.append((i, " ".join(words)))
+    real = ngram_join._pairs
+
+    def counted(*args):
+        found = real(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "_pairs", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngram_components(docs).collect()) == brute_components(rows)
+    assert made and max(made) < 10 * len(rows)
+
+
+def test_bounds_lose_no_similar_pair():
+    """Of a pair that links, the first shared token allows it, and so do the marks."""
+    r, linked = np.random.default_rng(5), 0
+    ranks = r.integers(0, 2, 1 << ngram_join.SKETCH_BITS).astype(np.uint8)
+    for _ in range(300):
+        base = np.unique(r.integers(0, 2**63, int(r.integers(5, 400))).astype(np.uint64))
+        other = np.unique(np.concatenate([base[int(r.integers(0, len(base) // 4 + 1)) :], r.integers(0, 2**63, int(r.integers(0, 20))).astype(np.uint64)]))
+        common = len(np.intersect1d(base, other))
+        if 100 * common < 80 * (len(base) + len(other) - common):
+            continue
+        linked += 1
+        least = ngram_join._least_common(np.array([len(base)]), np.array([len(other)]), 80)[0]
+        assert common >= least
+        apart = np.bitwise_count((ngram_join._mark(base) ^ ngram_join._mark(other)).view(np.uint64)).sum()
+        assert apart <= len(base) + len(other) - 2 * least
+        for order in range(2):
+            a, b = (ngram_join.prefix(x, ranks, order, 80).tolist() for x in (base, other))
+            allowed = []
+            for token in set(a) & set(b):
+                sizes = [len(x) * ngram_join.PLACES + p.index(token) * ngram_join.PLACES // len(p) for x, p in ((base, a), (other, b))]
+                n, left = ngram_join._left(np.array(sizes), 80)
+                assert n.tolist() == [len(base), len(other)]
+                allowed.append(left.min() >= least)
+            assert any(allowed)
+    assert linked > 100
