@@ -52,7 +52,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     and a text that shares its id with another is judged for itself.
     """
     numbered = packed(docs).select(F.monotonically_increasing_id().alias("number"), "row")
-    rows = materialize(numbered)
+    # A file of the stage before may be one block, which one task would read whole in every pass.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = materialize(numbered.repartition(parts, "number"))
     groups = ngram_components(rows.select(F.col("number").alias("doc_id"), "row.text"))
     ids = rows.select("number", F.col("row.doc_id").alias("id"))
     members = groups.select(F.col("doc_id").alias("number"), "component_id").join(ids, "number")

@@ -55,3 +55,22 @@ def test_pipeline_keeps_clean_documents_and_one_of_each_group(spark):
     import numpy as np
 
     assert len(sequences) <= bins_needed(np.array([r.length for r in rows]), 1024) + 5
+
+
+def test_near_duplicates_reads_rows_in_parts(spark, monkeypatch, tmp_path):
+    """The rows of one file are written in many before the passes over them."""
+    from pyspark.sql import functions as F
+
+    files = []
+    real = pipeline.ngram_components
+
+    def seen(docs):
+        files.append(docs.select(F.input_file_name().alias("f")).distinct().count())
+        return real(docs)
+
+    monkeypatch.setattr(pipeline, "ngram_components", seen)
+    rows = [(i, f"text of its own {i} with word{i} and more{i}") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "one"))
+    found = pipeline.drop_near_duplicates(spark, spark.read.parquet(str(tmp_path / "one")), str(tmp_path))
+    assert sorted(r.doc_id for r in found.select("doc_id").collect()) == list(range(200))
+    assert files[0] >= spark.sparkContext.defaultParallelism // 2
