@@ -32,8 +32,7 @@ def anchors(data: bytes, window: int, key: int) -> tuple[np.ndarray, np.ndarray,
     if len(data) < window:
         none = np.empty(0, np.int64)
         return np.empty(0, np.uint64), none, none, none
-    starts = np.arange(len(data) - key + 1)
-    hashes = Ranges(data).hash(starts, starts + key)
+    hashes = Ranges(data).windows(key)
     chosen = sliding_argmin(hashes, window - key + 1)
     first = np.concatenate(([0], np.flatnonzero(chosen[1:] != chosen[:-1]) + 1))
     last = np.concatenate((first[1:], [len(chosen)])) - 1

@@ -53,6 +53,11 @@ class Ranges:
         with np.errstate(over="ignore"):
             return mix((self._sums[ends] - self._sums[starts]) * self._down[starts] + (ends - starts).astype(U64))
 
+    def windows(self, size: int) -> np.ndarray:
+        """Hashes of all ranges of ``size`` bytes, as :meth:`hash` gives them."""
+        with np.errstate(over="ignore"):
+            return mix((self._sums[size:] - self._sums[:-size]) * self._down[: len(self._sums) - size] + U64(size))
+
 
 def words(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
     """A text's words (runs without ASCII white space) joined by single spaces, lower-cased A-Z, with starts and ends."""

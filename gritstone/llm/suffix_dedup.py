@@ -98,8 +98,7 @@ def _suffixes(docs: DataFrame, window: int, key: int) -> DataFrame:
             doc = np.repeat(np.array(ids, np.int64), lengths)
             with np.errstate(over="ignore"):
                 both = mix(hashes * U64(3) + context)
-            index.add(both, doc)
-            settled = index.find(both) < doc
+            settled = index.scan(both, doc) < doc
             frame = pd.DataFrame({
                 "kind": np.where(settled, SPAN, OPEN).astype(np.int32), "key": hashes.view(np.int64), "context": context.view(np.int64),
                 "doc": doc, "text_id": np.repeat(np.array(marks, np.int64), lengths), "at": at.astype(np.int32),
@@ -215,8 +214,7 @@ def _shared_windows(surroundings: DataFrame, parts: int, window: int, key: int)
                 continue
             row, start, codes = _windows(frame, window, key)
             doc = frame.doc.to_numpy()[row]
-            index.add(codes, doc)
-            gone = index.find(codes) < doc
+            gone = index.scan(codes, doc) < doc
             if gone.any():
                 spans = pd.DataFrame({"doc": doc[gone], "text_id": frame.text_id.to_numpy()[row[gone]], "first": start[gone]})
                 spans = _merged(spans.assign(last=spans["first"] + window)).astype({"first": np.int32, "last": np.int32})

@@ -273,3 +273,23 @@ def test_bounds_lose_no_similar_pair():
                 allowed.append(left.min() >= least)
             assert any(allowed)
     assert linked > 100
+
+
+def test_log_index_scan():
+    """One pass over a batch gives what adding and finding give, and keeps no key twice for one document."""
+    from gritstone.llm.bytehash import Ranges
+
+    scanned, plain, r = LogIndex(), LogIndex(), np.random.default_rng(6)
+    for _ in range(40):
+        keys, docs = r.integers(0, 500, 200).astype(np.uint64), r.integers(-1000, 1000, 200)
+        plain.add(keys, docs)
+        assert scanned.scan(keys, docs).tolist() == plain.find(keys).tolist()
+    probe = np.arange(500, dtype=np.uint64)
+    assert scanned.find(probe).tolist() == plain.find(probe).tolist()
+    assert not len(scanned.scan(probe[:0], np.empty(0, np.int64)))
+    before = [len(k) for k, _ in scanned.levels]
+    scanned.scan(probe, np.full(500, 1000))
+    assert [len(k) for k, _ in scanned.levels] == before
+    data = r.integers(0, 256, 300).astype(np.uint8).tobytes()
+    starts = np.arange(285)
+    assert Ranges(data).windows(16).tolist() == Ranges(data).hash(starts, starts + 16).tolist()
