@@ -10,9 +10,13 @@ hash. Whatever the order, no pair is lost; a bad one only costs time.
 
 Documents with equal sets form a class, which is compared once. Components do
 not need all pairs of a group of near copies: rounds first compare every class
-with a leader of the posting lists that it shares with others, and contract what
-is linked; then only pairs from different components are left, and all of them
-are compared.
+with a leader of the posting lists that it shares with others, at first of its
+first tokens alone, and contract what is linked; then only pairs from different components are left in all the lists, and
+all of them are compared.
+
+Near copies share most of their prefixes, so a pair stands in many lists. Lists
+with the same least class go to one task, long ones in parts, where their pairs
+are counted before they leave: about once for a pair, not once for a token.
 
 A pair leaves its list only if three bounds allow the similarity: the sizes, the
 places of the shared token in both prefixes (a pair's first shared token leaves
@@ -57,9 +61,14 @@ NEAR = 8
 #: Distinct sets that a task remembers so that copies are not sent twice.
 REMEMBERED = 200_000
 LIST_ROWS = 200_000
-#: Pairs of rows that are looked at in one go.
+#: Rows of a list, about, for which the lists of one least class go to one more place.
+HOME_ROWS = 64
+#: Pairs of rows that are looked at in one go, and those held in a task until they are counted.
 PAIR_ROWS = 1_000_000
-STAR_ROUNDS = 3
+HELD_PAIRS = 500_000
+#: For each round with leaders, the steps of the prefixes whose lists it reads; in a list every row meets so many leaders.
+ROUND_PLACES = (2, PLACES, PLACES)
+LEADERS = 2
 #: Rows that workers get at once where a row holds a text or a whole set.
 BATCH_TEXTS = 1_000
 #: Ends of pairs up to which they are broadcast to the sets (32 bytes each), and those compared in one task.
@@ -237,8 +246,17 @@ def _sorted_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         yield pd.concat(carried)
 
 
+def _homes(token: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """The place of every row's list, rows sorted by token: that of its least class, one of several for long lists."""
+    start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    lengths = np.diff(np.append(start, len(token)))
+    spread = mix(token[start].view(U64)) % (lengths // HOME_ROWS + 1).astype(U64)
+    homes = mix(np.minimum.reduceat(cls, start).view(U64) ^ mix(spread + U64(1)))
+    return np.repeat(homes.view(np.int64) >> 32, lengths).astype(np.int32)
+
+
 def _lists(rows: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Rows of posting lists that may have a partner there, equal rows once.
+    """Rows of posting lists that may have a partner there, equal rows once, and the ``home`` of their list.
 
     A row stays if the sizes and places of it and of one of its neighbours, in order of size, allow a link, and in any
     list with more rows than these.
@@ -257,27 +275,30 @@ def _lists(rows: DataFrame, parts: int, percent: int) -> DataFrame:
             start = np.searchsorted(token, token)
             good |= np.searchsorted(token, token, "right") - start > NEAR + 1
             if good.any():
-                yield pa.RecordBatch.from_pandas(frame[good], preserve_index=False)
+                frame = frame[good]
+                frame = frame.assign(home=_homes(frame.token.to_numpy(), frame.cls.to_numpy()))
+                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
 
-    return rows.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(keep, rows.schema)
+    return rows.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(keep, "token long, size int, cls long, home int")
 
 
 def _pairs(lists: DataFrame, parts: int, percent: int, turn: int | None) -> DataFrame:
     """Candidate pairs of classes from different components: ``a, b, order, votes``.
 
-    With a ``turn`` every member is paired with the two members of the list that a hash of the turn puts first;
+    With a ``turn`` every member is paired with the ``LEADERS`` members of the list that a hash of the turn puts first;
     without, all members of different components are paired. Pairs whose sizes, places or marks rule a link out
     stay in the list.
     """
 
     def leaders(tokens: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Every row with the first two rows of its list, in the order of the turn's hash."""
+        """Every row with the first rows of its list, in the order of the turn's hash."""
         order = np.lexsort((mix(cls.view(U64) ^ U64(turn * 2 + 1)), tokens))
         new = np.append(True, tokens[order][1:] != tokens[order][:-1])
         start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        end = np.append(np.flatnonzero(new)[1:], len(order))[np.cumsum(new) - 1]
-        yield order[start], order
-        yield order[np.minimum(start + 1, end - 1)], order
+        longest = int(np.diff(np.append(np.flatnonzero(new), len(order))).max())
+        for k in range(min(LEADERS, longest - 1)):
+            after = np.flatnonzero(np.arange(len(order)) > start + k)
+            yield order[start[after] + k], order[after]
 
     def everything(tokens: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Every row with the rows of its list that come after its component; rows are sorted by token and component."""
@@ -296,13 +317,13 @@ def _pairs(lists: DataFrame, parts: int, percent: int, turn: int | None) -> Data
             at = stop
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
         for frame in _sorted_lists(batches):
             if turn is None:
                 frame = frame.sort_values(["token", "comp"], kind="stable")
             tokens, cls, comp = (frame[c].to_numpy() for c in ("token", "cls", "comp"))
             n, left = _left(frame["size"].to_numpy(), percent)
             marks = frame[MARK].to_numpy().view(U64)
-            out, held = [], 0
             for i, j in everything(tokens, comp) if turn is None else leaders(tokens, cls):
                 least = _least_common(n[i], n[j], percent)
                 good = (comp[i] != comp[j]) & (np.minimum(left[i], left[j]) >= least)
@@ -314,13 +335,13 @@ def _pairs(lists: DataFrame, parts: int, percent: int, turn: int | None) -> Data
                 i, j = i[good], j[good]
                 out.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), tokens[i] & 3], axis=1))
                 held += len(i)
-                if held > 200_000:
+                if held > HELD_PAIRS:
                     yield _pair_batch(out)
                     out, held = [], 0
-            if held:
-                yield _pair_batch(out)
+        if held:
+            yield _pair_batch(out)
 
-    rows = lists.repartition(parts, "token").sortWithinPartitions("token")
+    rows = lists.repartition(parts, "home").sortWithinPartitions("token")
     return rows.mapInArrow(make, "a long, b long, order int, votes long")
 
 
@@ -338,7 +359,8 @@ def _under_all_orders(pairs: DataFrame, orders: int) -> DataFrame:
 
 def _best_leaders(pairs: DataFrame) -> DataFrame:
     """For each class the partner with the most shared tokens."""
-    both = pairs.select("a", "b", "votes").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "votes"))
+    pairs = pairs.groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "votes"))
     best = both.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("best"))
     return best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
 
@@ -348,8 +370,8 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     spots = ids.select(F.explode(F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(i), "doc_id"), 64 - BLOOM_BITS) for i in (0, 1)])).alias("h"))
     words = spots.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
     table = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    for row in words.collect():
-        table[row.w] = row.bits
+    found = words.toArrow()
+    table[found["w"].to_numpy()] = found["bits"].to_numpy()
     return table
 
 
@@ -442,29 +464,29 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     with batch_rows(spark, BATCH_TEXTS):
         summaries = materialize(_summaries(docs, width))
     rows = summaries.where("block < 0").select("doc_id", "n", "cls")
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    marks = summaries.where("block < 0 and cls is not null").groupBy("cls").agg(*[F.min(m).alias(m) for m in MARK])
+    classes, classes_path = written(
+        summaries.where("block < 0 and cls is not null").groupBy("cls").agg(*[F.min(c).alias(c) for c in ("doc_id", *MARK)])
+    )
     ranks = spark.sparkContext.broadcast(_ranks(_sketch(summaries)))
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), total * orders * (100 - percent) // 100 // LIST_ROWS + 1)
     postings = _postings(docs, ranks, width, percent, orders)
     with batch_rows(spark, 5 * BATCH_TEXTS):
         lists, lists_path = written(_lists(postings, parts, percent))  # tokens that several classes share
-    links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, component long")
     small = max(1, parts // 4)
-    turns: list[int | None] = [*range(STAR_ROUNDS), None]
-    while turns:
-        turn = turns.pop(0)
-        named = marks.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    for turn in [*range(len(ROUND_PLACES)), None]:
+        named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
         named = named.select("cls", F.coalesce("component", "cls").alias("comp"), *MARK)
-        pairs = _under_all_orders(_pairs(lists.join(named, "cls"), small, percent, turn), orders)
-        found = _verified(pairs if turn is None else _best_leaders(pairs), docs, classes, width, percent)
+        places = PLACES if turn is None else ROUND_PLACES[turn]
+        pairs = _pairs(lists.where(F.col("size") % PLACES < places).join(named, "cls"), small, percent, turn)
+        if places == PLACES:  # near copies may share their first tokens under one order alone
+            pairs = _under_all_orders(pairs, orders)
+        if turn is not None:
+            pairs = _best_leaders(pairs)
+        found = _verified(pairs, docs, classes.select("cls", "doc_id"), width, percent)
         if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links)
-        else:
-            turns = turns[-1:]  # leaders have nothing more to give
+            labels = components(labels.toDF("a", "b").unionByName(found))
     discard(spark, lists_path)
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -293,3 +293,30 @@ def test_log_index_scan():
     data = r.integers(0, 256, 300).astype(np.uint8).tobytes()
     starts = np.arange(285)
     assert Ranges(data).windows(16).tolist() == Ranges(data).hash(starts, starts + 16).tolist()
+
+
+def test_a_pair_leaves_its_lists_about_once(spark):
+    """Two sets share 200 tokens; all their lists have one home, where the pair is counted."""
+    rows = [(4 * t, 500 * ngram_join.PLACES, c, 7, c, *[0] * ngram_join.MARK_WORDS) for t in range(200) for c in (1, 2)]
+    schema = "token long, size int, cls long, home int, comp long, " + ", ".join(f"{m} long" for m in ngram_join.MARK)
+    for turn in (0, None):
+        found = ngram_join._pairs(spark.createDataFrame(rows, schema), 16, 80, turn).collect()
+        assert [(r.a, r.b, r.order, r.votes) for r in found] == [(1, 2, 0, 200)]
+
+
+def test_lists_of_one_least_class_have_one_home():
+    token = np.repeat(np.arange(300) * 4, 3)
+    homes = ngram_join._homes(token, np.tile([5, -9, 70], 300))
+    assert len(set(homes.tolist())) == 1 and ngram_join._homes(token[:3], np.array([5, 6, 70]))[0] != homes[0]
+    many = 8 * ngram_join.HOME_ROWS
+    long = ngram_join._homes(np.repeat(np.arange(300) * 4, many), np.tile(np.arange(many), 300)).reshape(300, many)
+    assert (long == long[:, :1]).all() and len(set(long[:, 0].tolist())) == 9
+
+
+def test_components_end_when_settled(spark, monkeypatch):
+    """A star needs one round; no second one shows that nothing changes."""
+    steps, real = [], comp._hook
+    monkeypatch.setattr(comp, "_hook", lambda *a: steps.append(1) or real(*a))
+    found = comp.components(spark.createDataFrame([(9, i) for i in (3, 5, 7, 20)], "x long, y long"))
+    assert {r.node: r.component for r in found.collect()} == dict.fromkeys((3, 5, 7, 9, 20), 3) and len(steps) == 2
+    assert comp.components(spark.createDataFrame([(1, 1)], "x long, y long")).count() == 0
