@@ -464,7 +464,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     with batch_rows(spark, BATCH_TEXTS):
         summaries = materialize(_summaries(docs, width))
     rows = summaries.where("block < 0").select("doc_id", "n", "cls")
-    classes, classes_path = written(
+    classes = materialize(
         summaries.where("block < 0 and cls is not null").groupBy("cls").agg(*[F.min(c).alias(c) for c in ("doc_id", *MARK)])
     )
     ranks = spark.sparkContext.broadcast(_ranks(_sketch(summaries)))
