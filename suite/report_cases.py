@@ -225,12 +225,10 @@ def _(spark, sf_dir):
 
 def flow(spark, sf_dir, stages):
     store = VersionStore(spark, scratch_path(spark, "flow"))
-    small = {"random_forest": {"n_estimators": 5, "max_depth": 4}, "gradient_boosting": {"n_estimators": 3}}
-    grids = {"random_forest": {"n_estimators": [3, 5]}, "gradient_boosting": {"max_depth": [2]}}
     source = table(spark, sf_dir, "customer").drop("c_name")
     return run_stages(
-        source, store, stages, "c_acctbal", "c_custkey", small, Filter("c_nationkey", "<", 20),
-        models_root=scratch_path(spark, "models"), grids=grids,
+        source, store, stages, "c_acctbal", "c_custkey", row_filter=Filter("c_nationkey", "<", 20),
+        models_root=scratch_path(spark, "models"),
     )
 
 

@@ -211,3 +211,22 @@ def test_workflow_stops_at_the_first_failure(spark):
     ]
     with pytest.raises(ValueError):
         run_stages(source, store, ["nothing"])
+
+
+def test_registered_workflow_searches_the_whole_grids(spark, monkeypatch):
+    from suite import report_cases
+
+    asked = {}
+
+    def recorded(df, target, features, task, family, params, tune=False, **rest):
+        asked[family] = (params, tune)
+        raise RuntimeError("recorded")
+
+    monkeypatch.setattr(models, "train", recorded)
+    results = report_cases.flow(spark, SF, ["train_model"])
+    assert [r.status for r in results] == ["failed"] and "recorded" in str(results[0].error)
+    assert asked == {
+        "linear_regression": ({"max_iter": 500}, False),
+        "random_forest": ({"n_estimators": 120}, models.STAGED_GRIDS["random_forest"]),
+        "gradient_boosting": ({}, models.STAGED_GRIDS["gradient_boosting"]),
+    }
