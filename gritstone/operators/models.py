@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritstone.functions.values import as_text, is_number, quote, stable_hash, text_literal
+from gritstone.operators import binned_trees, frequency
 from gritstone.operators import features as feature_ops
-from gritstone.operators import frequency
 from gritstone.operators.filters import filter_expression
 from gritstone.operators.metrics import (
     MAX_CLASSES,
@@ -254,20 +254,32 @@ def train(
         estimator = _estimator(family, kind, {**used, **point}, len(labels), n)
         return estimator.setWeightCol("__weight") if balanced else estimator
 
-    search = None
+    search = fitted = train_score = None
+    vectors = prepare.transform(rows).select("features", "label")
     if folds:
         # Points that mean the same are tried once.
         points = {json.dumps({**p, **({"max_depth": p["max_depth"] or DEFAULT_DEPTH} if "max_depth" in p else {})}): p for p in grid_points(grid)}
-        search = grid_search(rows, pipelines[1:], weigh, build, kind, list(points.values()))
+        tried = list(points.values())
+        layouts = [binned_trees.blocks_of(view, chosen) for view in views]
+        estimators = [build(p, train_rows) for p in tried]
+        scored = None
+        if kind == "regression" and not balanced and all(layouts) and all(binned_trees.fits(e, train_rows, len(layouts[0])) for e in estimators):
+            prepared_rows = [(p.transform(rows), blocks) for p, blocks in zip(pipelines, layouts, strict=True)]
+            scored = binned_trees.search_folds(estimators, prepared_rows[1:], train_rows)
+        search = GridSearch(tried, scored) if scored else grid_search(rows, pipelines[1:], weigh, build, kind, tried)
         used = {**used, **search.points[search.best]}
-    # Iterative learners read the vectors many times; lost blocks are rebuilt from the source.
-    vectors = prepare.transform(rows).select("features", "label")
-    ready = weigh(vectors).persist(STORAGE)
-    try:
-        fitted = build({}, train_rows).fit(ready)
-        train_score = score(fitted.transform(ready), kind)
-    finally:
-        ready.unpersist()
+        if scored:
+            fitted, train_score = binned_trees.fit_trees(build({}, train_rows), *prepared_rows[0], train_rows)
+    if fitted and train_score is None:
+        train_score = score(fitted.transform(vectors), kind)
+    elif not fitted:
+        # Iterative learners read the vectors many times; lost blocks are rebuilt from the source.
+        ready = weigh(vectors).persist(STORAGE)
+        try:
+            fitted = build({}, train_rows).fit(ready)
+            train_score = score(fitted.transform(ready), kind)
+        finally:
+            ready.unpersist()
     tail: list = [fitted]
     if kind == "classification":
         tail.append(IndexToString(inputCol="prediction", outputCol="predicted", labels=labels))
